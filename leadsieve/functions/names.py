@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadsieve.functions.text import WS, decode, nz, strip
+from leadsieve.functions.text import WS, decode, strip
 
 # Where a page states its name. Each meta tag is searched with
 # ``property`` before ``content`` first and the other way round second.
@@ -78,11 +78,13 @@ SMALL_WORDS = ("and", "of", "the", "in", "for", "at", "by", "or")
 # Java versions.
 _WORD = r"[\p{L}\p{N}_]"
 BOUNDARY = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+LEGAL_PATTERNS = tuple(form.replace("{b}", BOUNDARY) for form in LEGAL_FORMS)
+ANY_LEGAL_FORM = "(?iu)" + "|".join(LEGAL_PATTERNS)
 
 
-def _first(html: Column, patterns) -> Column:
-    """First capture of the first pattern that matches, or null."""
-    return F.coalesce(*[nz(F.regexp_extract(html, p, 1)) for p in patterns])
+def _capture(html: Column, pattern: str) -> Column:
+    """First capture of a pattern, empty where it does not match."""
+    return F.regexp_extract(html, pattern, 1)
 
 
 def _segments(title: Column) -> Column:
@@ -121,31 +123,27 @@ def with_site_name(df: DataFrame, html: str, name: str, source: str) -> DataFram
     """
     page = F.col(html)
     site, title, og, stated = (F.col(c) for c in ("_site", "_title", "_og", "_stated"))
+    no_site = site.isNull()
+    no_title = F.coalesce(site, title).isNull()
+    no_og = F.coalesce(site, title, og).isNull()
     searches = [
-        ("_site", strip(_first(page, SITE_NAME_PATTERNS))),
+        ("_site", _capture(page, SITE_NAME_PATTERNS[0])),
+        ("_site", F.when(site == "", _capture(page, SITE_NAME_PATTERNS[1])).otherwise(site)),
+        ("_site", strip(site)),
         ("_site", F.when((site != "") & (F.length(site) < MAX_SITE_NAME), site)),
-        (
-            "_title",
-            F.when(
-                site.isNull(), title_segment(strip(nz(F.regexp_extract(page, TITLE_PATTERN, 1))))
-            ),
-        ),
-        ("_og", F.when(F.coalesce(site, title).isNull(), strip(_first(page, OG_TITLE_PATTERNS)))),
-        ("_og", og_title_segment(og)),
-        (
-            "_stated",
-            F.when(
-                F.coalesce(site, title, og).isNull(),
-                strip(nz(F.regexp_extract(page, JSON_NAME_PATTERN, 1))),
-            ),
-        ),
+        ("_title", F.when(no_site, strip(_capture(page, TITLE_PATTERN)))),
+        ("_title", title_segment(title)),
+        ("_og", F.when(no_title, _capture(page, OG_TITLE_PATTERNS[0]))),
+        ("_og", F.when(og == "", _capture(page, OG_TITLE_PATTERNS[1])).otherwise(og)),
+        ("_og", og_title_segment(strip(og))),
+        ("_stated", F.when(no_og, strip(_capture(page, JSON_NAME_PATTERN)))),
         ("_stated", F.when(word_count(stated).between(MIN_WORDS, MAX_WORDS), stated)),
     ]
     for column, search in searches:
         df = df.withColumn(column, search)
     df = df.withColumn(
         source,
-        F.when(nz(page).isNull(), "no_html")
+        F.when(page.isNull() | (page == ""), "no_html")
         .when(site.isNotNull(), "og:site_name")
         .when(title.isNotNull(), "title_tag")
         .when(og.isNotNull(), "og:title")
@@ -157,22 +155,16 @@ def with_site_name(df: DataFrame, html: str, name: str, source: str) -> DataFram
 
 
 def without_legal_forms(name: Column) -> Column:
-    bare = decode(name, NAME_ENTITIES)
-    for form in LEGAL_FORMS:
-        pattern = form.replace("{b}", BOUNDARY)
+    """Remove the legal forms one after the other; names without any are left alone."""
+    bare = name
+    for pattern in LEGAL_PATTERNS:
         bare = F.regexp_replace(bare, rf"(?iu),?{WS}*{pattern}", "")
-    return strip(F.regexp_replace(bare, TRAILING_MARKS, ""))
+    return F.when(name.rlike(ANY_LEGAL_FORM), bare).otherwise(name)
 
 
 def _capitalized(word: Column) -> Column:
-    head = F.left(word, F.lit(1))
-    grown = F.upper(head)
-    # Letters such as German sharp s become two letters, of which only the first is a capital.
-    first = F.when(
-        F.length(grown) > 1,
-        F.concat(F.left(grown, F.lit(1)), F.lower(F.substring(grown, 2, 8))),
-    ).otherwise(F.initcap(head))
-    return F.concat(first, F.lower(F.substr(word, F.lit(2))))
+    head = F.initcap(F.left(word, F.lit(1)))
+    return F.concat(head, F.lower(F.substr(word, F.lit(2))))
 
 
 def _name_case(word: Column) -> Column:
@@ -203,7 +195,9 @@ def with_clean_name(df: DataFrame, name: Column, out: str) -> DataFrame:
         ),
     )
     return (
-        df.withColumn("_bare", without_legal_forms(name))
+        df.withColumn("_bare", decode(name, NAME_ENTITIES))
+        .withColumn("_bare", without_legal_forms(F.col("_bare")))
+        .withColumn("_bare", strip(F.regexp_replace(F.col("_bare"), TRAILING_MARKS, "")))
         .withColumn(out, F.when(one_case_only(F.col("_bare")), cased).otherwise(F.col("_bare")))
         .drop("_bare")
     )

@@ -88,4 +88,4 @@ def path_key(path: Column) -> Column:
 def first_paths(paths: Column, keys: Column, n: int) -> Column:
     """The first ``n`` of ``paths`` with distinct keys, first spelling kept."""
     kept = F.filter(paths, lambda p, i: F.array_position(keys, F.get(keys, i)) == i + 1)
-    return F.slice(kept, 1, n) if n > 0 else F.slice(kept, 1, 0)
+    return F.slice(kept, 1, n)

@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 # its Unicode mode misses U+001C..U+001F, so every pattern here uses this class.
 WS = r"[\s\x1c-\x1f\x85\p{Z}]"
 
+# The same class spelled out, for trimming without a regular expression.
+WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(map(chr, range(0x2000, 0x200B)))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # How much of a page is read and kept, in characters.
 MAX_HTML = 50_000
 MAX_TEXT = 10_000
@@ -37,7 +44,7 @@ def nz(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def left(c: Column, n: int) -> Column:
@@ -52,13 +59,13 @@ def decode(c: Column, entities) -> Column:
 
 def html_to_text(html: Column) -> Column:
     """Readable text of a page; null when there is no page at all."""
-    text = left(nz(html), MAX_HTML)
+    text = left(html, MAX_HTML)
     for block in (SCRIPT_BLOCK, STYLE_BLOCK, ANY_TAG):
         text = F.regexp_replace(text, block, " ")
     text = decode(text, TEXT_ENTITIES)
     # Single blanks stay as they are; only longer or unusual runs are rewritten.
     text = F.regexp_replace(text, rf"[{WS}&&[^ ]]{WS}*| {WS}+", " ")
-    return left(F.btrim(text), MAX_TEXT)
+    return F.when(html != "", left(F.btrim(text), MAX_TEXT))
 
 
 def snippet(text: Column, n: int = SNIPPET) -> Column:
