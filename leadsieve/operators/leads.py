@@ -33,7 +33,8 @@ OUTPUT_COLUMNS = (
 # Computed, never written.
 UNWRITTEN_COLUMNS = ("is_parked", "error")
 
-ROW_ID = "row_id"
+# Number of a lead within its input; like all names with ``_`` it is never written.
+ROW_ID = "_row_id"
 
 
 def exact(columns, names) -> str | None:
@@ -60,25 +61,29 @@ def unify_headers(df: DataFrame) -> DataFrame:
 
 
 def with_working_columns(leads: DataFrame) -> DataFrame:
-    """Add ``_url`` (normalised, nullable) and ``_raw_name`` (never null)."""
+    """Add ``_url`` (normalised, nullable), ``_raw_name`` (never null) and a row number."""
+    if ROW_ID not in leads.columns:
+        leads = leads.withColumn(ROW_ID, F.monotonically_increasing_id())
     names = [nz(F.col(f"`{n}`")) for n in NAME_HEADERS[:2] if n in leads.columns]
     df = leads.withColumn("_raw_name", F.coalesce(*names, F.lit("")))
     return with_normalized_url(df, domain_value(leads.columns), "_url")
 
 
 def distinct_urls(leads: DataFrame) -> DataFrame:
-    """``url, n_leads``: many leads share a URL, and each URL is worked on once."""
-    return (
-        leads.where(F.col("_url").isNotNull())
-        .groupBy(F.col("_url").alias("url"))
-        .agg(F.count("*").alias("n_leads"))
-    )
+    """``url, n_leads``: many leads share a URL, and each URL is worked on once.
+
+    Leads without a URL form a group of count 0, dropped after counting. A filter on
+    ``_url`` itself would be pushed below the projections that compute it, and with
+    it a copy of the whole computation for every place the host is mentioned.
+    """
+    counted = leads.groupBy(F.col("_url").alias("url")).agg(F.count("_url").alias("n_leads"))
+    return counted.where(F.col("n_leads") > 0)
 
 
 def original_columns(columns) -> list[str]:
     """Input columns that are passed through."""
     computed = (*OUTPUT_COLUMNS, *UNWRITTEN_COLUMNS)
-    return [c for c in columns if not c.startswith("_") and c not in computed and c != ROW_ID]
+    return [c for c in columns if not c.startswith("_") and c not in computed]
 
 
 def output_projection(df: DataFrame, keep_row_id: bool = False) -> DataFrame:

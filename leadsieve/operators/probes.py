@@ -22,7 +22,7 @@ def pivot_probes(probe_log: DataFrame) -> DataFrame:
     answer = [F.col(c) for c in ("status_code", "final_url", "error_kind", "error_text")]
     order = [F.col("probed_at")] if "probed_at" in probe_log.columns else []
     ranked = F.struct(*order, *answer)
-    return probe_log.where(F.col("url").isNotNull()).groupBy("url").agg(
+    return probe_log.groupBy("url").agg(
         *[
             F.max(F.when(F.col("attempt") == attempt, ranked)).alias(name)
             for name, attempt in ATTEMPTS.items()
@@ -30,7 +30,7 @@ def pivot_probes(probe_log: DataFrame) -> DataFrame:
     )
 
 
-def with_verdict(df: DataFrame, timeout: int, out: str = "probe") -> DataFrame:
+def with_verdict(df: DataFrame, timeout: int, out: str = "_probe") -> DataFrame:
     """Add the verdict struct next to ``url, head, head_http, get``."""
     head, head_http, get = (F.col(name) for name in ATTEMPTS)
     url = F.col("url")

@@ -11,6 +11,7 @@ from leadsieve.config import SieveConfig, require_keywords
 from leadsieve.functions.decide import decide
 from leadsieve.functions.probes import is_live
 from leadsieve.operators.leads import (
+    ROW_ID,
     distinct_urls,
     fill_defaults,
     output_projection,
@@ -42,8 +43,8 @@ def qualify(
 ) -> DataFrame:
     """Label every lead PASS, FAIL or REVIEW; rows in equal rows out.
 
-    ``leads`` holds any string columns and a unique ``row_id``. ``stages`` is
-    ``both``, ``layer1`` (probes only) or ``layer2`` (leads bring ``domain_status``).
+    ``leads`` holds any string columns; ``_row_id`` numbers its rows and is added if
+    absent. ``stages`` is ``both``, ``layer1`` (probes only) or ``layer2`` (leads bring ``domain_status``).
     ``facts`` may replace ``page_snapshot`` by the stored result of ``page_facts``
     for the same configuration. Work is done per distinct URL and joined back.
     """
@@ -78,18 +79,16 @@ def _check_inputs(leads, probe_log, page_snapshot, facts, config, stages) -> Non
             raise ValueError("stages='layer2' needs leads with a domain_status column")
     elif probe_log is None:
         raise ValueError("layer 1 needs probe_log")
-    if "row_id" not in leads.columns:
-        raise ValueError("leads need a unique row_id column")
 
 
 def url_verdicts(rows: DataFrame, probe_log, config: SieveConfig, stages: str) -> DataFrame:
-    """``url, n_leads, live, probe``: the distinct URLs and what their probes say."""
+    """``url, n_leads, live, _probe``: the distinct URLs and what their probes say."""
     if stages == "layer2":
         live_rows = rows.where(is_live(F.col("domain_status")))
         return distinct_urls(live_rows).withColumn("live", F.lit(True))
     urls = distinct_urls(rows).join(pivot_probes(probe_log), "url", "left")
     return with_verdict(urls, config.request_timeout).withColumn(
-        "live", is_live(F.col("probe")["domain_status"])
+        "live", is_live(F.col("_probe")["domain_status"])
     )
 
 
@@ -117,16 +116,16 @@ def broadcast_limit(df: DataFrame) -> int:
 
 
 def join_back(rows: DataFrame, per_url: DataFrame, most_leads: int, slice_rows: int) -> DataFrame:
-    """Every lead with the ``probe`` and ``_facts`` of its URL.
+    """Every lead with the ``_probe`` and ``_facts`` of its URL.
 
     Leads without a URL get a join key of their own, so they spread over all
     partitions instead of meeting in one. Normally the key is the URL, by which
     the other side is partitioned already. If some URL has more than
-    ``slice_rows`` leads, those leads are cut into slices by ``row_id`` and the
+    ``slice_rows`` leads, those leads are cut into slices by row number and the
     one row of that URL is repeated per slice.
     """
-    url, alone = F.col("_url"), F.concat(F.lit("#"), F.col("row_id").cast("string"))
-    values = [c for c in per_url.columns if c in ("probe", "_facts")]
+    url, alone = F.col("_url"), F.concat(F.lit("#"), F.col(ROW_ID).cast("string"))
+    values = [c for c in per_url.columns if c in ("_probe", "_facts")]
     if most_leads <= slice_rows:
         keyed = rows.withColumn("_key", F.coalesce(url, alone))
         right = per_url.select(F.col("url").alias("_key"), *values)
@@ -143,7 +142,7 @@ def join_back(rows: DataFrame, per_url: DataFrame, most_leads: int, slice_rows:
         .agg(F.max(slices).alias("_slices"))
     )
     n = F.coalesce(F.col("_slices"), F.lit(1))
-    part = F.pmod(F.xxhash64("row_id"), n)
+    part = F.pmod(F.xxhash64(ROW_ID), n)
     keyed = (
         rows.withColumn("_code", F.xxhash64("_url"))
         .join(F.broadcast(hot), "_code", "left")
@@ -166,7 +165,7 @@ def join_back(rows: DataFrame, per_url: DataFrame, most_leads: int, slice_rows:
 def _status_columns(stages: str) -> dict[str, Column]:
     if stages == "layer2":
         return {}
-    probe, invalid = F.col("probe"), F.col("_url").isNull()
+    probe, invalid = F.col("_probe"), F.col("_url").isNull()
     return {
         "domain_status": F.when(invalid, "invalid_domain").otherwise(probe["domain_status"]),
         "http_code": probe["http_code"],

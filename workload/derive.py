@@ -169,44 +169,56 @@ def probe_case(first_row: Column) -> Column:
     return F.pmod(F.floor(first_row / 8), F.lit(PROBE_KINDS))
 
 
+def probe_case_table() -> str:
+    """``PROBE_CASES`` as a SQL array: the answers of case ``n`` at place ``n``."""
+
+    def lit(value, kind: str) -> str:
+        if value is None:
+            return f"CAST(NULL AS {kind})"
+        return str(value) if kind == "int" else f"'{value}'"
+
+    def answer(case) -> str:
+        _, attempt, status, final, error, text = case
+        return (
+            f"named_struct('attempt', {lit(attempt, 'string')}, 'status_code', {lit(status, 'int')},"
+            f" 'final_kind', {lit(final, 'string')}, 'error_kind', {lit(error, 'string')},"
+            f" 'error_text', {lit(text, 'string')})"
+        )
+
+    cases = [[answer(c) for c in PROBE_CASES if c[0] == n] for n in range(PROBE_KINDS)]
+    return "array(" + ", ".join(f"array({', '.join(c)})" if c else "null" for c in cases) + ")"
+
+
 def probe_log(urls: DataFrame) -> DataFrame:
     """Probe answers of ``url, first_row``: one case per URL."""
     url = F.col("url")
-    finals = {
-        None: F.lit(None).cast("string"),
-        "same": url,
-        "www": F.replace(url, F.lit("https://"), F.lit("https://www.")),
-        "other": F.lit("https://elsewhere.example.com/home"),
-        "social": F.replace(url, F.lit("https://"), F.lit("https://www.facebook.com/")),
-        "page": F.concat(url, F.lit("/page")),
-    }
-
-    def answer(case) -> Column:
-        _, attempt, status, final, kind, text = case
-        return F.struct(
-            F.lit(attempt).alias("attempt"),
-            F.lit(status).cast("int").alias("status_code"),
-            finals[final].alias("final_url"),
-            F.lit(kind).cast("string").alias("error_kind"),
-            F.lit(text).cast("string").alias("error_text"),
+    answers = F.get(F.expr(probe_case_table()), probe_case(F.col("first_row")).cast("int"))
+    final_url = (
+        F.when(F.col("final_kind") == "same", url)
+        .when(F.col("final_kind") == "www", F.replace(url, F.lit("https://"), F.lit("https://www.")))
+        .when(F.col("final_kind") == "other", F.lit("https://elsewhere.example.com/home"))
+        .when(
+            F.col("final_kind") == "social",
+            F.replace(url, F.lit("https://"), F.lit("https://www.facebook.com/")),
         )
-
-    number = probe_case(F.col("first_row"))
-    answers = F.lit(None)
-    for n in sorted({c[0] for c in PROBE_CASES}):
-        answers = F.when(
-            number == n, F.array(*[answer(c) for c in PROBE_CASES if c[0] == n])
-        ).otherwise(answers)
-    return urls.select("url", F.explode(answers).alias("a")).select("url", "a.*")
+        .when(F.col("final_kind") == "page", F.concat(url, F.lit("/page")))
+    )
+    return (
+        urls.select("url", F.inline(answers))
+        .withColumn("final_url", final_url)
+        .drop("final_kind")
+    )
 
 
 def lead_urls(rows: DataFrame) -> DataFrame:
-    """``url, first_row`` of leads that carry ``_url``."""
-    return (
-        rows.where(F.col("_url").isNotNull())
-        .groupBy(F.col("_url").alias("url"))
-        .agg(F.min("row_id").alias("first_row"))
+    """``url, first_row`` of leads that carry ``_url``.
+
+    ``url`` is an aggregate, so no filter on it can move below its computation.
+    """
+    found = rows.groupBy("_url").agg(
+        F.max("_url").alias("url"), F.min("row_id").alias("first_row")
     )
+    return found.where(F.col("url").isNotNull()).drop("_url")
 
 
 def page_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:

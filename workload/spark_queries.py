@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadsieve.config import DEFAULT_SCRAPE_PATHS, SieveConfig
-from leadsieve.functions.decide import decide
+from leadsieve.functions.decide import DECISIONS, decide
 from leadsieve.functions.domains import domain_value, with_normalized_url
 from leadsieve.functions.keywords import (
     listed,
@@ -25,8 +25,8 @@ from leadsieve.functions.pages import (
 from leadsieve.functions.prompts import build_prompt
 from leadsieve.functions.text import SHORT_SNIPPET, html_to_text, snippet
 from leadsieve.operators.leads import (
+    ROW_ID,
     fill_defaults,
-    output_projection,
     unify_headers,
     with_working_columns,
 )
@@ -34,6 +34,21 @@ from leadsieve.operators.pages import FACT_COLUMNS, homepage_source, page_facts
 from leadsieve.operators.probes import live_summary, pivot_probes, with_verdict
 from leadsieve.operators.report import decision_summary, match_histogram
 from leadsieve.plans.qualify import qualify
+from leadsieve.sources.csv import (
+    CSV_FORMAT,
+    read_leads,
+    read_output,
+    recount,
+    split_path,
+    write_outputs,
+)
+from leadsieve.sources.storage import scratch_path
+from leadsieve.streaming.intake import (
+    classified_rows,
+    read_lead_stream,
+    start_intake,
+    store_facts,
+)
 from workload import derive
 from workload.derive import CONFIG, choose, table, text_of
 
@@ -80,12 +95,12 @@ def unify(spark, sf_dir):
 
 def classify_probe(spark, sf_dir):
     _, log = _inputs(spark, sf_dir)
-    return with_verdict(pivot_probes(log), CONFIG.request_timeout).select("url", "probe.*")
+    return with_verdict(pivot_probes(log), CONFIG.request_timeout).select("url", "_probe.*")
 
 
 def _layer1(spark, sf_dir):
     leads, log = _inputs(spark, sf_dir)
-    return qualify(leads, log, config=CONFIG, stages="layer1")
+    return qualify(leads, log, config=CONFIG, stages="layer1").drop(ROW_ID)
 
 
 def live(spark, sf_dir):
@@ -258,7 +273,8 @@ def keyword_lists(spark, sf_dir):
 
 def full(spark, sf_dir, use_api: bool = False):
     leads, log = _inputs(spark, sf_dir)
-    return qualify(leads, log, derive.page_snapshot(spark, sf_dir), CONFIG, use_api=use_api)
+    snapshot = derive.page_snapshot(spark, sf_dir)
+    return qualify(leads, log, snapshot, CONFIG, use_api=use_api).drop(ROW_ID)
 
 
 def full_api(spark, sf_dir):
@@ -284,7 +300,53 @@ def skip_layer1(spark, sf_dir):
         }
     )
     snapshot = derive.page_snapshot(spark, sf_dir)
-    return qualify(leads, page_snapshot=snapshot, config=CONFIG, stages="layer2")
+    return qualify(leads, page_snapshot=snapshot, config=CONFIG, stages="layer2").drop(ROW_ID)
+
+
+def _lead_files(spark, sf_dir) -> str:
+    """The derived leads as CSV files in a new folder."""
+    path = scratch_path(spark, "leads.csv")
+    derive.leads(spark, sf_dir).write.options(**CSV_FORMAT).csv(path)
+    return path
+
+
+def csv_roundtrip(spark, sf_dir):
+    """Leads from CSV, classified, written as CSV, read back from the three splits."""
+    leads = read_leads(spark, _lead_files(spark, sf_dir))
+    _, log = _inputs(spark, sf_dir)
+    done = qualify(leads, log, derive.page_snapshot(spark, sf_dir), CONFIG)
+    out = scratch_path(spark, "out.csv")
+    write_outputs(done, out)
+    rows = None
+    for decision in DECISIONS:
+        part = read_output(spark, split_path(out, decision)).withColumn("split", F.lit(decision))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+def csv_recount(spark, sf_dir):
+    """Counts taken from the written file of all rows."""
+    leads = read_leads(spark, _lead_files(spark, sf_dir))
+    _, log = _inputs(spark, sf_dir)
+    out = scratch_path(spark, "out.csv")
+    write_outputs(qualify(leads, log, derive.page_snapshot(spark, sf_dir), CONFIG), out)
+    return recount(spark, out)
+
+
+def stream_intake(spark, sf_dir):
+    """The same leads through the stream; facts and probe answers are stored first."""
+    folder = _lead_files(spark, sf_dir)
+    _, log = _inputs(spark, sf_dir)
+    work = scratch_path(spark, "intake")
+    facts = store_facts(derive.page_snapshot(spark, sf_dir), CONFIG, f"{work}/facts")
+    log.write.parquet(f"{work}/probes")
+    query = start_intake(
+        read_lead_stream(spark, folder), spark.read.parquet(f"{work}/probes"), facts, CONFIG,
+        f"{work}/out", f"{work}/progress",
+    )
+    query.awaitTermination()
+    rows = classified_rows(spark, f"{work}/out").drop(ROW_ID)
+    return rows.withColumn("http_code", F.col("http_code").cast("string")).na.fill("")
 
 
 QUERIES = {
@@ -311,4 +373,7 @@ QUERIES = {
     "q_skip_layer1": skip_layer1,
     "q_qualify_full": full,
     "q_qualify_api": full_api,
+    "q_csv_roundtrip": csv_roundtrip,
+    "q_csv_recount": csv_recount,
+    "q_stream_intake": stream_intake,
 }
