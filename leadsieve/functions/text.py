@@ -59,13 +59,18 @@ def decode(c: Column, entities) -> Column:
 
 def html_to_text(html: Column) -> Column:
     """Readable text of a page; null when there is no page at all."""
-    text = left(html, MAX_HTML)
+    return cut_html_to_text(left(html, MAX_HTML))
+
+
+def cut_html_to_text(page: Column) -> Column:
+    """``html_to_text`` of HTML that is cut to size already."""
+    text = page
     for block in (SCRIPT_BLOCK, STYLE_BLOCK, ANY_TAG):
         text = F.regexp_replace(text, block, " ")
     text = decode(text, TEXT_ENTITIES)
     # Single blanks stay as they are; only longer or unusual runs are rewritten.
     text = F.regexp_replace(text, rf"[{WS}&&[^ ]]{WS}*| {WS}+", " ")
-    return F.when(html != "", left(F.btrim(text), MAX_TEXT))
+    return F.when(page != "", left(F.btrim(text), MAX_TEXT))
 
 
 def snippet(text: Column, n: int = SNIPPET) -> Column:

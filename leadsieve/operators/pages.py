@@ -27,7 +27,7 @@ from leadsieve.functions.pages import (
 from leadsieve.functions.text import (
     MAX_HTML,
     SHORT_SNIPPET,
-    html_to_text,
+    cut_html_to_text,
     left,
     nz,
     snippet,
@@ -96,7 +96,7 @@ def with_page_text(df: DataFrame, html: str = "html", out: str = "text") -> Data
     page = F.when(F.col("status_code") == 200, left(F.col(html), MAX_HTML))
     return (
         df.withColumn("_page", page)
-        .withColumn(out, html_to_text(F.col("_page")))
+        .withColumn(out, cut_html_to_text(F.col("_page")))
         .withColumn(out, F.when(F.col(out) != "", F.col(out)))
     )
 

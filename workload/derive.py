@@ -77,6 +77,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give all cores a share of a table that comes in fewer splits than there are cores.
+
+    The test tables are single row groups. A table of many splits, as any large one is,
+    stays where it is: ``df`` is a plain scan, so counting its splits runs nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def text_of(template: str, **columns: Column) -> Column:
     """``template`` with columns in place of ``{name}``."""
     parts, rest = [], template
@@ -98,6 +108,18 @@ def choose(number: Column, values) -> Column:
 
 def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``row_id, id, site_no, slot, host, html``: pages and documents as stored web pages."""
+    return _crawl(*[spread(table(spark, sf_dir, n), k) for n, k in CRAWLED])
+
+
+def crawl_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows without HTML."""
+    return _crawl(*[table(spark, sf_dir, n) for n, _ in CRAWLED]).drop("html")
+
+
+CRAWLED = (("pages", "page_id"), ("documents", "doc_id"))
+
+
+def _crawl(pages: DataFrame, documents: DataFrame) -> DataFrame:
 
     def sites(df: DataFrame, key: str, row_id: Column, host: str, html: Column) -> DataFrame:
         number = F.expr(f"{key} div 4")
@@ -117,7 +139,6 @@ def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
         source=F.col("source"),
         text=F.col("text"),
     )
-    pages, documents = (table(spark, sf_dir, n) for n in ("pages", "documents"))
     first = sites(pages, "page_id", F.col("page_id") * 2, "p{n}.example.org", F.col("html"))
     second = sites(documents, "doc_id", F.col("doc_id") * 2 + 1, "d{n}.example.net", body)
     return first.unionAll(second)
@@ -137,7 +158,7 @@ def marked_html() -> Column:
 
 def leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One lead per stored page, its domain spelled in ten ways."""
-    rows = crawl(spark, sf_dir).drop("html")
+    rows = crawl_rows(spark, sf_dir)
     host, r = F.col("host"), F.col("row_id")
     plain = text_of("http://{h}/p/{r}?utm_source=feed", h=host, r=r)
     spellings = [
@@ -223,7 +244,6 @@ def lead_urls(rows: DataFrame) -> DataFrame:
 
 def page_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stored page as captured lately, and an older capture of each."""
-    rows = crawl(spark, sf_dir)
     k = F.col("site_no")
     url = F.concat(
         F.lit("https://"), F.col("host"), choose(F.col("slot"), [F.lit(p) for p in SLOT_PATHS])
@@ -235,7 +255,7 @@ def page_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     broken = (k % 13 == 12) & (F.col("slot") == 0)
 
-    def capture(status: Column, html: Column, day: str) -> DataFrame:
+    def capture(rows: DataFrame, status: Column, html: Column, day: str) -> DataFrame:
         return rows.select(
             url.alias("url"),
             status.alias("status_code"),
@@ -245,7 +265,8 @@ def page_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     lately = capture(
-        F.when(broken, 404).otherwise(200), marked_html(), "2024-02-01 00:00:00"
+        crawl(spark, sf_dir), F.when(broken, 404).otherwise(200), marked_html(), "2024-02-01 00:00:00"
     )
-    before = capture(F.lit(200), F.lit("<title>Old name</title>"), "2024-01-01 00:00:00")
+    old = F.lit("<title>Old name</title>")
+    before = capture(crawl_rows(spark, sf_dir), F.lit(200), old, "2024-01-01 00:00:00")
     return lately.unionAll(before)
