@@ -76,19 +76,19 @@ def wanted_pages(snapshot: DataFrame, paths, use_api: bool) -> DataFrame:
     return snapshot.where(wanted)
 
 
-def of_sites(snapshot: DataFrame, sites: DataFrame, fits: bool) -> DataFrame:
-    """Keep pages of ``sites`` (column ``url``) if these fit a broadcast.
-
-    ``fits`` is the outcome of a size check. Sites too many to broadcast are not
-    joined here: that would shuffle raw HTML. Their pages are reduced first and
-    joined afterwards.
+def of_sites(table: DataFrame, site: Column, urls: DataFrame, fits: bool) -> DataFrame:
+    """Keep rows of ``table`` whose ``site`` is among ``urls`` (column ``url``), and few others.
+
+    Only an eight-byte hash per URL is broadcast, and only if ``fits``, the outcome of
+    a size check, allows it. A site that shares its hash with a wanted one passes too;
+    the join on the URL itself, which follows in any case, drops it. URLs too many to
+    broadcast are not joined here, as that would shuffle raw HTML: all pages are
+    reduced first and joined afterwards.
     """
     if not fits:
-        return snapshot
-    keep = sites.select(F.col("url").alias("_wanted")).distinct()
-    return snapshot.join(
-        F.broadcast(keep), site_of(snapshot["url"]) == F.col("_wanted"), "left_semi"
-    )
+        return table
+    codes = urls.select(F.xxhash64("url").alias("_code")).distinct()
+    return table.join(F.broadcast(codes), F.xxhash64(site) == F.col("_code"), "left_semi")
 
 
 def with_page_text(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ from leadsieve.operators.leads import (
     unify_headers,
     with_working_columns,
 )
-from leadsieve.operators.pages import FACT_COLUMNS, of_sites, page_facts
+from leadsieve.operators.pages import FACT_COLUMNS, of_sites, page_facts, site_of
 from leadsieve.operators.probes import pivot_probes, with_verdict
 from leadsieve.sources.storage import checkpointed
 
@@ -27,8 +27,8 @@ STAGES = ("both", "layer1", "layer2")
 # A URL with more leads than this is joined in several slices.
 SLICE_ROWS = 1_000_000
 
-# What one URL is assumed to take in a broadcast table beside its own bytes.
-BROADCAST_ROW_BYTES = 100
+# What one hashed URL takes in a broadcast table at most: key, slot and half-empty space.
+BROADCAST_ROW_BYTES = 32
 
 
 def qualify(
@@ -54,16 +54,17 @@ def qualify(
     size = measure(urls)
     per_url = urls
     if stages != "layer1":
-        fits = size.live_bytes <= broadcast_limit(leads)
-        live = urls.where("live").select("url")
+        fits = size.live_urls * BROADCAST_ROW_BYTES <= broadcast_limit(leads)
+        live = urls.where("live")
         if facts is None:
-            pages = of_sites(page_snapshot, live, fits)
+            pages = of_sites(page_snapshot, site_of(page_snapshot["url"]), live, fits)
             facts = page_facts(pages, config, use_api)
-        elif fits:
-            facts = facts.join(F.broadcast(live), "url", "left_semi")
+        else:
+            facts = of_sites(facts, facts["url"], live, fits)
         facts = facts.select("url", F.struct(*FACT_COLUMNS).alias("_facts"))
         per_url = urls.join(facts, "url", "left")
-    joined = join_back(rows, per_url, size.most_leads, slice_rows)
+    hot = hot_urls(urls, slice_rows) if size.most_leads > slice_rows else None
+    joined = join_back(rows, per_url, hot)
     return decided(joined, stages)
 
 
@@ -93,17 +94,14 @@ def url_verdicts(rows: DataFrame, probe_log, config: SieveConfig, stages: str) -
 
 
 class UrlSizes(NamedTuple):
-    live_bytes: int
+    live_urls: int
     most_leads: int
 
 
 def measure(urls: DataFrame) -> UrlSizes:
     """Two numbers that decide how the large joins are laid out."""
-    row = urls.agg(
-        F.sum(F.when(F.col("live"), F.octet_length("url") + BROADCAST_ROW_BYTES)),
-        F.max("n_leads"),
-    ).first()
-    return UrlSizes(row[0] or 0, row[1] or 0)
+    row = urls.agg(F.count_if("live"), F.max("n_leads")).first()
+    return UrlSizes(row[0], row[1] or 0)
 
 
 def broadcast_limit(df: DataFrame) -> int:
@@ -115,51 +113,43 @@ def broadcast_limit(df: DataFrame) -> int:
     return int(number.rstrip("bkmg")) * unit
 
 
-def join_back(rows: DataFrame, per_url: DataFrame, most_leads: int, slice_rows: int) -> DataFrame:
+def hot_urls(urls: DataFrame, slice_rows: int) -> DataFrame:
+    """``_code, _slices``: hashes of the URLs with more than ``slice_rows`` leads.
+
+    There are at most (number of leads / ``slice_rows``) of them, 16 bytes each: some
+    megabytes for a million million leads. URLs that share a hash are treated alike.
+    """
+    return (
+        urls.where(F.col("n_leads") > slice_rows)
+        .groupBy(F.xxhash64("url").alias("_code"))
+        .agg(F.max(F.ceil(F.col("n_leads") / slice_rows)).alias("_slices"))
+    )
+
+
+def join_back(rows: DataFrame, per_url: DataFrame, hot: DataFrame | None) -> DataFrame:
     """Every lead with the ``_probe`` and ``_facts`` of its URL.
 
     Leads without a URL get a join key of their own, so they spread over all
     partitions instead of meeting in one. Normally the key is the URL, by which
-    the other side is partitioned already. If some URL has more than
-    ``slice_rows`` leads, those leads are cut into slices by row number and the
-    one row of that URL is repeated per slice.
+    the other side is partitioned already. Leads of ``hot`` URLs are cut into slices
+    by row number, and the one row of such a URL is repeated per slice.
     """
     url, alone = F.col("_url"), F.concat(F.lit("#"), F.col(ROW_ID).cast("string"))
     values = [c for c in per_url.columns if c in ("_probe", "_facts")]
-    if most_leads <= slice_rows:
-        keyed = rows.withColumn("_key", F.coalesce(url, alone))
-        right = per_url.select(F.col("url").alias("_key"), *values)
-        return keyed.join(right, "_key", "left").drop("_key")
-
-    # There are at most (number of leads / slice_rows) such URLs, and of each only its
-    # hash is broadcast: 16 bytes per million leads. A hash shared by two URLs means
-    # that both are sliced, on both sides.
-    code = F.xxhash64("url")
-    slices = F.ceil(F.col("n_leads") / slice_rows)
-    hot = (
-        per_url.where(F.col("n_leads") > slice_rows)
-        .groupBy(code.alias("_code"))
-        .agg(F.max(slices).alias("_slices"))
-    )
-    n = F.coalesce(F.col("_slices"), F.lit(1))
-    part = F.pmod(F.xxhash64(ROW_ID), n)
-    keyed = (
-        rows.withColumn("_code", F.xxhash64("_url"))
-        .join(F.broadcast(hot), "_code", "left")
-        .withColumn("_key", F.coalesce(url, alone))
-        .withColumn("_part", F.when(url.isNull(), F.lit(0)).otherwise(part))
-        .drop("_code", "_slices")
-    )
-    right = (
-        per_url.withColumn("_code", code)
-        .join(F.broadcast(hot), "_code", "left")
-        .select(
-            F.col("url").alias("_key"),
-            *values,
-            F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("_part"),
-        )
-    )
-    return keyed.join(right, ["_key", "_part"], "left").drop("_key", "_part")
+    keyed = rows.withColumn("_key", F.coalesce(url, alone))
+    right = per_url.withColumnRenamed("url", "_key")
+    if hot is None:
+        return keyed.join(right.select("_key", *values), "_key", "left").drop("_key")
+
+    def with_slices(df: DataFrame) -> DataFrame:
+        df = df.withColumn("_code", F.xxhash64("_key")).join(F.broadcast(hot), "_code", "left")
+        return df.withColumn("_slices", F.coalesce("_slices", F.lit(1)))
+
+    keyed = with_slices(keyed).withColumn("_slice", F.pmod(F.xxhash64(ROW_ID), "_slices"))
+    repeated = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_slices") - 1))
+    right = with_slices(right).select("_key", *values, repeated.alias("_slice"))
+    joined = keyed.join(right, ["_key", "_slice"], "left")
+    return joined.drop("_key", "_code", "_slices", "_slice")
 
 
 def _status_columns(stages: str) -> dict[str, Column]:

@@ -76,19 +76,20 @@ def split_path(path: str, decision: str) -> str:
     return f"{folder}{slash}{base}_{decision}{dot}{ext}"
 
 
-def write_outputs(df: DataFrame, path: str, ordered: bool = False) -> DataFrame:
+def write_outputs(
+    df: DataFrame, path: str, ordered: bool = False, stage: str | None = None
+) -> DataFrame:
     """Write all rows and the PASS, FAIL and REVIEW rows; return the summary.
 
-    The rows are computed once, into Parquet partitioned by decision in the shared
-    folder; the four outputs and the counts read that table, each split only its
-    own partition.
+    The rows are computed once, into Parquet partitioned by decision at ``stage`` (by
+    default a new place in the shared folder, to be emptied with that folder); the four
+    outputs and the counts read that table, each split only its own partition.
     """
     spark = df.sparkSession
-    stage = scratch_path(spark, "classified")
+    stage = stage or scratch_path(spark, "classified")
     names = df.columns
-    df.withColumn("_decision", F.col("filter_decision")).write.partitionBy("_decision").parquet(
-        stage
-    )
+    by_decision = df.withColumn("_decision", F.col("filter_decision"))
+    by_decision.write.mode("overwrite").partitionBy("_decision").parquet(stage)
     schema = StructType([*df.schema.fields, StructField("_decision", StringType())])
     staged = spark.read.schema(schema).parquet(stage)
     write_csv(staged.select(*[f"`{n}`" for n in names]), path, ordered)

@@ -2,7 +2,7 @@ from datetime import datetime
 
 from leadsieve.config import SieveConfig
 from leadsieve.functions.pages import first_paths, page_url, path_key, path_label
-from leadsieve.operators.pages import homepage_source, of_sites, page_facts
+from leadsieve.operators.pages import homepage_source, of_sites, page_facts, site_of
 from pyspark.sql import functions as F
 
 SNAPSHOT = "url string, status_code int, html string, fetch_via string, captured_at timestamp"
@@ -142,8 +142,9 @@ def test_a_site_with_a_third_of_all_captures(spark):
 def test_sites_beyond_a_broadcast_are_left_for_later(spark):
     frame = spark.createDataFrame([page("https://a.com/x", "1"), page("https://b.com", "2")], SNAPSHOT)
     sites = spark.createDataFrame([("https://a.com",), ("https://a.com",)], "url string")
-    assert [r.url for r in of_sites(frame, sites, True).collect()] == ["https://a.com/x"]
-    assert of_sites(frame, sites, False).count() == 2
+    site = site_of(frame["url"])
+    assert [r.url for r in of_sites(frame, site, sites, True).collect()] == ["https://a.com/x"]
+    assert of_sites(frame, site, sites, False).count() == 2
 
 
 def test_paths(evaluate, spark):
