@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadsieve.config import SieveConfig
+from leadsieve.functions.text import WS_CHARS
 
 # Keywords used when a request names some but leaves one list empty.
 REQUEST_PRIMARY = ("septic", "wastewater", "pumping")
 REQUEST_SECONDARY = ("tank", "drain", "cleanout")
 
-# White space trimmed from typed keywords: this set lacks U+001C..U+001F and U+0085 and
-# has U+FEFF, unlike the one used for page text.
-TYPED_WS = r"[\t-\r\p{Z}\x{feff}]"
+# White space trimmed from typed keywords: unlike page text it has U+FEFF, but neither
+# U+001C..U+001F nor U+0085.
+TYPED_WS_CHARS = "".join(c for c in WS_CHARS if c not in "\x1c\x1d\x1e\x1f\x85") + "\ufeff"
 TYPED_SEPARATOR = r"[\n,]+"
 
 # Above this many terms a list is scanned by one array expression instead of one
@@ -25,7 +26,7 @@ def parse_keywords(typed: Column) -> Column:
     """Terms of a comma- or line-separated list, trimmed, lower case, none empty."""
     terms = F.transform(
         F.split(F.coalesce(typed, F.lit("")), TYPED_SEPARATOR, -1),
-        lambda t: F.lower(F.regexp_replace(t, f"^{TYPED_WS}+|{TYPED_WS}+$", "")),
+        lambda t: F.lower(F.btrim(t, F.lit(TYPED_WS_CHARS))),
     )
     return F.filter(terms, lambda t: t != "")
 

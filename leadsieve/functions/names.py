@@ -74,11 +74,20 @@ TRAILING_MARKS = rf"(?:{WS}|[,.\-|])+$"
 ACRONYMS = ("HVAC", "USA", "US", "LLC", "CEO", "RV", "FOG", "HQ")
 SMALL_WORDS = ("and", "of", "the", "in", "for", "at", "by", "or")
 
-# A word boundary over Unicode letters, digits and ``_``; what ``\b`` means differs between
-# Java versions.
+# Word boundaries over Unicode letters, digits and ``_``; what ``\b`` means differs between
+# Java versions. Before a letter and after one a boundary needs one look only.
 _WORD = r"[\p{L}\p{N}_]"
-BOUNDARY = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
-LEGAL_PATTERNS = tuple(form.replace("{b}", BOUNDARY) for form in LEGAL_FORMS)
+BEFORE_LETTER = rf"(?<!{_WORD})"
+AFTER_LETTER = rf"(?!{_WORD})"
+ANYWHERE = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+
+
+def _legal_pattern(form: str) -> str:
+    rest = form.removeprefix("{b}").replace(r"\.?{b}", r"\.?" + ANYWHERE)
+    return BEFORE_LETTER + rest.replace("{b}", AFTER_LETTER)
+
+
+LEGAL_PATTERNS = tuple(_legal_pattern(form) for form in LEGAL_FORMS)
 ANY_LEGAL_FORM = "(?iu)" + "|".join(LEGAL_PATTERNS)
 
 

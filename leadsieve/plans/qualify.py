@@ -107,10 +107,10 @@ def measure(urls: DataFrame) -> UrlSizes:
 def broadcast_limit(df: DataFrame) -> int:
     """The session's own limit for broadcast tables, in bytes (negative: never)."""
     text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().lower()
-    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
     number = text.removesuffix("b") if text[-2:-1].isalpha() else text
     unit = units.get(number[-1], 1)
-    return int(number.rstrip("bkmg")) * unit
+    return int(number.rstrip("bkmgt")) * unit
 
 
 def hot_urls(urls: DataFrame, slice_rows: int) -> DataFrame:

@@ -2,7 +2,8 @@
 
 The work is stateless, so there is neither watermark nor state: every micro-batch is the
 batch job over the new files. Pages are reduced to facts once, before the stream starts,
-so a small batch does not read the whole snapshot again.
+so a small batch does not read the whole snapshot again; of probe log and facts it takes
+only what its URLs need into a shuffle.
 """
 
 from __future__ import annotations
@@ -12,10 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from leadsieve.config import SieveConfig
-from leadsieve.operators.leads import ROW_ID
-from leadsieve.operators.pages import page_facts
+from leadsieve.operators.leads import (
+    ROW_ID,
+    distinct_urls,
+    unify_headers,
+    with_working_columns,
+)
+from leadsieve.operators.pages import of_sites, page_facts
 from leadsieve.operators.report import decision_summary
-from leadsieve.plans.qualify import qualify
+from leadsieve.plans.qualify import BROADCAST_ROW_BYTES, broadcast_limit, qualify
 from leadsieve.sources.csv import CSV_FORMAT, header_of, leads_schema
 
 
@@ -39,6 +45,13 @@ def read_lead_stream(
     )
 
 
+def answers_for(leads: DataFrame, probe_log: DataFrame) -> DataFrame:
+    """The part of the probe log that a batch needs, if its URLs fit a broadcast."""
+    urls = distinct_urls(with_working_columns(unify_headers(leads)))
+    fits = urls.count() * BROADCAST_ROW_BYTES <= broadcast_limit(leads)
+    return of_sites(probe_log, probe_log["url"], urls, fits)
+
+
 def start_intake(
     stream: DataFrame,
     probe_log: DataFrame,
@@ -57,7 +70,8 @@ def start_intake(
 
     def classify(batch: DataFrame, number: int) -> None:
         leads = batch.withColumn(ROW_ID, F.monotonically_increasing_id())
-        done = qualify(leads, probe_log, config=config, facts=facts, **options)
+        log = answers_for(leads, probe_log)
+        done = qualify(leads, log, config=config, facts=facts, **options)
         rows = f"{output}/rows/batch={number}"
         done.withColumn("split", F.col("filter_decision")).write.mode("overwrite").partitionBy(
             "split"

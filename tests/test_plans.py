@@ -52,6 +52,13 @@ def test_page_text_is_computed_once(spark, tmp_path):
     assert text.count("(?iu)<title") == 1
 
 
+def test_hot_urls_do_not_read_the_pages_again(spark, tmp_path):
+    leads, log, pages = stored(spark, tmp_path, 3)
+    frame = qualify(leads, log, pages, CFG, slice_rows=2)
+    text = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("<script[^>]*>") == 1
+
+
 def test_filters_reach_the_scan_and_columns_are_pruned(spark, tmp_path):
     leads, log, pages = stored(spark, tmp_path)
     text = plan(page_facts(pages, CFG))

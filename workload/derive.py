@@ -81,7 +81,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """Give all cores a share of a table that comes in fewer splits than there are cores.
 
     The test tables are single row groups. A table of many splits, as any large one is,
-    stays where it is: ``df`` is a plain scan, so counting its splits runs nothing.
+    stays where it is: ``df`` holds nothing but scans, so counting its splits runs nothing.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
@@ -108,18 +108,16 @@ def choose(number: Column, values) -> Column:
 
 def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``row_id, id, site_no, slot, host, html``: pages and documents as stored web pages."""
-    return _crawl(*[spread(table(spark, sf_dir, n), k) for n, k in CRAWLED])
+    return spread(_crawl(spark, sf_dir), "row_id")
 
 
 def crawl_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rows without HTML."""
-    return _crawl(*[table(spark, sf_dir, n) for n, _ in CRAWLED]).drop("html")
+    return _crawl(spark, sf_dir).drop("html")
 
 
-CRAWLED = (("pages", "page_id"), ("documents", "doc_id"))
-
-
-def _crawl(pages: DataFrame, documents: DataFrame) -> DataFrame:
+def _crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, documents = (table(spark, sf_dir, n) for n in ("pages", "documents"))
 
     def sites(df: DataFrame, key: str, row_id: Column, host: str, html: Column) -> DataFrame:
         number = F.expr(f"{key} div 4")
@@ -255,18 +253,17 @@ def page_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     broken = (k % 13 == 12) & (F.col("slot") == 0)
 
-    def capture(rows: DataFrame, status: Column, html: Column, day: str) -> DataFrame:
-        return rows.select(
-            url.alias("url"),
-            status.alias("status_code"),
-            html.alias("html"),
-            via.alias("fetch_via"),
-            F.lit(day).cast("timestamp").alias("captured_at"),
-        )
-
-    lately = capture(
-        crawl(spark, sf_dir), F.when(broken, 404).otherwise(200), marked_html(), "2024-02-01 00:00:00"
+    lately = F.struct(
+        F.when(broken, 404).otherwise(200).alias("status_code"),
+        marked_html().alias("html"),
+        F.lit("2024-02-01").cast("timestamp").alias("captured_at"),
+    )
+    before = F.struct(
+        F.lit(200).alias("status_code"),
+        F.lit("<title>Old name</title>").alias("html"),
+        F.lit("2024-01-01").cast("timestamp").alias("captured_at"),
+    )
+    captures = crawl(spark, sf_dir).select(
+        url.alias("url"), via.alias("fetch_via"), F.inline(F.array(lately, before))
     )
-    old = F.lit("<title>Old name</title>")
-    before = capture(crawl_rows(spark, sf_dir), F.lit(200), old, "2024-01-01 00:00:00")
-    return lately.unionAll(before)
+    return captures.select("url", "status_code", "html", "fetch_via", "captured_at")

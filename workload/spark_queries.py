@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadsieve.config import DEFAULT_SCRAPE_PATHS, SieveConfig
@@ -50,7 +50,7 @@ from leadsieve.streaming.intake import (
     store_facts,
 )
 from workload import derive
-from workload.derive import CONFIG, choose, table, text_of
+from workload.derive import CONFIG, choose, spread, table, text_of
 
 STATUSES = (
     "live", "dead", "timeout", "ssl_error", "invalid_domain", "not_found", "server_error",
@@ -139,16 +139,16 @@ def clean_name(spark, sf_dir):
         n = F.col(key).cast("long")
         ending = choose(n, [F.lit(e) for e in NAME_ENDINGS])
         spelled = F.concat(F.col(column), ending)
-        spelled = F.when(n % 4 == 0, F.upper(spelled)).when(n % 4 == 1, F.lower(spelled)).otherwise(spelled)
+        spelled = choose(n, [F.upper(spelled), F.lower(spelled), spelled, spelled])
         part = table(spark, sf_dir, name).select(
             F.lit(name).alias("origin"), n.alias("key"), spelled.alias("typed")
         )
         names = part if names is None else names.unionAll(part)
-    return with_clean_name(names, F.col("typed"), "clean")
+    return with_clean_name(spread(names, "key"), F.col("typed"), "clean")
 
 
 def match(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     docs = docs.withColumn("low", F.lower("text"))
     both = with_keyword_match(docs, "text", "low", CONFIG)
     both = both.select(
@@ -256,10 +256,12 @@ def prompt(spark, sf_dir):
 def keyword_lists(spark, sf_dir):
     """Whole documents as typed keyword lists; some requests leave lists empty."""
     n = F.col("doc_id")
-    typed = table(spark, sf_dir, "documents").select(
+    typed = spread(table(spark, sf_dir, "documents"), "doc_id").select(
         "doc_id",
         parse_keywords(F.when(n % 3 != 0, F.col("text"))).alias("p"),
-        parse_keywords(F.when(n % 4 < 2, F.concat(F.col("lang"), F.lit(" ,\n,\tX "), F.col("source")))).alias("s"),
+        parse_keywords(
+            F.when(n % 4 < 2, text_of("{l} ,\n,\tX {s}", l=F.col("lang"), s=F.col("source")))
+        ).alias("s"),
         parse_keywords(F.when(n % 5 < 3, F.col("text"))).alias("n"),
     )
     used = with_effective_keywords(typed, "p", "s", "n", CONFIG)
