@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as registry
 from tests.compare import compare, open_tables
+from workload import spark_queries, sql
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,13 +18,13 @@ def tables():
     return open_tables(SF)
 
 
-@pytest.mark.parametrize("name", registry.queries())
+@pytest.mark.parametrize("name", spark_queries.QUERIES)
 def test_query(spark, tables, name):
     assert compare(spark, tables, name, SF) is None
 
 
 def test_every_query_has_sql():
-    assert set(registry.oracle_sql()) == set(registry.queries())
+    assert set(sql.statements()) == set(spark_queries.QUERIES)
 
 
 def test_entry(spark):
