@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leadsieve.llm import sql
 from leadsieve.llm.decontaminate import decontaminated
 from leadsieve.llm.exact_dedup import exact_dedup
+from leadsieve.llm.packing import packed
 from leadsieve.llm.tables import read_table
 from leadsieve.llm.url_filter import judged
 
@@ -32,8 +33,13 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op6_url_filter": url_filter,
+    "op7_best_fit_packing": packing,
     "op8_exact_dedup": exact,
     "op9_decontamination": decontamination,
 }
