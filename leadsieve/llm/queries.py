@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leadsieve.llm import sql
 from leadsieve.llm.decontaminate import decontaminated
 from leadsieve.llm.exact_dedup import exact_dedup
+from leadsieve.llm.near_dedup import near_dedup
 from leadsieve.llm.packing import packed
 from leadsieve.llm.tables import read_table
 from leadsieve.llm.url_filter import judged
@@ -37,7 +38,12 @@ def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(read_table(spark, sf_dir, "documents"))
 
 
+def near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(read_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 QUERIES = {
+    "op4_minhash_near_dedup": near,
     "op6_url_filter": url_filter,
     "op7_best_fit_packing": packing,
     "op8_exact_dedup": exact,

@@ -61,7 +61,35 @@ SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(c.n_hit, 0) AS n_hit, coa
 FROM words w LEFT JOIN covered c USING (doc_id) LEFT JOIN named m USING (doc_id)
 """
 
+NEAR_DEDUP = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, sh FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN []
+      WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(generate_series(1, len(w) - 2), lambda i: array_to_string(w[i : i + 2], ' ')) END) AS sh
+    FROM words)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM shingles a JOIN shingles b ON a.sh = b.sh AND a.doc_id < b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n
+  HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))
+), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(id, other) AS (
+  SELECT a, b FROM both_ways
+  UNION
+  SELECT r.id, l.b FROM reach r JOIN both_ways l ON r.other = l.a
+), smallest AS (SELECT id, min(other) AS other FROM reach GROUP BY id)
+SELECT w.doc_id, coalesce(s.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.other, w.doc_id)) AS component_id,
+  w.doc_id = least(w.doc_id, coalesce(m.other, w.doc_id)) AS kept
+FROM words w LEFT JOIN sizes s USING (doc_id) LEFT JOIN smallest m ON m.id = w.doc_id
+"""
+
 STATEMENTS = {
+    "op4_minhash_near_dedup": NEAR_DEDUP,
     "op6_url_filter": URL_FILTER,
     "op8_exact_dedup": EXACT_DEDUP,
     "op9_decontamination": DECONTAMINATION,
