@@ -90,19 +90,33 @@ class Words:
         return out
 
 
-def char_shingle_sets(lines: list[bytes], width: int) -> list[np.ndarray]:
-    """Per line the distinct hashes of its ``width``-byte shingles; a shorter line is one shingle."""
+def char_shingles(lines: list[bytes], width: int) -> np.ndarray:
+    """Hash of the ``width`` bytes from each byte of the joined lines on."""
+    return _char_hashes(*_char_sums(lines), 0, width)
+
+
+def _char_sums(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     joined = np.frombuffer(b"".join(lines), np.uint8)
     sums = np.zeros(len(joined) + 1, np.uint64)
     np.cumsum(_BYTE_CODES[joined] * powers(_BASE, len(joined)), out=sums[1:])
-    back = powers(_INVERSE, len(joined) + 1)
-    whole = mixed((sums[width:] - sums[:-width]) * back[: max(0, len(sums) - width)])
+    return sums, powers(_INVERSE, len(sums))
+
+
+def _char_hashes(sums: np.ndarray, back: np.ndarray, at: int, width: int) -> np.ndarray:
+    n = max(0, len(sums) - width - at)
+    return mixed((sums[at + width : at + width + n] - sums[at : at + n]) * back[at : at + n])
+
+
+def char_shingle_sets(lines: list[bytes], width: int) -> list[np.ndarray]:
+    """Per line the distinct hashes of its ``width``-byte shingles; a shorter line is one shingle."""
+    sums, back = _char_sums(lines)
+    whole = _char_hashes(sums, back, 0, width)
     out, at = [], 0
     for line in lines:
         n = len(line)
         if n >= width:
             out.append(np.unique(whole[at : at + n - width + 1]))
         else:
-            out.append(mixed((sums[at + n : at + n + 1] - sums[at : at + 1]) * back[at : at + 1]))
+            out.append(_char_hashes(sums[: at + n + 1], back, at, n)[:1] if n else sums[:0])
         at += n
     return out

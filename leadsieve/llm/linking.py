@@ -94,10 +94,15 @@ def _exact(values: np.ndarray, sizes: np.ndarray, percent: int):
     return linked
 
 
-def exact_links(sets: DataFrame, percent: int) -> DataFrame:
+def listed_sets(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    return column.flatten().to_numpy(), column.value_lengths().to_numpy()
+
+
+def exact_links(sets: DataFrame, percent: int, sets_of=listed_sets) -> DataFrame:
     """``a, b``: links that connect the ids whose sets agree to ``percent``, within each cluster.
 
-    ``sets(cluster, chunks, id, set)`` holds each id once with the full set of its hashes.
+    ``sets(cluster, chunks, id, set)`` holds each id once with its full set, or with what
+    ``sets_of`` makes the sets of: the hashes of all rows one after another, and their numbers.
     """
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,9 +111,7 @@ def exact_links(sets: DataFrame, percent: int) -> DataFrame:
             if group.num_rows < 2:
                 continue
             ids = group["id"].to_pylist()
-            lists = group["set"].combine_chunks()
-            sizes = lists.value_lengths().to_numpy()
-            linked = _exact(lists.flatten().to_numpy(), sizes, percent)
+            linked = _exact(*sets_of(group["set"].combine_chunks()), percent)
             edges += [(ids[x], ids[y]) for x, y in spanning(len(ids), linked)]
             if len(edges) > 10_000:
                 yield edge_batch(edges)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leadsieve.llm import sql
 from leadsieve.llm.decontaminate import decontaminated
 from leadsieve.llm.exact_dedup import exact_dedup
+from leadsieve.llm.line_dedup import line_dedup
 from leadsieve.llm.near_dedup import near_dedup
 from leadsieve.llm.packing import packed
 from leadsieve.llm.tables import read_table
@@ -42,12 +43,18 @@ def near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(read_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup(read_table(spark, sf_dir, "documents"))
+    return cleaned.select("document.doc_id", "lines.n_lines", "lines.n_removed", "document.text")
+
+
 QUERIES = {
     "op4_minhash_near_dedup": near,
     "op6_url_filter": url_filter,
     "op7_best_fit_packing": packing,
     "op8_exact_dedup": exact,
     "op9_decontamination": decontamination,
+    "op10_fuzzy_line_dedup": fuzzy_lines,
 }
 
 ORACLE_SQL = sql.STATEMENTS
