@@ -12,6 +12,7 @@ from leadsieve.llm.line_dedup import line_dedup
 from leadsieve.llm.near_dedup import near_dedup
 from leadsieve.llm.packing import packed
 from leadsieve.llm.tables import read_table
+from leadsieve.llm.toxicity import fitted, id_bucket, scored
 from leadsieve.llm.url_filter import judged
 
 
@@ -48,8 +49,18 @@ def fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("document.doc_id", "lines.n_lines", "lines.n_removed", "document.text")
 
 
+def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    held_out = id_bucket(F.col("doc_id"), 5) == 0
+    model = fitted(documents, labels.where(~held_out))
+    return scored(documents, model).select(
+        "doc_id", held_out.alias("held_out"), "score", "predicted", "evidence", "n_tokens", "passages"
+    )
+
+
 QUERIES = {
     "op4_minhash_near_dedup": near,
+    "op5_toxicity": toxic,
     "op6_url_filter": url_filter,
     "op7_best_fit_packing": packing,
     "op8_exact_dedup": exact,
