@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leadsieve.llm import sql
 from leadsieve.llm.decontaminate import decontaminated
 from leadsieve.llm.exact_dedup import exact_dedup
+from leadsieve.llm.language_id import dictionaries, predicted, training_passages
 from leadsieve.llm.line_dedup import line_dedup
 from leadsieve.llm.near_dedup import near_dedup
 from leadsieve.llm.packing import packed
@@ -58,7 +59,17 @@ def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    held_out = id_bucket(F.col("doc_id"), 3) == 1
+    learned = dictionaries(training_passages(documents.where(~held_out)))
+    return predicted(documents, learned).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "rejected"
+    )
+
+
 QUERIES = {
+    "op3_language_id": language,
     "op4_minhash_near_dedup": near,
     "op5_toxicity": toxic,
     "op6_url_filter": url_filter,
