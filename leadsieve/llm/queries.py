@@ -12,6 +12,7 @@ from leadsieve.llm.language_id import dictionaries, predicted, training_passages
 from leadsieve.llm.line_dedup import line_dedup
 from leadsieve.llm.near_dedup import near_dedup
 from leadsieve.llm.packing import packed
+from leadsieve.llm.secrets import count_of, secrets, spans_of
 from leadsieve.llm.tables import read_table
 from leadsieve.llm.toxicity import fitted, id_bucket, scored
 from leadsieve.llm.url_filter import judged
@@ -68,7 +69,17 @@ def language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(read_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *[count_of("found", k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(spans_of("found", True).cast("binary"), 256).alias("base_sha256"),
+        spans_of("found", False).alias("spans"),
+    )
+
+
 QUERIES = {
+    "op2_secret_scan": secret_scan,
     "op3_language_id": language,
     "op4_minhash_near_dedup": near,
     "op5_toxicity": toxic,

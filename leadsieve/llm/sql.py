@@ -88,7 +88,55 @@ SELECT w.doc_id, coalesce(s.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.othe
 FROM words w LEFT JOIN sizes s USING (doc_id) LEFT JOIN smallest m ON m.id = w.doc_id
 """
 
+#: number, name, pattern, group, least length of the group, further conditions on it
+_KINDS = (
+    (0, "assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 8, "true"),
+    (1, "access", "AKIA[A-Z0-9]+", 0, 16, "true"),
+    (2, "hex", "[0-9a-f]+", 0, 32, "true"),
+    (3, "account", r"""([Uu][Ss][Ee][Rr](?:[Nn][Aa][Mm][Ee])?|[Ll][Oo][Gg][Ii][Nn]|[Aa][Cc][Cc][Oo][Uu][Nn][Tt]|[Cc][Ll][Ii][Ee][Nn][Tt]_?[Ii][Dd]|[Aa][Cc][Cc][Ee][Ss][Ss]_?[Kk][Ee][Yy]_?[Ii][Dd])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9@._-]+)""", 2, 3, "true"),
+    (4, "opaque", "[A-Za-z0-9+/]+", 0, 20, "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]')"),
+    (5, "endpoint", r"""[a-z][a-z0-9+.-]*://[^\x00-\x20"''<>]+""", 0, 8, "true"),
+)
+_PARTS = " UNION ALL ".join(
+    f"""SELECT doc_id, {n} AS kind, s + length(m) AS finish, s, v FROM (
+      SELECT doc_id, m, v, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) - length(m) AS s FROM (
+        SELECT doc_id, unnest(generate_series(1, len(ms))) AS i, unnest(ms) AS m, unnest(vs) AS v,
+               unnest(gaps[1 : len(ms)]) AS gap
+        FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS ms, regexp_extract_all(text, '{p}', {g}) AS vs,
+                     regexp_split_to_array(text, '{p}') AS gaps FROM documents)))
+    WHERE length(v) >= {least} AND {more}"""
+    for n, _, p, g, least, more in _KINDS
+)
+_NAMES = "[" + ", ".join(f"'{k[1]}'" for k in _KINDS) + "]"
+
+SECRET_SCAN = f"""
+WITH parts AS MATERIALIZED ({_PARTS}),
+weak AS (
+  SELECT p.doc_id, p.kind, p.s, p.finish,
+    bool_or(q.kind IN (1, 3)) AS identifier, bool_or(q.kind IN (0, 2, 4)) AS secret,
+    bool_or(q.kind <= 2 AND q.s < p.finish AND q.finish > p.s) AS inside
+  FROM parts p JOIN parts q
+    ON p.doc_id = q.doc_id AND (p.kind, p.s) <> (q.kind, q.s) AND q.s - p.finish <= 256 AND p.s - q.finish <= 256
+  WHERE p.kind > 2 GROUP BY ALL
+), reported AS (
+  SELECT doc_id, kind, s, finish FROM parts WHERE kind <= 2
+  UNION ALL
+  SELECT doc_id, kind, s, finish FROM weak
+  WHERE (kind = 3 AND secret) OR (kind = 4 AND identifier AND NOT inside) OR (kind = 5 AND identifier AND secret)
+), per_doc AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
+    count(*) FILTER (kind = 2) AS n_hex,
+    string_agg({_NAMES}[kind + 1] || ':' || s::BIGINT || ':' || finish::BIGINT, ',' ORDER BY s, kind) FILTER (kind <= 2) AS base,
+    string_agg({_NAMES}[kind + 1] || ':' || s::BIGINT || ':' || finish::BIGINT, ',' ORDER BY s, kind) AS spans
+  FROM reported GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN per_doc USING (doc_id)
+"""
+
 STATEMENTS = {
+    "op2_secret_scan": SECRET_SCAN,
     "op4_minhash_near_dedup": NEAR_DEDUP,
     "op6_url_filter": URL_FILTER,
     "op8_exact_dedup": EXACT_DEDUP,
