@@ -120,3 +120,43 @@ def char_shingle_sets(lines: list[bytes], width: int) -> list[np.ndarray]:
             out.append(_char_hashes(sums[: at + n + 1], back, at, n)[:1] if n else sums[:0])
         at += n
     return out
+
+
+class HashTable:
+    """Places of known keys in an array, looked up for whole arrays at a time."""
+
+    def __init__(self, keys: np.ndarray):
+        """``keys``: distinct 64-bit numbers."""
+        size = 1 << max(4, int(4 * len(keys)).bit_length())
+        self.mask = np.uint64(size - 1)
+        self.slots = np.full(size, -1, np.int32)
+        self.keys = keys.astype(np.uint64)
+        left = np.arange(len(keys), dtype=np.int32)
+        at = mixed(self.keys) & self.mask
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]  # of several for one slot the last one stays
+            lost = self.slots[at] != left
+            left, at = left[lost], (at[lost] + _U(1)) & self.mask
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 for unknown ones."""
+        out = np.full(len(keys), -1, np.int32)
+        if not len(self.keys) or not len(keys):
+            return out
+        at = mixed(keys) & self.mask
+        found = self.slots[at]
+        open_ = np.flatnonzero(found >= 0)
+        same = self.keys[found[open_]] == keys[open_]
+        out[open_[same]] = found[open_[same]]
+        left = open_[~same]
+        at = at[left]
+        while len(left):
+            at = (at + _U(1)) & self.mask
+            found = self.slots[at]
+            some = found >= 0
+            left, at, found = left[some], at[some], found[some]
+            same = self.keys[found] == keys[left]
+            out[left[same]] = found[same]
+            left, at = left[~same], at[~same]
+        return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadsieve.llm import sql
+from leadsieve.llm import language_model, sql
 from leadsieve.llm.decontaminate import decontaminated
 from leadsieve.llm.exact_dedup import exact_dedup
 from leadsieve.llm.language_id import dictionaries, predicted, training_passages
@@ -78,7 +78,16 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    held_out = id_bucket(F.col("doc_id"), 7) == 2
+    return language_model.scored(documents, documents.where(~held_out)).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 QUERIES = {
+    "op1_lm_scores": lm_scores,
     "op2_secret_scan": secret_scan,
     "op3_language_id": language,
     "op4_minhash_near_dedup": near,
