@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from leadsieve.llm import language_model, sql
 from leadsieve.llm.decontaminate import decontaminated
 from leadsieve.llm.exact_dedup import exact_dedup
@@ -97,6 +98,7 @@ QUERIES = {
     "op8_exact_dedup": exact,
     "op9_decontamination": decontamination,
     "op10_fuzzy_line_dedup": fuzzy_lines,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = sql.STATEMENTS
