@@ -72,6 +72,8 @@ class Model:
     intercept: float = -np.inf
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
+        if np.isneginf(self.intercept):
+            return np.zeros(len(evidence))
         return 1 / (1 + np.exp(-np.clip(self.intercept + self.slope * evidence, -700, 700)))
 
 

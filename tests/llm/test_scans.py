@@ -1,0 +1,210 @@
+"""Secrets, URL rules, decontamination, packing, the registered SQL and the pipeline."""
+
+import os
+import re
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+import __spark_entry__ as registry
+import corpus_pipeline
+from leadsieve.llm import queries
+from leadsieve.llm.decontaminate import decontaminated
+from leadsieve.llm.packing import best_fit, lower_bound, packed, public_files, token_ids
+from leadsieve.llm.secrets import KINDS, secrets
+from leadsieve.llm.url_filter import Automaton, Rule, judged, tokens_of
+from tests.compare import compare, open_tables
+
+SF = "/root/testdata/sf0.001"
+needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+
+
+@needs_tables
+@pytest.mark.parametrize("name", queries.ORACLE_SQL)
+def test_sql(spark, name):
+    assert compare(spark, open_tables(SF), name, SF) is None
+
+
+def found(documents, text):
+    parts = secrets(documents({1: text})).first()["found"]
+    return [f"{KINDS[p.kind].name}:{p.start}:{p.end}" for p in parts]
+
+
+def test_base_secrets(documents):
+    text = 'é API_KEY: "abcd1234" password: secret="abcdefghijk" token=short AKIA0123456789AB AKIA012345 ' + "0f" * 16
+    at = text.index("AKIA0")
+    assert found(documents, text) == ["assign:2:20", f"access:{at}:{at + 16}", f"hex:{len(text) - 32}:{len(text)}"]
+
+
+def test_weak_parts_need_what_completes_them(documents):
+    login, opaque, endpoint = "login=jane", "Ab1" * 8, "https://db.example.org/x"
+    assert found(documents, f"{login} {endpoint}") == []
+    assert found(documents, f"{opaque} {endpoint}") == []
+    assert [x.split(":")[0] for x in found(documents, f"{endpoint} {login} {opaque}")] == ["endpoint", "account", "opaque"]
+    assert found(documents, f"{login}{' ' * 300}{opaque}") == []
+    assert [x.split(":")[0] for x in found(documents, f"{login} password=hunter2hunter2")] == ["account", "assign"]
+
+
+GLOBS = ["*casino*", "a?c/**", "**.exe", "*.net/es/**", "x*y*z", "?", "", "abc", "**/b*/**"] + ["p" * 70 + "*q"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("abcxyz./-", max_size=12) | st.sampled_from(["casino", "a.net/es/q", "p" * 75 + "q", "x/b/c.exe"]), max_size=10))
+def test_automaton_against_regular_expressions(urls):
+    def pattern(glob):
+        parts = re.split(r"(\*\*|\*|\?)", glob)
+        return "".join({"**": ".*", "*": "[^/]*", "?": "[^/]"}.get(p, re.escape(p)) for p in parts)
+
+    got = Automaton([tokens_of(g) for g in GLOBS]).matches([u.encode() for u in urls])
+    want = [[re.fullmatch(pattern(g), u, re.S) is not None for g in GLOBS] for u in urls]
+    assert got.tolist() == want
+
+
+def test_url_rules(spark):
+    urls = {
+        1: "http://WWW.Example.com/en/1?x#y",
+        2: "https://blog.example.com/en/1",
+        3: "https://example.com/de/1",
+        4: "http://a.net/es/1",
+        5: "http://a.net/de/1",
+        6: "http://evil.org/x.net/es/1",
+        7: "https://big-casino.org",
+        8: "no scheme",
+        9: None,
+        10: "http://notcom/",
+        11: "http://com/",
+        12: "http://example.com",
+    }
+    pages = spark.createDataFrame(list(urls.items()), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in judged(pages).collect()}
+    assert got[1] == ("www.example.com/en/", "allow") and got[2] == ("example.com/en/", "block")
+    assert got[3] == ("com/", "allow") and got[4] == ("net/es/", "block") and got[5] == (None, "allow")
+    assert got[6] == (None, "allow") and got[7] == (None, "block") and got[8] == got[9] == (None, "block")
+    assert got[10] == (None, "allow") and got[11] == ("com/", "allow") and got[12] == (None, "allow")
+    first = judged(pages, (Rule("block", "com", "/"), Rule("allow", "com", "/"))).collect()
+    assert {r.verdict for r in first if r.rule} == {"block"}
+
+
+WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def brute_hits(text, items, window):
+    words = WORD.findall((text or "").encode().lower())
+    hit, named = set(), set()
+    for item, content in items:
+        own = WORD.findall((content or "").encode().lower())
+        n = min(window, len(own))
+        for i in range(len(own) - n + 1 if n else 0):
+            for at in range(len(words) - n + 1):
+                if words[at : at + n] == own[i : i + n]:
+                    hit |= set(range(at, at + n))
+                    named.add(str(item))
+    return len(words), len(hit), sorted(named)
+
+
+def test_decontamination(spark, documents):
+    rng = np.random.default_rng(8)
+    say = lambda n: " ".join(rng.choice(["ab", "cd", "é", "f1", "gh"], n))
+    items = [(i, say(n)) for i, n in enumerate((14, 30, 10, 4, 2, 1, 12))] + [(7, None), (8, ""), (9, "Zz! zz")]
+    items[5] = (5, "rareword")
+    texts = {i: say(40) for i in range(30)} | {100: items[1][1].upper(), 101: "x, Rareword; y", 102: "zz zz zz", 103: None}
+    texts[104] = f"{say(5)} {items[0][1]} {say(3)} {items[6][1]}"
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    for r in decontaminated(documents(texts), benchmark).collect():
+        assert (r.n_words, r.n_hit, r["items"]) == brute_hits(texts[r.doc_id], items, 10), r.doc_id
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=40))
+def test_best_fit_and_its_bound(raw):
+    lengths = np.array(raw, np.int64)
+    bins, offsets, rooms = best_fit(lengths, 20)
+    for b in range(len(rooms)):
+        inside = sorted((int(o), int(n)) for o, n, x in zip(offsets, lengths, bins) if x == b)
+        assert [o for o, _ in inside] == np.cumsum([0, *[n for _, n in inside]])[:-1].tolist()
+        assert sum(n for _, n in inside) == 20 - rooms[b]
+    assert -(-lengths.sum() // 20) <= lower_bound(lengths, 20) <= len(rooms)
+
+
+def smallest(lengths, capacity):
+    def fits(left, rooms):
+        if not left:
+            return True
+        for i in {r: i for i, r in enumerate(rooms)}.values():
+            if rooms[i] >= left[0] and fits(left[1:], [*rooms[:i], rooms[i] - left[0], *rooms[i + 1 :]]):
+                return True
+        return False
+
+    n = 0
+    while not fits(sorted(lengths, reverse=True), [capacity] * n):
+        n += 1
+    return n
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 12), max_size=8))
+def test_bound_never_exceeds_the_optimum(lengths):
+    assert lower_bound(np.array(lengths, np.int64), 12) <= smallest(lengths, 12)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(st.sampled_from("ab 'é\t\n.,1Ä中 \u0085\x1c") | st.characters(codec="utf-8"), max_size=40))
+def test_ids_are_those_of_the_tokeniser(text):
+    from tokenizers import Tokenizer
+
+    files = public_files()
+    want = Tokenizer.from_file(files[0]).encode(text, add_special_tokens=False).ids
+    assert token_ids(text, files) == np.array(want, "<u4").tobytes()
+
+
+@needs_tables
+def test_packing_round_trip(spark):
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    tokenizer = Tokenizer.from_file(public_files()[0])
+    want = {r.doc_id: np.array([*tokenizer.encode(r.text, add_special_tokens=False).ids, 2], "<u4") for r in docs.collect()}
+    for items in (50_000, 40):
+        rows = packed(docs, items=items).collect()
+        pieces, sequences = {}, {}
+        for r in rows:
+            pieces.setdefault(r.doc_id, []).append(r)
+            sequences.setdefault(r.sequence_id, []).append(r)
+        assert pieces.keys() == want.keys()
+        for doc_id, own in pieces.items():
+            at = 0
+            for k, p in enumerate(sorted(own, key=lambda p: p.piece)):
+                assert (p.piece, p.start) == (k, at) and (p.length == 1024 or k == 0)
+                assert p.ids_crc32 == zlib.crc32(want[doc_id][at : at + p.length].tobytes())
+                at += p.length
+            assert at == len(want[doc_id]) and len(own) == -(-at // 1024)
+        for own in sequences.values():
+            own.sort(key=lambda p: p.offset)
+            assert [p.offset for p in own] == np.cumsum([0, *[p.length for p in own]])[:-1].tolist()
+            assert sum(p.length for p in own) <= 1024
+        bound = lower_bound(np.array([r.length for r in rows]), 1024)
+        assert len(sequences) <= 1.05 * bound + 2
+
+
+@needs_tables
+def test_pipeline(spark):
+    assert [f.__name__ for _, f in corpus_pipeline.STAGES] == [
+        "drop_toxic",
+        "drop_repeated_lines",
+        "drop_near_duplicates",
+        "drop_contaminated",
+        "pack",
+    ]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert {r.doc_id for r in rows} <= {r.doc_id for r in docs.collect()}
+    assert len({r.doc_id for r in rows}) > 0.7 * docs.count()
+
+
+def test_queries_are_registered():
+    numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op"))
+    assert numbers == list(range(1, 11)) and "pipeline" in queries.QUERIES
+    assert queries.QUERIES.keys() <= registry.queries().keys()
