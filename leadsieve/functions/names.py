@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadsieve.functions.text import WS, decode, strip
+from leadsieve.functions.text import WS, decode, strip, up_to_last
 
 # Where a page states its name. Each meta tag is searched with
 # ``property`` before ``content`` first and the other way round second.
@@ -96,6 +96,11 @@ def _capture(html: Column, pattern: str) -> Column:
     return F.regexp_extract(html, pattern, 1)
 
 
+def _meta(html: Column, name: str, pattern: str) -> Column:
+    """Capture of a meta tag, searched only in pages that mention its name."""
+    return F.when(html.rlike(f"(?iu){name}"), _capture(html, pattern)).when(html.isNotNull(), "")
+
+
 def _segments(title: Column) -> Column:
     return F.transform(F.split(title, SEGMENT_SEPARATOR, -1), strip)
 
@@ -136,14 +141,14 @@ def with_site_name(df: DataFrame, html: str, name: str, source: str) -> DataFram
     no_title = F.coalesce(site, title).isNull()
     no_og = F.coalesce(site, title, og).isNull()
     searches = [
-        ("_site", _capture(page, SITE_NAME_PATTERNS[0])),
-        ("_site", F.when(site == "", _capture(page, SITE_NAME_PATTERNS[1])).otherwise(site)),
+        ("_site", _meta(page, "og:site_name", SITE_NAME_PATTERNS[0])),
+        ("_site", F.when(site == "", _meta(page, "og:site_name", SITE_NAME_PATTERNS[1])).otherwise(site)),
         ("_site", strip(site)),
         ("_site", F.when((site != "") & (F.length(site) < MAX_SITE_NAME), site)),
-        ("_title", F.when(no_site, strip(_capture(page, TITLE_PATTERN)))),
+        ("_title", F.when(no_site, strip(_capture(up_to_last(page, "</title>"), TITLE_PATTERN)))),
         ("_title", title_segment(title)),
-        ("_og", F.when(no_title, _capture(page, OG_TITLE_PATTERNS[0]))),
-        ("_og", F.when(og == "", _capture(page, OG_TITLE_PATTERNS[1])).otherwise(og)),
+        ("_og", F.when(no_title, _meta(page, "og:title", OG_TITLE_PATTERNS[0]))),
+        ("_og", F.when(og == "", _meta(page, "og:title", OG_TITLE_PATTERNS[1])).otherwise(og)),
         ("_og", og_title_segment(strip(og))),
         ("_stated", F.when(no_og, strip(_capture(page, JSON_NAME_PATTERN)))),
         ("_stated", F.when(word_count(stated).between(MIN_WORDS, MAX_WORDS), stated)),

@@ -87,5 +87,5 @@ def path_key(path: Column) -> Column:
 
 def first_paths(paths: Column, keys: Column, n: int) -> Column:
     """The first ``n`` of ``paths`` with distinct keys, first spelling kept."""
-    kept = F.filter(paths, lambda p, i: F.array_position(keys, F.get(keys, i)) == i + 1)
-    return F.slice(kept, 1, n)
+    wanted = F.slice(F.array_distinct(keys), 1, n)
+    return F.transform(wanted, lambda k: F.get(paths, F.array_position(keys, k).cast("int") - 1))

@@ -16,9 +16,7 @@ WS_CHARS = (
     + "\u2028\u2029\u202f\u205f\u3000"
 )
 
-# How much of a page is read and kept, in characters.
-MAX_HTML = 50_000
-MAX_TEXT = 10_000
+# Lengths of the text samples that are written out, in characters.
 SNIPPET = 300
 SHORT_SNIPPET = 200
 
@@ -57,20 +55,43 @@ def decode(c: Column, entities) -> Column:
     return c
 
 
-def html_to_text(html: Column) -> Column:
-    """Readable text of a page; null when there is no page at all."""
-    return cut_html_to_text(left(html, MAX_HTML))
+def up_to_last(c: Column, closing: str) -> Column:
+    """Text up to the last place where the pattern ``closing`` ends; empty without one."""
+    return F.regexp_extract(c, rf"(?isu)\A.*{closing}", 0)
+
+
+def bound(c: Column, use) -> Column:
+    """``use(c)`` with ``c`` computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
+def replace_closed(c: Column, pattern: str, closing: str) -> Column:
+    """Put blanks for ``pattern``, which ends in ``closing``.
 
+    Behind the last ``closing`` nothing can match, but every opening would be followed to the
+    end of the text to find that out; that part is left alone.
+    """
 
-def cut_html_to_text(page: Column) -> Column:
-    """``html_to_text`` of HTML that is cut to size already."""
-    text = page
-    for block in (SCRIPT_BLOCK, STYLE_BLOCK, ANY_TAG):
-        text = F.regexp_replace(text, block, " ")
+    def parts(text: Column) -> Column:
+        return bound(
+            up_to_last(text, closing),
+            lambda head: F.concat(
+                F.regexp_replace(head, pattern, " "), F.substr(text, F.length(head) + 1)
+            ),
+        )
+
+    return bound(c, parts)
+
+
+def html_to_text(html: Column) -> Column:
+    """Readable text of a whole page; null when there is no page at all."""
+    text = replace_closed(html, SCRIPT_BLOCK, "</script>")
+    text = replace_closed(text, STYLE_BLOCK, "</style>")
+    text = replace_closed(text, ANY_TAG, ">")
     text = decode(text, TEXT_ENTITIES)
     # Single blanks stay as they are; only longer or unusual runs are rewritten.
     text = F.regexp_replace(text, rf"[{WS}&&[^ ]]{WS}*| {WS}+", " ")
-    return F.when(page != "", left(F.btrim(text), MAX_TEXT))
+    return F.when(html != "", F.btrim(text))
 
 
 def snippet(text: Column, n: int = SNIPPET) -> Column:

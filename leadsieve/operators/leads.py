@@ -33,6 +33,9 @@ OUTPUT_COLUMNS = (
 # Computed, never written.
 UNWRITTEN_COLUMNS = ("is_parked", "error")
 
+# Beginning of the working columns that hold the fields of a lead's site.
+FACT = "_fact_"
+
 # Number of a lead within its input; like all names with ``_`` it is never written.
 ROW_ID = "_row_id"
 
@@ -48,23 +51,41 @@ def unify_headers(df: DataFrame) -> DataFrame:
     The header decides, not the values; the found column is kept as well.
     """
     case_sensitive = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    written = (*OUTPUT_COLUMNS, *UNWRITTEN_COLUMNS)
+    if not case_sensitive:
+        _reject_hidden(df.columns, written, ())
     for names in (DOMAIN_HEADERS, NAME_HEADERS):
         found = exact(df.columns, names)
         if not found or found == names[0]:
             continue
+        if not case_sensitive:
+            _reject_hidden(df.columns, names[:1], (found,))
         if found.lower() == names[0] and not case_sensitive:
             # Such a session cannot hold both spellings.
             df = df.withColumnRenamed(found, names[0])
         else:
-            df = df.withColumn(names[0], F.col(f"`{found}`"))
+            df = df.withColumn(names[0], df[quoted(found)])
     return df
 
 
+def _reject_hidden(columns, new_names, but) -> None:
+    """Stop where a new column would take the place of one that differs from it in case alone."""
+    for name in new_names:
+        hidden = [c for c in columns if c.lower() == name and c != name and c not in but]
+        if hidden:
+            raise ValueError(f"{hidden[0]!r} and {name!r} need spark.sql.caseSensitive=true")
+
+
+def quoted(name: str) -> str:
+    """A column name as Spark expressions take it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def with_working_columns(leads: DataFrame) -> DataFrame:
     """Add ``_url`` (normalised, nullable), ``_raw_name`` (never null) and a row number."""
     if ROW_ID not in leads.columns:
         leads = leads.withColumn(ROW_ID, F.monotonically_increasing_id())
-    names = [nz(F.col(f"`{n}`")) for n in NAME_HEADERS[:2] if n in leads.columns]
+    names = [nz(F.col(quoted(n))) for n in NAME_HEADERS[:2] if n in leads.columns]
     df = leads.withColumn("_raw_name", F.coalesce(*names, F.lit("")))
     return with_normalized_url(df, domain_value(leads.columns), "_url")
 
@@ -90,13 +111,13 @@ def output_projection(df: DataFrame, keep_row_id: bool = False) -> DataFrame:
     """The written columns: input columns in input order, then the computed ones."""
     head = [ROW_ID] if keep_row_id and ROW_ID in df.columns else []
     names = [*head, *original_columns(df.columns), *OUTPUT_COLUMNS]
-    return df.select(*[F.col(f"`{n}`") for n in names])
+    return df.select(*[F.col(quoted(n)) for n in names])
 
 
-def layer2_fields(live: Column, facts: Column, failure: Column, existing) -> dict[str, Column]:
+def layer2_fields(live: Column, facts, failure: Column, existing) -> dict[str, Column]:
     """The eight layer-2 fields of a row, whatever became of it.
 
-    ``facts`` are the fields of the row's site, ``failure`` the message of a row
+    ``facts`` has the fields of the row's site by name, ``failure`` the message of a row
     whose processing failed. A live row without pages counts as parked. A row that
     was not looked at keeps what an earlier run left in ``existing`` columns.
     """
@@ -168,7 +189,7 @@ def fill_defaults(df: DataFrame, stages: str) -> DataFrame:
     """Complete the layer-2 fields of every row.
 
     Takes ``domain_status``, ``_url``, ``_raw_name`` and, unless only layer 1 ran,
-    a struct ``_facts`` and optionally a message ``_failure``. A live site that
+    a struct ``_facts`` or columns ``_fact_...`` and optionally a message ``_failure``. A live site that
     turns out parked changes its ``domain_status``.
     """
     existing = [c for c in df.columns if c in FACT_COLUMNS]
@@ -176,7 +197,9 @@ def fill_defaults(df: DataFrame, stages: str) -> DataFrame:
         return df.withColumns(not_run_fields(existing))
     live = is_live(F.col("domain_status"))
     failure = F.col("_failure") if "_failure" in df.columns else F.lit(None).cast("string")
-    fields = layer2_fields(live, F.col("_facts"), failure, existing)
+    packed = "_facts" in df.columns
+    facts = F.col("_facts") if packed else {c: F.col(FACT + c) for c in FACT_COLUMNS}
+    fields = layer2_fields(live, facts, failure, existing)
     parked = live & (fields["industry_match"] == "parked_domain")
     return df.withColumns(
         {**fields, "domain_status": F.when(parked, "parked").otherwise(F.col("domain_status"))}

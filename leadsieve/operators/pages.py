@@ -25,9 +25,8 @@ from leadsieve.functions.pages import (
     text_bundle,
 )
 from leadsieve.functions.text import (
-    MAX_HTML,
     SHORT_SNIPPET,
-    cut_html_to_text,
+    html_to_text,
     left,
     nz,
     snippet,
@@ -92,11 +91,11 @@ def of_sites(table: DataFrame, site: Column, urls: DataFrame, fits: bool) -> Dat
 
 
 def with_page_text(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
-    """Add ``_page`` (what is read of the page) and its text, of answers with status 200."""
-    page = F.when(F.col("status_code") == 200, left(F.col(html), MAX_HTML))
+    """Add ``_page`` (the page) and its whole text, of answers with status 200."""
+    page = F.when(F.col("status_code") == 200, F.col(html))
     return (
         df.withColumn("_page", page)
-        .withColumn(out, cut_html_to_text(F.col("_page")))
+        .withColumn(out, html_to_text(F.col("_page")))
         .withColumn(out, F.when(F.col(out) != "", F.col(out)))
     )
 
@@ -110,10 +109,11 @@ def _capture_rank() -> Column:
 
 
 def reduce_pages(snapshot: DataFrame, cfg: SieveConfig) -> DataFrame:
-    """Every page as ``site, path, fetch_via, rank, home, sub_text``; no HTML left.
+    """Every page as ``site, path, fetch_via, rank, verdict, details, sub_text``; no HTML left.
 
     Everything heavy is a projection over the scan. What only homepages need is
-    computed only for them: ``_home_page`` is null elsewhere.
+    computed only for them: ``_home_page`` is null elsewhere. What decides about a site
+    is apart from what describes it, so a count of decisions computes no names or bundles.
     """
     df = snapshot.select(
         site_of(F.col("url")).alias("site"),
@@ -146,12 +146,17 @@ def reduce_pages(snapshot: DataFrame, cfg: SieveConfig) -> DataFrame:
                 F.col("match_result"),
                 listed(F.col("matched")).alias("matched"),
                 listed(F.col("negatives")).alias("negatives"),
+            ),
+        ).alias("verdict"),
+        F.when(
+            home,
+            F.struct(
                 snippet(F.col("text")).alias("snippet"),
                 F.col("site_name"),
                 F.col("name_source"),
                 homepage_part(F.col("text")).alias("part"),
             ),
-        ).alias("home"),
+        ).alias("details"),
         F.when(
             ~home & (F.length(strip(F.col("text"))) > MIN_SUBPAGE_TEXT),
             left(F.col("text"), BUNDLE_SUBPAGE),
@@ -178,22 +183,28 @@ def page_facts(
 
     subs = {s: f"sub_{i}" for i, s in enumerate(suffixes(paths))}
     grouped = pages.groupBy("site").agg(
-        latest("home", "", "direct").alias("home_direct"),
-        *([latest("home", "", "api").alias("home_api")] if use_api else []),
+        *[
+            latest(part, "", via).alias(f"{part}_{via}")
+            for part in ("verdict", "details")
+            for via in (("direct", "api") if use_api else ("direct",))
+        ],
         *[latest("sub_text", suffix, sub_via).alias(name) for suffix, name in subs.items()],
     )
-    home = F.col("home_direct")
-    if use_api:
-        home = F.when(F.col("home_api")["has_text"], F.col("home_api")).otherwise(home)
-    sites = grouped.withColumn("home", home)
+    sites = grouped
+    for part in ("verdict", "details"):
+        chosen = F.col(f"{part}_direct")
+        if use_api:
+            from_api = F.col("verdict_api")["has_text"]
+            chosen = F.when(from_api, F.col(f"{part}_api")).otherwise(chosen)
+        sites = sites.withColumn(part, chosen)
     return _site_fields(sites, [(p, F.col(subs["/" + p.lstrip("/")])) for p in paths])
 
 
 def _site_fields(sites: DataFrame, subpages) -> DataFrame:
-    """Row-level fields of a site from its homepage struct and its sub-page texts."""
-    h = F.col("home")
-    parked = F.coalesce(h["parked"], F.lit(True))
-    followed = h["match_result"].isin("match", "weak_match")
+    """Row-level fields of a site from what its homepage says and its sub-page texts."""
+    h, verdict = F.col("details"), F.col("verdict")
+    parked = F.coalesce(verdict["parked"], F.lit(True))
+    followed = verdict["match_result"].isin("match", "weak_match")
     parts = [subpage_part(F.lit(p), F.when(followed, t)) for p, t in subpages]
     names = [F.when(followed & t.isNotNull(), F.lit(p)) for p, t in subpages]
 
@@ -202,9 +213,9 @@ def _site_fields(sites: DataFrame, subpages) -> DataFrame:
 
     return sites.select(
         F.col("site").alias("url"),
-        F.when(parked, "parked_domain").otherwise(h["match_result"]).alias("industry_match"),
-        unless_parked(h["matched"]).alias("matched_keywords"),
-        F.when(~parked, h["negatives"]).alias("negative_keywords"),
+        F.when(parked, "parked_domain").otherwise(verdict["match_result"]).alias("industry_match"),
+        unless_parked(verdict["matched"]).alias("matched_keywords"),
+        F.when(~parked, verdict["negatives"]).alias("negative_keywords"),
         F.when(parked, snippet(h["snippet"], SHORT_SNIPPET))
         .otherwise(h["snippet"])
         .alias("homepage_snippet"),

@@ -11,6 +11,7 @@ from leadsieve.config import SieveConfig, require_keywords
 from leadsieve.functions.decide import decide
 from leadsieve.functions.probes import is_live
 from leadsieve.operators.leads import (
+    FACT,
     ROW_ID,
     distinct_urls,
     fill_defaults,
@@ -61,7 +62,8 @@ def qualify(
             facts = page_facts(pages, config, use_api)
         else:
             facts = of_sites(facts, facts["url"], live, fits)
-        facts = facts.select("url", F.struct(*FACT_COLUMNS).alias("_facts"))
+        # columns of their own, so that fields nobody asks for are never computed
+        facts = facts.select("url", *[F.col(c).alias(FACT + c) for c in FACT_COLUMNS])
         per_url = urls.join(facts, "url", "left")
     hot = hot_urls(urls, slice_rows) if size.most_leads > slice_rows else None
     joined = join_back(rows, per_url, hot)
@@ -127,7 +129,7 @@ def hot_urls(urls: DataFrame, slice_rows: int) -> DataFrame:
 
 
 def join_back(rows: DataFrame, per_url: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """Every lead with the ``_probe`` and ``_facts`` of its URL.
+    """Every lead with the ``_probe`` and ``_fact_`` columns of its URL.
 
     Leads without a URL get a join key of their own, so they spread over all
     partitions instead of meeting in one. Normally the key is the URL, by which
@@ -135,7 +137,7 @@ def join_back(rows: DataFrame, per_url: DataFrame, hot: DataFrame | None) -> Dat
     by row number, and the one row of such a URL is repeated per slice.
     """
     url, alone = F.col("_url"), F.concat(F.lit("#"), F.col(ROW_ID).cast("string"))
-    values = [c for c in per_url.columns if c in ("_probe", "_facts")]
+    values = [c for c in per_url.columns if c == "_probe" or c.startswith(FACT)]
     keyed = rows.withColumn("_key", F.coalesce(url, alone))
     right = per_url.withColumnRenamed("url", "_key")
     if hot is None:

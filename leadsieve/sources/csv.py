@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from leadsieve.functions.decide import DECISIONS
-from leadsieve.operators.leads import ROW_ID, output_projection
+from leadsieve.operators.leads import ROW_ID, output_projection, quoted
 from leadsieve.operators.report import decision_summary
 from leadsieve.sources.storage import scratch_path
 
@@ -24,13 +24,26 @@ CSV_FORMAT = {
     "emptyValue": "",
 }
 
+# Lines that a header record takes at most.
+HEADER_LINES = 100
+
+# A file whose header differs from the others' is an error, not a shift of its columns.
+CSV_INPUT = {**CSV_FORMAT, "enforceSchema": False}
+
 
 def header_of(spark: SparkSession, path: str) -> list[str]:
-    """Column names on the first line of the files at ``path``, as spelled there."""
-    line = spark.read.text(path).first()
-    if line is None:
+    """Column names in the first record of the files at ``path``, as spelled there.
+
+    The record may hold line breaks inside quotes: lines are taken until they are closed.
+    """
+    lines: list[str] = []
+    for row in spark.read.text(path).limit(HEADER_LINES).toLocalIterator():
+        lines.append(row[0])
+        if sum(line.count('"') for line in lines) % 2 == 0:
+            break
+    if not lines:
         raise ValueError(f"no header line in {path}")
-    return next(csv.reader([line[0].lstrip("﻿")]))
+    return next(csv.reader(["\n".join(lines).lstrip("\ufeff")], strict=False))
 
 
 def leads_schema(spark: SparkSession, header: list[str]) -> StructType:
@@ -47,12 +60,12 @@ def leads_schema(spark: SparkSession, header: list[str]) -> StructType:
 def read_leads(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """Leads of the CSV files at ``path`` with a row number that grows within each file.
 
-    All files have the same header. Short rows are filled with null, surplus fields
+    A file with another header than the first one's makes the read fail. Short rows are filled with null, surplus fields
     are dropped, blank lines are skipped. With ``multiline`` a field may hold line
     breaks and a file is one task; without it large files are split.
     """
     schema = leads_schema(spark, header_of(spark, path))
-    rows = spark.read.options(**CSV_FORMAT).option("multiLine", multiline).schema(schema).csv(path)
+    rows = spark.read.options(**CSV_INPUT).option("multiLine", multiline).schema(schema).csv(path)
     return rows.withColumn(ROW_ID, F.monotonically_increasing_id())
 
 
@@ -92,9 +105,9 @@ def write_outputs(
     by_decision.write.mode("overwrite").partitionBy("_decision").parquet(stage)
     schema = StructType([*df.schema.fields, StructField("_decision", StringType())])
     staged = spark.read.schema(schema).parquet(stage)
-    write_csv(staged.select(*[f"`{n}`" for n in names]), path, ordered)
+    write_csv(staged.select(*map(quoted, names)), path, ordered)
     for decision in DECISIONS:
-        part = staged.where(F.col("_decision") == decision).select(*[f"`{n}`" for n in names])
+        part = staged.where(F.col("_decision") == decision).select(*map(quoted, names))
         write_csv(part, split_path(path, decision), ordered)
     return decision_summary(staged)
 
@@ -102,7 +115,7 @@ def write_outputs(
 def read_output(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a written output, every value a string, missing values empty."""
     schema = leads_schema(spark, header_of(spark, path))
-    rows = spark.read.options(**CSV_FORMAT).option("multiLine", True).schema(schema).csv(path)
+    rows = spark.read.options(**CSV_INPUT).option("multiLine", True).schema(schema).csv(path)
     return rows.na.fill("")
 
 

@@ -20,10 +20,11 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named
     context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return context.getCheckpointDir()
     if not context.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors can reach")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="leadsieve-"))
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="leadsieve-"))
     return context.getCheckpointDir()
 
 

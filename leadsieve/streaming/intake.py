@@ -22,7 +22,7 @@ from leadsieve.operators.leads import (
 from leadsieve.operators.pages import of_sites, page_facts
 from leadsieve.operators.report import decision_summary
 from leadsieve.plans.qualify import BROADCAST_ROW_BYTES, broadcast_limit, qualify
-from leadsieve.sources.csv import CSV_FORMAT, header_of, leads_schema
+from leadsieve.sources.csv import CSV_INPUT, header_of, leads_schema
 
 
 def store_facts(snapshot: DataFrame, config: SieveConfig, path: str, use_api: bool = False):
@@ -37,7 +37,7 @@ def read_lead_stream(
     """Lead files as a stream; the header is fixed, by default that of the files present."""
     schema = leads_schema(spark, header or header_of(spark, folder))
     return (
-        spark.readStream.options(**CSV_FORMAT)
+        spark.readStream.options(**CSV_INPUT)
         .option("multiLine", True)
         .option("maxFilesPerTrigger", files_per_batch)
         .schema(schema)

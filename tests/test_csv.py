@@ -1,6 +1,6 @@
 import pytest
 
-from leadsieve.operators.leads import ROW_ID
+from leadsieve.operators.leads import ROW_ID, unify_headers
 from leadsieve.sources.csv import (
     read_leads,
     read_output,
@@ -88,3 +88,30 @@ def test_recount_is_not_misled_by_text(spark, tmp_path):
     write_csv(tricky, out)
     assert tuple(recount(spark, out).first()) == (10, 2, 5, 3)
     assert {r.scraped_text for r in read_output(spark, out).collect()} == {'a,FAIL,\n"b",PASS,\n x \\ " '}
+
+
+def test_files_with_other_headers_fail(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("company_name,domain\nAcme,acme.com\n")
+    (tmp_path / "b.csv").write_text("domain,company_name\nbeta.com,Beta\n")
+    with pytest.raises(Exception, match="header"):
+        read_leads(spark, str(tmp_path)).collect()
+
+
+def test_a_header_with_line_breaks_and_backticks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('company_name,"dom\nain","a`b"\nAcme,x,1\n')
+    rows = read_leads(spark, str(tmp_path))
+    assert rows.columns[:3] == ["company_name", "dom\nain", "a`b"]
+    assert unify_headers(rows).collect()[0][2] == "1"
+
+
+@pytest.mark.parametrize("header", ["company_name,Domain,website", "Company_Name,Company Name,domain", "company_name,domain,Industry_Match"])
+def test_columns_that_differ_in_case_alone_are_not_overwritten(spark, tmp_path, header):
+    (tmp_path / "a.csv").write_text(f"{header}\nx,y,z\n")
+    with pytest.raises(ValueError, match="caseSensitive"):
+        unify_headers(read_leads(spark, str(tmp_path)))
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        row = unify_headers(read_leads(spark, str(tmp_path))).first().asDict()
+        assert [row[c] for c in header.split(",")] == ["x", "y", "z"]
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")

@@ -3,6 +3,7 @@
 import re
 
 from leadsieve.operators.pages import page_facts
+from leadsieve.operators.report import decision_summary, match_histogram
 from leadsieve.plans.qualify import qualify
 from tests.test_qualify import CFG, inputs
 
@@ -78,3 +79,12 @@ def test_many_live_urls_are_joined_after_reduction(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "LeftSemi" in plan(qualify(leads, log, pages, CFG))
+
+
+def test_counts_compute_no_names_and_no_bundles(spark, tmp_path):
+    leads, log, pages = stored(spark, tmp_path)
+    done = qualify(leads, log, pages, CFG)
+    for counts in (decision_summary(done), match_histogram(done)):
+        text = counts._jdf.queryExecution().optimizedPlan().toString()
+        assert "<script[^>]*>" in text
+        assert "<title" not in text and "HOMEPAGE" not in text

@@ -1,8 +1,7 @@
 import sys
+import time
 
 from leadsieve.functions.text import (
-    MAX_HTML,
-    MAX_TEXT,
     WS,
     WS_CHARS,
     html_to_text,
@@ -43,20 +42,18 @@ def test_html_to_text(evaluate):
     assert evaluate(html_to_text, list(cases)) == list(cases.values())
 
 
-def test_html_is_cut_before_and_text_after_stripping(evaluate):
-    late = "x" * (MAX_HTML - 8) + "<script>tail</script>"
-    split_tag = "y" * (MAX_TEXT - 1) + " zz"
-    got = evaluate(html_to_text, [late, split_tag, "a" * 60_000, "é" * 20_000])
-    assert got[0] == "x" * MAX_TEXT
-    assert got[1] == "y" * (MAX_TEXT - 1) + " "
-    assert got[2] == "a" * MAX_TEXT
-    assert got[3] == "é" * MAX_TEXT
-    cut = "<b>" * ((MAX_HTML - 20) // 3) + "k<script>open" + "q" * 50 + "</script>"
-    assert evaluate(html_to_text, [cut])[0].startswith("k open")
+def test_whole_pages_are_read(evaluate):
+    late = "x" * 70_000 + "<script>tail</script>y<b>z</b>"
+    assert evaluate(html_to_text, [late, "é" * 20_000]) == ["x" * 70_000 + " y z", "é" * 20_000]
 
 
-def test_unclosed_script_of_full_size(evaluate):
-    assert len(evaluate(html_to_text, ["<script>" + "a b " * 12_500])[0]) == MAX_TEXT
+def test_unclosed_markup_takes_linear_time(evaluate):
+    size = 1_000_000
+    pages = ["<script>" * (size // 8), "<style>a " * (size // 9), "<" * size, "<b>x</b>" + "<p " * (size // 3)]
+    began = time.perf_counter()
+    got = evaluate(html_to_text, pages)
+    assert time.perf_counter() - began < 30
+    assert got == ["", " ".join("a" * (size // 9)), "<" * size, "x " + ("<p " * (size // 3)).strip()]
 
 
 def test_snippet_and_missing(evaluate):

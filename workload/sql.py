@@ -214,7 +214,7 @@ snapshot AS (
 
 
 def text_sql(html: str) -> str:
-    x = f"left({html}, 50000)"
+    x = html
     for pattern in ("(?is)<script[^>]*>.*?</script>", "(?is)<style[^>]*>.*?</style>", "<[^>]+>"):
         x = f"regexp_replace({x}, '{pattern}', ' ', 'g')"
     for entity, char in (
@@ -222,7 +222,7 @@ def text_sql(html: str) -> str:
     ):
         x = f"replace({x}, {q(entity)}, {q(char)})"
     x = f"regexp_replace({x}, '{WS}+', ' ', 'g')"
-    return f"left({strip(x)}, 10000)"
+    return strip(x)
 
 
 def parked_sql(text: str) -> str:
@@ -350,7 +350,7 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY url, fetch_via ORDER BY captured_at DESC) AS rn
   FROM snapshot),
 texts AS (
-  SELECT url, fetch_via, CASE WHEN status_code = 200 THEN left(html, 50000) END AS page,
+  SELECT url, fetch_via, CASE WHEN status_code = 200 THEN html END AS page,
          CASE WHEN status_code = 200 THEN nullif({text_sql("html")}, '') END AS text
   FROM ranked WHERE rn = 1)"""
 
