@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,12 +77,26 @@ def keyword_hits(lower_text: Column, keywords) -> Column:
     )
 
 
-def with_keyword_match(df: DataFrame, text: str, lower_text: str, cfg: SieveConfig) -> DataFrame:
+def hits_of_list(lower_text: Column, terms: Column) -> Column:
+    """Those of the array ``terms`` that occur in the text, in list order, repeats kept."""
+    found = F.filter(terms, lambda k: lower_text.contains(F.lower(k)))
+    return F.when(lower_text.isNotNull(), found).otherwise(_terms(()))
+
+
+def with_keyword_match(
+    df: DataFrame, text: str, lower_text: str, cfg: SieveConfig, lists: Sequence[str] = ()
+) -> DataFrame:
     """Add ``match_result``, ``matched`` and ``negatives`` (arrays) for a text column.
 
     ``lower_text`` names the lower-case text, held in a column so that it is computed once.
+    The keywords are those of ``cfg`` or, row by row, the arrays in the three columns
+    ``lists``: primary, secondary and negative terms.
     """
     low = F.col(lower_text)
+    if lists:
+        hits = [hits_of_list(low, F.col(c)) for c in lists]
+    else:
+        hits = [keyword_hits(low, k) for k in (cfg.primary, cfg.secondary, cfg.negative)]
     primary, secondary, negative = F.col("_primary"), F.col("_secondary"), F.col("negatives")
     enough_primary = F.size(primary) >= cfg.primary_threshold
     enough_secondary = F.size(secondary) >= cfg.secondary_threshold
@@ -101,9 +117,9 @@ def with_keyword_match(df: DataFrame, text: str, lower_text: str, cfg: SieveConf
     return (
         df.withColumns(
             {
-                "_primary": keyword_hits(low, cfg.primary),
-                "_secondary": keyword_hits(low, cfg.secondary),
-                "negatives": F.when(missing, _terms(())).otherwise(keyword_hits(low, cfg.negative)),
+                "_primary": hits[0],
+                "_secondary": hits[1],
+                "negatives": F.when(missing, _terms(())).otherwise(hits[2]),
             }
         )
         .withColumns({"match_result": result, "matched": matched})
@@ -111,6 +127,27 @@ def with_keyword_match(df: DataFrame, text: str, lower_text: str, cfg: SieveConf
     )
 
 
+def with_campaign_match(
+    df: DataFrame, campaigns: DataFrame, text: str, file_config: SieveConfig
+) -> DataFrame:
+    """Match every row's text against the lists of its own campaign.
+
+    ``campaigns`` holds ``campaign_id`` and the typed lists ``primary, secondary, negative``,
+    one row per campaign; rows find theirs by ``campaign_id``. A row whose campaign is
+    unknown is matched against the configured lists.
+    """
+    lists = ("_p", "_s", "_n")
+    typed = campaigns.select(
+        "campaign_id",
+        *[parse_keywords(F.col(c)).alias(a) for c, a in zip(("primary", "secondary", "negative"), lists)],
+    )
+    joined = df.join(typed, "campaign_id", "left")
+    joined = joined.withColumns({c: F.coalesce(F.col(c), _terms(())) for c in lists})
+    used = with_effective_keywords(joined, *lists, file_config)
+    used = used.withColumn("_low", F.lower(F.col(text)))
+    return with_keyword_match(used, text, "_low", file_config, lists).drop("_low", *lists)
+
+
 def listed(terms: Column) -> Column:
     """Terms as one string, empty for none."""
     return F.concat_ws("; ", terms)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadsieve.config import DEFAULT_SCRAPE_PATHS, SieveConfig
@@ -11,6 +11,7 @@ from leadsieve.functions.domains import domain_value, with_normalized_url
 from leadsieve.functions.keywords import (
     listed,
     parse_keywords,
+    with_campaign_match,
     with_effective_keywords,
     with_keyword_match,
 )
@@ -36,10 +37,14 @@ from leadsieve.operators.report import decision_summary, match_histogram
 from leadsieve.plans.qualify import qualify
 from leadsieve.sources.csv import (
     CSV_FORMAT,
+    CSV_INPUT,
+    header_of,
+    leads_schema,
     read_leads,
     read_output,
     recount,
     split_path,
+    write_csv,
     write_outputs,
 )
 from leadsieve.sources.storage import scratch_path
@@ -57,6 +62,11 @@ STATUSES = (
     "error", "redirects_to_social", "live_http_only", "redirect", "needs_get", "http_429",
     "unknown", "parked",
 )
+# Lists as people type them, dealt to campaigns by number; numbers from 0 to CAMPAIGNS - 1 occur.
+CAMPAIGNS = 12
+CAMPAIGN_PRIMARY = ("Anth, wher", "", "thouf\nder \n", "éè,ung", None)
+CAMPAIGN_SECONDARY = ("tion, THE ,und", "el,los", "", "")
+CAMPAIGN_NEGATIVE = ("que", "", " zzneg , erst")
 MATCHES = (
     "match", "weak_match", "no_match", "negative_match", "parked_domain", "no_text", "error",
     "skipped", "domain_dead", "not_run",
@@ -273,6 +283,25 @@ def keyword_lists(spark, sf_dir):
     )
 
 
+def campaign_match(spark, sf_dir):
+    """Every document against the lists typed for its campaign; some campaigns are unknown."""
+    n = F.col("s_suppkey")
+    campaigns = table(spark, sf_dir, "supplier").select(
+        n.alias("campaign_id"),
+        choose(n, [F.lit(x) for x in CAMPAIGN_PRIMARY]).alias("primary"),
+        choose(n, [F.lit(x) for x in CAMPAIGN_SECONDARY]).alias("secondary"),
+        choose(n, [F.lit(x) for x in CAMPAIGN_NEGATIVE]).alias("negative"),
+    )
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id").select(
+        "doc_id", "text", (F.col("doc_id") % CAMPAIGNS).alias("campaign_id")
+    )
+    return with_campaign_match(docs, campaigns, "text", CONFIG).select(
+        "doc_id", "campaign_id", "match_result",
+        listed(F.col("matched")).alias("matched_keywords"),
+        listed(F.col("negatives")).alias("negative_keywords"),
+    )
+
+
 def full(spark, sf_dir, use_api: bool = False):
     leads, log = _inputs(spark, sf_dir)
     snapshot = derive.page_snapshot(spark, sf_dir)
@@ -326,6 +355,32 @@ def csv_roundtrip(spark, sf_dir):
     return rows
 
 
+def csv_ordered(spark, sf_dir):
+    """An ordered output read back: how many rows, and how many stand before an earlier one."""
+    leads = read_leads(spark, _lead_files(spark, sf_dir))
+    leads = leads.withColumn("place_in", F.col(ROW_ID).cast("string"))
+    _, log = _inputs(spark, sf_dir)
+    out = scratch_path(spark, "ordered.csv")
+    write_csv(qualify(leads, log, config=CONFIG, stages="layer1"), out, ordered=True)
+    schema = leads_schema(spark, header_of(spark, out))
+    rows = spark.read.options(**CSV_INPUT).option("multiLine", True).schema(schema).csv(out).select(
+        F.col("place_in").cast("long").alias("place_in"),
+        F.col("_metadata.file_name").alias("part"),
+        F.monotonically_increasing_id().alias("place_out"),
+    )
+    before = F.lag("place_in").over(Window.partitionBy("part").orderBy("place_out"))
+    parts = rows.withColumn("before", before).groupBy("part").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("before") > F.col("place_in")).alias("late"),
+        F.min("place_in").alias("low"),
+        F.max("place_in").alias("high"),
+    )
+    # one row per part file from here on
+    between = parts.withColumn("before", F.lag("high").over(Window.orderBy("part")))
+    late = F.sum("late") + F.count_if(F.col("before") > F.col("low"))
+    return between.agg(F.sum("n").alias("n_rows"), late.alias("out_of_order"))
+
+
 def csv_recount(spark, sf_dir):
     """Counts taken from the written file of all rows."""
     leads = read_leads(spark, _lead_files(spark, sf_dir))
@@ -371,11 +426,13 @@ QUERIES = {
     "q_decision_summary": summary,
     "q_prompt": prompt,
     "q_keyword_lists": keyword_lists,
+    "q_campaign_match": campaign_match,
     "q_layer1_only": _layer1,
     "q_skip_layer1": skip_layer1,
     "q_qualify_full": full,
     "q_qualify_api": full_api,
     "q_csv_roundtrip": csv_roundtrip,
     "q_csv_recount": csv_recount,
+    "q_csv_ordered": csv_ordered,
     "q_stream_intake": stream_intake,
 }

@@ -22,7 +22,15 @@ from workload.derive import (
     PROBE_KINDS,
     SLOT_PATHS,
 )
-from workload.spark_queries import MATCHES, NAME_ENDINGS, STATUSES
+from workload.spark_queries import (
+    CAMPAIGN_NEGATIVE,
+    CAMPAIGN_PRIMARY,
+    CAMPAIGN_SECONDARY,
+    CAMPAIGNS,
+    MATCHES,
+    NAME_ENDINGS,
+    STATUSES,
+)
 
 WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 
@@ -646,27 +654,31 @@ def prompt() -> str:
   || {q(after)} AS prompt FROM documents"""
 
 
-def keyword_lists() -> str:
+def typed_terms(x: str) -> str:
     typed_ws = r"[\t-\r\p{Z}\x{feff}]"
+    trimmed = f"regexp_replace(regexp_replace(t, '^{typed_ws}+', ''), '{typed_ws}+$', '')"
+    return (
+        f"list_filter(list_transform(regexp_split_to_array(coalesce({x}, ''), '[\\n,]+'),"
+        f" lambda t: lower({trimmed})), lambda t: t <> '')"
+    )
 
-    def terms(x: str) -> str:
-        trimmed = f"regexp_replace(regexp_replace(t, '^{typed_ws}+', ''), '{typed_ws}+$', '')"
-        return (
-            f"list_filter(list_transform(regexp_split_to_array(coalesce({x}, ''), '[\\n,]+'),"
-            f" lambda t: lower({trimmed})), lambda t: t <> '')"
-        )
 
+def used_terms(x: str, spare, configured) -> str:
+    return (
+        f"CASE WHEN len(p) + len(s) = 0 THEN {struct_list(configured)}"
+        f" WHEN len({x}) > 0 THEN {x} ELSE CAST({struct_list(spare)} AS VARCHAR[]) END"
+    )
+
+
+def keyword_lists() -> str:
     def used(x: str, spare, configured) -> str:
-        return (
-            f"array_to_string(CASE WHEN len(p) + len(s) = 0 THEN {struct_list(configured)}"
-            f" WHEN len({x}) > 0 THEN {x} ELSE CAST({struct_list(spare)} AS VARCHAR[]) END, '|')"
-        )
+        return f"array_to_string({used_terms(x, spare, configured)}, '|')"
 
     return f"""WITH typed AS (
   SELECT doc_id,
-    {terms("CASE WHEN doc_id % 3 <> 0 THEN text END")} AS p,
-    {terms("CASE WHEN doc_id % 4 < 2 THEN lang || ' ,' || chr(10) || ',' || chr(9) || 'X ' || source END")} AS s,
-    {terms("CASE WHEN doc_id % 5 < 3 THEN text END")} AS n
+    {typed_terms("CASE WHEN doc_id % 3 <> 0 THEN text END")} AS p,
+    {typed_terms("CASE WHEN doc_id % 4 < 2 THEN lang || ' ,' || chr(10) || ',' || chr(9) || 'X ' || source END")} AS s,
+    {typed_terms("CASE WHEN doc_id % 5 < 3 THEN text END")} AS n
   FROM documents)
 SELECT doc_id, {used("p", REQUEST_PRIMARY, KEYWORDS["primary"])} AS primary_terms,
   {used("s", REQUEST_SECONDARY, KEYWORDS["secondary"])} AS secondary_terms,
@@ -674,6 +686,37 @@ SELECT doc_id, {used("p", REQUEST_PRIMARY, KEYWORDS["primary"])} AS primary_term
 FROM typed"""
 
 
+def campaign_match() -> str:
+    def typed(values) -> str:
+        return typed_terms(choose("s_suppkey", [q(v) for v in values]))
+
+    def found(terms: str) -> str:
+        return f"list_filter({terms}, lambda k: contains(lower(text), lower(k)))"
+
+    return f"""WITH campaigns AS (
+  SELECT s_suppkey AS campaign_id, {typed(CAMPAIGN_PRIMARY)} AS p, {typed(CAMPAIGN_SECONDARY)} AS s,
+         {typed(CAMPAIGN_NEGATIVE)} AS n
+  FROM supplier),
+rows_ AS (
+  SELECT doc_id, text, doc_id % {CAMPAIGNS} AS campaign_id, coalesce(p, []) AS p, coalesce(s, []) AS s,
+         coalesce(n, []) AS n
+  FROM documents LEFT JOIN campaigns ON campaign_id = doc_id % {CAMPAIGNS}),
+hits AS (
+  SELECT doc_id, campaign_id, coalesce(text, '') = '' AS missing,
+         {found(used_terms("p", REQUEST_PRIMARY, KEYWORDS["primary"]))} AS k_pri,
+         {found(used_terms("s", REQUEST_SECONDARY, KEYWORDS["secondary"]))} AS k_sec,
+         {found(used_terms("n", (), KEYWORDS["negative"]))} AS k_neg
+  FROM rows_)
+SELECT doc_id, campaign_id,
+  CASE WHEN missing THEN 'no_text' WHEN len(k_neg) > 0 THEN 'negative_match'
+       WHEN len(k_pri) >= 1 OR len(k_sec) >= 2 THEN 'match'
+       WHEN len(k_pri) + len(k_sec) > 0 THEN 'weak_match' ELSE 'no_match' END AS match_result,
+  CASE WHEN missing OR len(k_neg) > 0 THEN '' WHEN len(k_pri) >= 1 THEN array_to_string(k_pri, '; ')
+       ELSE array_to_string(k_pri || k_sec, '; ') END AS matched_keywords,
+  CASE WHEN missing THEN '' ELSE array_to_string(k_neg, '; ') END AS negative_keywords
+FROM hits"""
+
+
 def layer1_only() -> str:
     return f"""WITH {CRAWL},{LEADS},{ROWS},{LOG},{VERDICTS},{STATUSED},
 outcome AS (
@@ -713,7 +756,9 @@ def statements() -> dict[str, str]:
         "q_classify_row": classify(),
         "q_decision_summary": f"WITH {full_ctes()}\n{SUMMARY}",
         "q_prompt": prompt(),
+        "q_csv_ordered": f"WITH {CRAWL} SELECT count(*) AS n_rows, 0 AS out_of_order FROM crawl",
         "q_keyword_lists": keyword_lists(),
+        "q_campaign_match": campaign_match(),
         "q_layer1_only": layer1_only(),
         "q_skip_layer1": skip_layer1(),
         "q_qualify_full": full(),
