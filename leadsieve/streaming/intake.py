@@ -23,6 +23,11 @@ from leadsieve.operators.pages import of_sites, page_facts
 from leadsieve.operators.report import decision_summary
 from leadsieve.plans.qualify import BROADCAST_ROW_BYTES, broadcast_limit, qualify
 from leadsieve.sources.csv import CSV_INPUT, header_of, leads_schema
+from leadsieve.sources.storage import checkpointed
+
+
+# Number of the micro-batch that a row came with.
+BATCH = "_batch"
 
 
 def store_facts(snapshot: DataFrame, config: SieveConfig, path: str, use_api: bool = False):
@@ -69,7 +74,8 @@ def start_intake(
     """
 
     def classify(batch: DataFrame, number: int) -> None:
-        leads = batch.withColumn(ROW_ID, F.monotonically_increasing_id())
+        # settled once: sizes, URLs and the join back all read this copy, not the files
+        leads = checkpointed(batch.withColumn(ROW_ID, F.monotonically_increasing_id()))
         log = answers_for(leads, probe_log)
         done = qualify(leads, log, config=config, facts=facts, **options)
         rows = f"{output}/rows/batch={number}"
@@ -90,8 +96,9 @@ def start_intake(
 
 
 def classified_rows(spark: SparkSession, output: str) -> DataFrame:
-    """All rows written so far."""
-    return spark.read.parquet(f"{output}/rows").drop("split", "batch")
+    """All rows written so far; ``_batch`` and ``_row_id`` together number them."""
+    rows = spark.read.parquet(f"{output}/rows").drop("split")
+    return rows.withColumn(BATCH, F.col("batch").cast("long")).drop("batch")
 
 
 def batch_summaries(spark: SparkSession, output: str) -> DataFrame:

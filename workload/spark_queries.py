@@ -49,6 +49,7 @@ from leadsieve.sources.csv import (
 )
 from leadsieve.sources.storage import scratch_path
 from leadsieve.streaming.intake import (
+    BATCH,
     classified_rows,
     read_lead_stream,
     start_intake,
@@ -402,7 +403,7 @@ def stream_intake(spark, sf_dir):
         f"{work}/out", f"{work}/progress",
     )
     query.awaitTermination()
-    rows = classified_rows(spark, f"{work}/out").drop(ROW_ID)
+    rows = classified_rows(spark, f"{work}/out").drop(ROW_ID, BATCH)
     return rows.withColumn("http_code", F.col("http_code").cast("string")).na.fill("")
 
 
