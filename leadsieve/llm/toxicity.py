@@ -51,7 +51,7 @@ PREFIXES = (9, 8, 7, 6, 5, 4)
 REMEMBERED = 200_000
 
 #: Occurrences that the prior counts as.
-PRIOR = 1_000.0
+PRIOR = 100.0
 
 DRIFT = 1.0
 

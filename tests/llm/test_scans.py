@@ -208,3 +208,51 @@ def test_queries_are_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op"))
     assert numbers == list(range(1, 11)) and "pipeline" in queries.QUERIES
     assert queries.QUERIES.keys() <= registry.queries().keys()
+
+
+def planted(rng):
+    """Documents of every sort with what should become of them."""
+    vocabulary = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne", "ru", "sa", "to") for b in ("bel", "dor", "fin", "gam", "hul", "jat")]
+    say = lambda n: " ".join(rng.choice(vocabulary, n))
+    items = [(i, say(14)) for i in range(4)]
+    texts, kept, toxic = {}, set(), {}
+    for i in range(160):
+        texts[i] = "\n".join(say(30) for _ in range(3))
+        toxic[i] = int(i % 4 == 0)
+        if toxic[i]:
+            words = texts[i].split(" ")
+            for at in rng.choice(len(words), 4, replace=False):
+                words[at] = rng.choice(["vilest", "grubbo"])
+            texts[i] = " ".join(words)
+        else:
+            kept.add(i)
+    clean = sorted(kept)
+    for n, i in enumerate(clean[:10]):
+        texts[1000 + n] = texts[i].upper()  # every line is there already
+        words = texts[i].split()
+        texts[2000 + n] = "\n".join(" ".join(words[a : a + 17]) for a in range(3, 90, 17))  # other lines, same words
+        texts[3000 + n] = f"{say(20)} {items[n % 4][1]} {say(20)}"
+        texts[4000 + n] = f"{say(40)}\n{texts[i].splitlines()[0]}"  # one line is there already
+        kept.add(4000 + n)
+    return texts, items, toxic, kept
+
+
+def test_pipeline_on_planted_cases(spark, documents, tmp_path):
+    texts, items, toxic, kept = planted(np.random.default_rng(12))
+    documents(texts).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    labels = spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    labels.where("doc_id % 3 <> 0").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        seen.append({r.doc_id: r.text for r in docs.collect()})
+    after_toxic, after_lines, after_near, after_benchmark = seen
+    assert texts.keys() - after_toxic.keys() == {i for i, t in toxic.items() if t}
+    assert after_toxic.keys() - after_lines.keys() == set(range(1000, 1010))
+    assert all(after_lines[4000 + n] == texts[4000 + n].splitlines()[0] for n in range(10))
+    assert after_lines.keys() - after_near.keys() == set(range(2000, 2010))
+    assert after_near.keys() - after_benchmark.keys() == set(range(3000, 3010))
+    assert after_benchmark.keys() == kept
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept
