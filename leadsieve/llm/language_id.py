@@ -26,6 +26,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadsieve.llm.tables import parts
+
 LANGUAGES = 256
 PASSAGES = 96
 PASSAGE = 1024
@@ -106,7 +108,7 @@ def predicted(documents: DataFrame, content: tuple[tuple[str, bytes], ...]) -> D
     kind = dict(documents.dtypes)["doc_id"]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             langs, scores, margins = [], [], []
             letters = batch.column("letters").to_pylist()
             for text, known in zip(batch.column("text").to_pylist(), letters, strict=True):

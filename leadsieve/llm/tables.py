@@ -10,7 +10,11 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadsieve.sources.storage import checkpointed
+from leadsieve.sources.storage import checkpointed, scratch_path
+
+
+#: Edges that one task joins at most.
+TOGETHER = 200_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +37,12 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator
         yield batch.slice(start)
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows with about two megabytes of ``text`` each."""
+    for batch in batches:
+        yield from slices(batch, "text")
+
+
 def raw_texts(column: pa.Array) -> list[bytes]:
     """The texts as UTF-8; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -43,56 +53,100 @@ def lowered(column: pa.Array) -> list[bytes]:
     return [x.lower() for x in raw_texts(column)]
 
 
-def components(edges: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder.
+
+    A loop settles its states this way: a checkpoint keeps the partitioning and the
+    constraints of the plan it cuts, and these grow with every turn.
+    """
+    path = scratch_path(df.sparkSession, "state")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession, tables: list[DataFrame]) -> None:
+    """Delete the files of written tables that nothing reads any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder.getParent(), True)
+
+
+def components(edges: DataFrame, together: int = TOGETHER) -> DataFrame:
     """``id, component`` for every id in ``edges(a, b)``: the smallest id it is connected with.
 
-    Each round hooks every id to its smallest neighbour (a minimum, combined before the
-    shuffle), follows the hooks to their roots and keeps the edges between different
-    roots. A star of any size takes one round; rounds grow with the logarithm of a
-    chain's length. No neighbour list is ever collected; each state is checkpointed.
+    Tasks join at most ``together`` edges each by union-find, which leaves a forest of stars.
+    If that took several tasks, every id hooks to its smallest neighbour (a minimum, combined
+    before the shuffle), the hooks are followed to their roots, and the edges between
+    different roots go to the next round. No neighbour list is ever collected. Each
+    state is written to the shared folder; all but the result are deleted at the end.
     """
-    live = checkpointed(
-        edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .where("a < b")
-        .distinct()
-    )
-    labels = None
-    while not live.isEmpty():
-        both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m"))
-        roots = _rooted(checkpointed(hooks.select("id", F.least("id", "m").alias("root"))))
-        live = checkpointed(_contracted(live, roots))
+    states: list[DataFrame] = []
+
+    def settled(df: DataFrame) -> DataFrame:
+        states.append(written(df))
+        return states[-1]
+
+    live, labels = settled(_in_order(edges)), None
+    while True:
+        tasks = -(-live.count() // together)
+        stars = live.repartition(max(1, tasks)).mapInArrow(_stars, "id long, root long")
+        if tasks > 1:
+            live = settled(_in_order(stars.toDF("a", "b")))
+            roots = _rooted(live, settled)
+            to_a, to_b = (roots.toDF(name, f"root_{name}") for name in ("a", "b"))
+            ends = live.join(to_a, "a").join(to_b, "b").select("root_a", "root_b").toDF("a", "b")
+            live = settled(_in_order(ends))
+        else:
+            roots = settled(stars)
         if labels is None:
             labels = roots
         else:
-            above = roots.select(F.col("id").alias("root"), F.col("root").alias("top"))
-            labels = checkpointed(
-                labels.join(above, "root", "left").select(
-                    "id", F.coalesce("top", "root").alias("root")
-                )
-            )
-    if labels is None:
-        return live.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return labels.select("id", F.col("root").alias("component"))
-
-
-def _rooted(hooks: DataFrame) -> DataFrame:
-    """Follow ``id -> root`` until the roots point at themselves."""
+            above = roots.toDF("root", "top")
+            labels = settled(labels.join(above, "root", "left").select("id", F.coalesce("top", "root").alias("root")))
+        if tasks <= 1:
+            break
+    result = written(labels.select("id", F.col("root").alias("component")))
+    forget(edges.sparkSession, states)
+    return result
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every id of a task's edges with the smallest id they connect it with."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+    ids = list(parent)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(ids, pa.int64()), pa.array([root(x) for x in ids], pa.int64())], names=["id", "root"]
+    )
+
+
+def _rooted(live: DataFrame, settled) -> DataFrame:
+    """``id, root``: smallest neighbours, followed until they point at themselves."""
+    both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    hooks = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m"))
+    roots = settled(hooks.select("id", F.least("id", "m").alias("root")))
     while True:
-        up = hooks.select(F.col("id").alias("root"), F.col("root").alias("top"))
-        jumped = hooks.join(up, "root").select("id", "root", "top")
-        jumped = checkpointed(jumped)
-        if jumped.where("root <> top").isEmpty():
-            return hooks
-        hooks = jumped.select("id", F.col("top").alias("root"))
-
-
-def _contracted(live: DataFrame, roots: DataFrame) -> DataFrame:
-    for name in ("a", "b"):
-        to = roots.select(F.col("id").alias(name), F.col("root").alias("_r"))
-        live = live.join(to, name).drop(name).withColumnRenamed("_r", name)
-    ends = live.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return ends.where("a < b").distinct()
+        up = roots.toDF("root", "top")
+        moved = (F.col("top") < F.col("root")).alias("moved")
+        jumped = settled(roots.join(up, "root").select("id", F.col("top").alias("root"), moved))
+        if jumped.where("moved").isEmpty():
+            return roots
+        roots = jumped.select("id", "root")
+
+
+def _in_order(ends: DataFrame) -> DataFrame:
+    return ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
 
 class Bits:

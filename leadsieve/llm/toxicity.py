@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadsieve.llm.tables import checkpointed, lowered, slices
+from leadsieve.llm.tables import checkpointed, lowered, parts, slices
 
 #: Labelled documents of each class that a model is fitted on, about.
 SAMPLE = 4_000
@@ -233,7 +233,7 @@ def _clean_scores(sample: DataFrame, model: Model) -> list[tuple[float, int]]:
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = TokenScores(model)
-        for batch in batches:
+        for batch in parts(batches):
             found = np.concatenate([scores.of(t) for t in lowered(batch.column("text"))] or [np.zeros(0)])
             values, n = np.unique(found.round(2), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], names=["value", "n"])
@@ -273,7 +273,7 @@ def _summaries(sample: DataFrame, model: Model) -> list:
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = TokenScores(model)
-        for batch in batches:
+        for batch in parts(batches):
             values = [scores.of(t) for t in lowered(batch.column("text"))]
             best = [max((s for _, _, s in segments(v)), default=0.0) for v in values]
             evidence = [passages(v, model)[1] for v in values]
@@ -297,7 +297,7 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = TokenScores(model)
-        for batch in batches:
+        for batch in parts(batches):
             sizes, evidence, spans = [], [], []
             for text in lowered(batch.column("text")):
                 values = scores.of(text)
