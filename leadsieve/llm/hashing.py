@@ -107,19 +107,25 @@ def _char_hashes(sums: np.ndarray, back: np.ndarray, at: int, width: int) -> np.
     return mixed((sums[at + width : at + width + n] - sums[at : at + n]) * back[at : at + n])
 
 
-def char_shingle_sets(lines: list[bytes], width: int) -> list[np.ndarray]:
-    """Per line the distinct hashes of its ``width``-byte shingles; a shorter line is one shingle."""
-    sums, back = _char_sums(lines)
-    whole = _char_hashes(sums, back, 0, width)
-    out, at = [], 0
-    for line in lines:
-        n = len(line)
-        if n >= width:
-            out.append(np.unique(whole[at : at + n - width + 1]))
-        else:
-            out.append(_char_hashes(sums[: at + n + 1], back, at, n)[:1] if n else sums[:0])
-        at += n
-    return out
+def char_shingle_sets(lines: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of the lines' ``width``-byte shingles, one after another and each in order, and their sizes.
+
+    A shorter line is one shingle. Shingles are known by 43 bits, so that a line's number and a
+    shingle fit one number and a single sort makes all sets; at most 2 ** 20 lines at a time.
+    """
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(lines), dtype=np.uint64), sizes)
+    whole = char_shingles(lines, width)
+    inside = np.arange(len(owner)) + width <= np.repeat(ends, sizes)
+    keys = (owner[inside] << _U(43)) | (whole[inside[: len(whole)]] >> _U(21))
+    short = np.flatnonzero(sizes < width)
+    alone = [int(mixed(char_shingles([lines[i]], len(lines[i])))[0]) >> 21 if lines[i] else 0 for i in short.tolist()]
+    extra = (short.astype(np.uint64) << _U(43)) | np.array(alone, np.uint64)
+    keys = np.sort(np.concatenate((keys, extra)))
+    keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
+    counts = np.bincount((keys >> _U(43)).astype(np.int64), minlength=len(lines))
+    return keys & _U((1 << 43) - 1), counts
 
 
 class HashTable:

@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadsieve.llm.hashing import char_shingle_sets, char_shingles, mixed
-from leadsieve.llm.linking import exact_links
+from leadsieve.llm.linking import exact_links, meetings
 from leadsieve.llm.tables import Bits, checkpointed, components, raw_texts, slices
 
 WIDTH, PERCENT = 8, 80
 BANDS, ROWS = 12, 3
 
-#: Bytes of lines that one chunk of a cluster holds on average.
-CHUNK = 2_000_000
+#: Shingles that one chunk of a group holds on average.
+CHUNK = 1_000_000
 
 #: Shingles that are hashed at a time, so that the work stays in the processor's cache.
 STEP = 1 << 15
@@ -143,8 +143,8 @@ def _met(keys: np.ndarray, ids: np.ndarray, pass_on: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["key", "a", "b"])
 
 
-def member_lines(documents: DataFrame, clusters: DataFrame) -> DataFrame:
-    """``id, cluster, line`` of the lines in clusters, each once."""
+def member_lines(documents: DataFrame, clusters: DataFrame, width: int) -> DataFrame:
+    """``id, cluster, n, line`` of the lines in clusters, each once; ``n`` is the size of its set."""
     wanted = Bits(clusters.select("id"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,28 +153,28 @@ def member_lines(documents: DataFrame, clusters: DataFrame) -> DataFrame:
             for part in slices(batch, "text"):
                 ids, lines = _new_lines(part, seen)
                 hit = np.flatnonzero(wanted.has(np.array(ids, np.uint64))).tolist()
+                ids, lines = [ids[i] for i in hit], [lines[i] for i in hit]
+                sizes = char_shingle_sets(lines, width)[1].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[i] for i in hit], pa.int64()), pa.array([lines[i] for i in hit], pa.binary())],
-                    names=["id", "line"],
+                    [pa.array(ids, pa.int64()), pa.array(sizes), pa.array(lines, pa.binary())],
+                    names=["id", "n", "line"],
                 )
 
     texts = documents.where("doc_id IS NOT NULL").select("text")
-    lines = texts.mapInArrow(pick, "id long, line binary")
+    lines = texts.mapInArrow(pick, "id long, n int, line binary")
     return lines.join(clusters.withColumnRenamed("component", "cluster"), "id").dropDuplicates(["id"])
 
 
 def line_components(documents: DataFrame, width: int, percent: int) -> DataFrame:
     """``id, component`` of the lines that are linked with others."""
     clusters = components(candidate_links(documents, width))
-    lines = checkpointed(member_lines(documents, clusters))
-    weights = lines.groupBy("cluster").agg(F.ceil(F.sum(F.length("line")) / CHUNK).cast("long").alias("chunks"))
+    lines = checkpointed(member_lines(documents, clusters, width))
+    met = meetings(lines.select("cluster", "id", "n", F.col("n").alias("weight")), percent, CHUNK)
 
-    def sets_of(lines: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-        sets = char_shingle_sets(lines.to_pylist(), width)
-        return np.concatenate(sets), np.array([len(s) for s in sets])
+    def sets_of(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return char_shingle_sets(lines.to_pylist(), width)
 
-    members = lines.join(weights, "cluster").select("cluster", "chunks", "id", F.col("line").alias("set"))
-    return components(exact_links(members, percent, sets_of))
+    return components(exact_links(met.join(lines.select("id", F.col("line").alias("set")), "id"), percent, sets_of))
 
 
 def line_places(documents: DataFrame) -> DataFrame:

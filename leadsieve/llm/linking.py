@@ -1,16 +1,20 @@
 """Exact linking inside candidate clusters, without writing out their pairs.
 
-A cluster is searched breadth first: what is linked with a visited member is visited next
-and never compared again, so a group of copies costs about one comparison per member.
-Overlaps come from inverted lists over the members' full sets. Only the links that
-connect members are returned, one less than there are members in a linked group.
-
-A cluster whose sets are larger than one task may hold is dealt to chunks, and every two
-chunks meet in one task; nothing is dropped and no task holds more than two chunks.
+Sets that agree to p percent differ in size by that much at most, so a cluster is cut into
+classes of size, and only neighbouring classes meet. What is still larger than one task may
+hold is dealt to chunks, every two of which meet in one task; nothing is dropped and no
+task holds more than two chunks.
+
+Where sets meet, each is looked up by its rarest hashes alone: as many as it takes to share
+one with every set that may be linked. Overlaps of those that do are counted on the full
+sets. The search goes breadth first: what is linked with a visited member is visited next and
+not compared again. Only the links that connect members are returned, one less than
+there are members in a linked group.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,14 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Hashes that one chunk of a cluster holds on average.
-CHUNK = 2_000_000
+from leadsieve.llm.hashing import mixed
+
+#: Bytes of small groups that are linked in one go, about.
+TOGETHER = 1 << 19
 
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def dealt(members: DataFrame, key: str, item: str, chunks: str) -> DataFrame:
-    """Rows repeated so that every two of a key's ``chunks`` meet: adds ``i`` and ``j``."""
+def dealt(members: DataFrame, item: str, chunks: str) -> DataFrame:
+    """Rows repeated so that every two of their group's ``chunks`` meet: adds ``i`` and ``j``."""
     own = F.pmod(F.xxhash64(item), F.col(chunks))
     rows = members.withColumn("_own", own).withColumn(
         "_with", F.explode(F.sequence(F.lit(0).cast("long"), F.col(chunks).cast("long") - 1))
@@ -62,62 +68,121 @@ def edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def spanning(n: int, linked) -> list[tuple[int, int]]:
-    """Links that connect ``n`` members; ``linked(x, others)`` says which of ``others`` x is linked with."""
-    unseen, out = np.arange(n), []
-    while len(unseen) > 1:
-        queue, unseen = [int(unseen[0])], unseen[1:]
-        while queue and len(unseen):
+    """Links that connect ``n`` members; ``linked(x, unseen)`` gives what x is linked with among the marked."""
+    unseen, out = np.ones(n, bool), []
+    for start in range(n):
+        if not unseen[start]:
+            continue
+        unseen[start] = False
+        queue = [start]
+        while queue:
             x = queue.pop()
-            hit = linked(x, unseen)
-            found = unseen[hit].tolist()
+            found = linked(x, unseen)
+            unseen[found] = False
+            found = found.tolist()
             out += [(x, y) for y in found]
             queue += found
-            unseen = unseen[~hit]
     return out
 
 
-def _exact(values: np.ndarray, sizes: np.ndarray, percent: int):
-    """``linked`` over full sets that lie one after another in ``values``."""
-    _, codes = np.unique(values, return_inverse=True)
+def by_rarest(values: np.ndarray, sizes: np.ndarray, percent: int):
+    """``linked`` over full sets that lie one after another in ``values``, each in order."""
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.argsort(codes, kind="stable")
-    posting = owner[order]
-    first = np.searchsorted(codes[order], np.arange(codes.max() + 2))
     begin = np.concatenate(([0], np.cumsum(sizes)))
-
-    def linked(x: int, others: np.ndarray) -> np.ndarray:
-        own = codes[begin[x] : begin[x + 1]]
-        lists = [posting[first[c] : first[c + 1]] for c in own.tolist()]
-        common = np.bincount(np.concatenate(lists), minlength=len(sizes))[others]
-        return 100 * common >= percent * (sizes[x] + sizes[others] - common)
+    # how often a value occurs, or more where others share its slot: any order will do
+    # as long as it is the same for all sets, and equals stay in order of value
+    slots = mixed(values.astype(np.uint64)) & np.uint64((1 << max(4, len(values).bit_length())) - 1)
+    often = np.minimum(np.bincount(slots.astype(np.int64))[slots], (1 << 20) - 1)
+    order = np.argsort((owner << 20) | often, kind="stable")
+    take = sizes + 1 + (-percent * sizes // 100)  # n - ceil(p * n) + 1
+    rare = order[np.arange(len(order)) - begin[owner] < take[owner]]
+    rare = rare[often[rare] > 1]
+    _, codes, lengths = np.unique(values[rare], return_inverse=True, return_counts=True)
+    rare, codes = rare[lengths[codes] > 1], codes[lengths[codes] > 1]
+    first_own = np.searchsorted(owner[rare], np.arange(len(sizes) + 1)).tolist()
+    holders = owner[rare[np.argsort(codes, kind="stable")]]
+    first = np.searchsorted(np.sort(codes), np.arange(len(lengths) + 1))
+    begin = begin.tolist()
+
+    def linked(x: int, unseen: np.ndarray) -> np.ndarray:
+        own = codes[first_own[x] : first_own[x + 1]].tolist()
+        if not own:
+            return np.zeros(0, np.int64)
+        met = np.concatenate([holders[first[c] : first[c + 1]] for c in own])
+        met = np.unique(met[unseen[met]])
+        near = (100 * sizes[met] >= percent * sizes[x]) & (100 * sizes[x] >= percent * sizes[met])
+        met = met[near]
+        if not len(met):
+            return met
+        mine = values[begin[x] : begin[x + 1]]
+        common = np.array([_shared(mine, values[begin[y] : begin[y + 1]]) for y in met.tolist()])
+        return met[100 * common >= percent * (sizes[x] + sizes[met] - common)]
 
     return linked
 
 
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two ordered sets."""
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    return int(np.count_nonzero(a[at] == b))
+
+
+def meetings(members: DataFrame, percent: int, chunk: int) -> DataFrame:
+    """``cluster, g, i, j, id``: in which groups the ``members(cluster, id, n, weight)`` meet; ``n`` is a set's size."""
+    step = math.log(100 / percent) * (1 + 1e-9)
+    size_class = F.floor(F.log(F.col("n")) / step).cast("int")
+    # class c is the lower one of group c and the upper one of group c - 1
+    both = F.posexplode(F.array(size_class, size_class - 1)).alias("upper", "g")
+    rows = members.select("cluster", both, "id", "weight")
+    chunks = F.ceil(F.sum("weight") / chunk).cast("long")
+    sums = rows.groupBy("cluster", "g").agg(
+        chunks.alias("chunks"), F.count("*").alias("rows"), F.count_if(F.col("upper") == 0).alias("lower")
+    )
+    # where there is no lower class, the upper one meets in its own group
+    met = rows.join(sums.where("rows > 1 AND lower > 0").select("cluster", "g", "chunks"), ["cluster", "g"])
+    return dealt(met, "id", "chunks").select("cluster", "g", "i", "j", "id")
+
+
 def listed_sets(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(), column.value_lengths().to_numpy()
 
 
-def exact_links(sets: DataFrame, percent: int, sets_of=listed_sets) -> DataFrame:
-    """``a, b``: links that connect the ids whose sets agree to ``percent``, within each cluster.
+def exact_links(met: DataFrame, percent: int, sets_of=listed_sets) -> DataFrame:
+    """``a, b``: links that connect the ids whose sets agree to ``percent``, within each meeting.
 
-    ``sets(cluster, chunks, id, set)`` holds each id once with its full set, or with what
-    ``sets_of`` makes the sets of: the hashes of all rows one after another, and their numbers.
+    ``met`` has the columns of ``meetings`` and ``set``: a full set, or what ``sets_of`` makes the
+    sets of (the hashes of all rows one after another, and their numbers).
     """
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges: list[tuple[int, int]] = []
-        for group in groups(batches, 3):
+        held, size = [], 0
+        for group in groups(batches, 4):
             if group.num_rows < 2:
                 continue
-            ids = group["id"].to_pylist()
-            linked = _exact(*sets_of(group["set"].combine_chunks()), percent)
-            edges += [(ids[x], ids[y]) for x, y in spanning(len(ids), linked)]
-            if len(edges) > 10_000:
-                yield edge_batch(edges)
-                edges = []
-        yield edge_batch(edges)
-
-    rows = dealt(sets, "cluster", "id", "chunks").select("cluster", "i", "j", "id", "set")
-    keys = ["cluster", "i", "j"]
+            held.append(group)
+            size += group["set"].nbytes
+            if size >= TOGETHER:
+                yield of_groups(held)
+                held, size = [], 0
+        if held:
+            yield of_groups(held)
+
+    def of_groups(held: list[pa.Table]) -> pa.RecordBatch:
+        table = pa.concat_tables(held)
+        number = np.repeat(np.arange(len(held), dtype=np.uint64), [g.num_rows for g in held])
+        values, sizes = sets_of(table["set"].combine_chunks())
+        if len(held) > 1:  # no two groups share a value
+            owner, values = np.repeat(number, sizes), values.astype(np.uint64)
+            if len(held) < 1 << 20 and int(values.max(initial=0)) < 1 << 43:
+                values |= owner << np.uint64(43)
+            else:
+                values = mixed(values + owner * np.uint64(0x9E3779B97F4A7C15))
+                values = values[np.lexsort((values, np.repeat(np.arange(len(sizes)), sizes)))]
+        ids = table["id"].to_pylist()
+        linked = by_rarest(values, sizes, percent)
+        return edge_batch([(ids[x], ids[y]) for x, y in spanning(len(ids), linked)])
+
+    keys = ["cluster", "g", "i", "j"]
+    rows = met.select(*keys, "id", "set")
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(link, "a long, b long")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadsieve.llm.hashing import SPACES, Words
-from leadsieve.llm.linking import CHUNK, dealt, edge_batch, exact_links, groups, spanning
+from leadsieve.llm.linking import dealt, edge_batch, exact_links, groups, meetings, spanning
 from leadsieve.llm.tables import Bits, checkpointed, components, lowered, slices
 
 WIDTH, PERCENT = 5, 80
@@ -42,6 +42,9 @@ SKETCH = 64
 #: Members of a list that meet in one task on average.
 LIST_CHUNK = 4096
 
+#: Hashes that one chunk of a group holds on average.
+CHUNK = 1_000_000
+
 _FULL = np.iinfo(np.int64).max
 
 
@@ -166,17 +169,18 @@ def candidate_links(lists: DataFrame, classes: DataFrame, percent: int) -> DataF
         rows, _ = _matrix(group["sketch"].combine_chunks())
         ids, whole = group["id"].to_pylist(), group["whole"].to_numpy()
 
-        def linked(x: int, others: np.ndarray) -> np.ndarray:
+        def linked(x: int, unseen: np.ndarray) -> np.ndarray:
+            others = np.flatnonzero(unseen)
             hit = np.zeros(len(others), bool)
             for at in range(0, len(others), 2048):  # bounds the memory of a step
                 part = others[at : at + 2048]
                 one = np.broadcast_to(rows[x], (len(part), SKETCH))
                 hit[at : at + 2048] = estimates_pass(one, rows[part], whole[part] & whole[x], percent)
-            return hit
+            return others[hit]
 
         return edge_batch([(ids[x], ids[y]) for x, y in spanning(len(ids), linked)])
 
-    with_sketch = dealt(lists, "value", "id", "chunks").join(classes.select("id", "whole", "sketch"), "id")
+    with_sketch = dealt(lists, "id", "chunks").join(classes.select("id", "whole", "sketch"), "id")
     keys = ["value", "i", "j"]
     rows = with_sketch.select(*keys, "id", "whole", "sketch")
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(link, "a long, b long")
@@ -193,7 +197,7 @@ def near_dedup(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     )
     lists = listed(classes, percent)
     clusters = components(candidate_links(lists, classes, percent))
-    links = exact_links(_cluster_sets(documents, clusters, classes, width), percent)
+    links = exact_links(_met_sets(documents, clusters, classes, width, percent), percent)
     linked = components(links).select("id", "component")
     named = classes.select("set_id", "id").join(linked, "id", "left")
     named = named.select("set_id", F.coalesce("component", "id").alias("component_id"))
@@ -206,11 +210,11 @@ def near_dedup(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     )
 
 
-def _cluster_sets(documents: DataFrame, clusters: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """``cluster, chunks, id, set`` of the classes in clusters, read from the texts again."""
+def _met_sets(documents: DataFrame, clusters: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """The meetings of the classes in clusters with their full sets, read from the texts again."""
     members = clusters.withColumnRenamed("component", "cluster").join(classes.select("id", "set_id", "n"), "id")
-    weights = members.groupBy("cluster").agg(F.ceil(F.sum("n") / CHUNK).cast("long").alias("chunks"))
-    members = checkpointed(members.join(weights, "cluster").select("id", "set_id", "cluster", "chunks"))
-    wanted = Bits(members.selectExpr(f"id & {_FULL}L AS id"))
-    sets = shingle_sets(documents, width, wanted).dropDuplicates(["id", "set_id"])
-    return members.join(sets, ["id", "set_id"]).select("cluster", "chunks", "id", "set")
+    met = checkpointed(meetings(members.withColumn("weight", F.col("n")), percent, CHUNK))
+    wanted = Bits(met.selectExpr(f"id & {_FULL}L AS id"))
+    named = classes.select("id", "set_id")
+    sets = shingle_sets(documents, width, wanted).dropDuplicates(["id", "set_id"]).join(named, ["id", "set_id"])
+    return met.join(sets.select("id", "set"), "id")

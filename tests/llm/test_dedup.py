@@ -85,8 +85,10 @@ def test_components(spark):
     rng = random.Random(3)
     chain = rng.sample(range(1000), 60)
     links = list(zip(chain, chain[1:])) + [(2000, x) for x in range(2001, 2100)] + [(5000, 5000), (7, 7)]
-    rows = components(spark.createDataFrame(links, "a long, b long")).collect()
-    assert {r.id: r.component for r in rows} == {x: min(chain) for x in chain} | {x: 2000 for x in range(2000, 2100)}
+    frame = spark.createDataFrame(links, "a long, b long")
+    for together in (1000, 40):
+        rows = components(frame, together).collect()
+        assert {r.id: r.component for r in rows} == {x: min(chain) for x in chain} | {x: 2000 for x in range(2000, 2100)}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
@@ -94,10 +96,21 @@ def test_components(spark):
 @given(st.integers(2, 12), st.sets(st.tuples(st.integers(0, 11), st.integers(0, 11))))
 def test_spanning_links(n, pairs):
     both = {(a, b) for x, y in pairs for a, b in ((x, y), (y, x)) if a < n and b < n}
-    got = linking.spanning(n, lambda x, others: np.array([(x, int(o)) in both for o in others]))
+    got = linking.spanning(n, lambda x, unseen: np.array([y for y in range(n) if unseen[y] and (x, y) in both], int))
     assert union(n, got) == union(n, both) and len(got) == n - len(set(union(n, both)))
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 14), min_size=1, max_size=12), min_size=1, max_size=10), st.sampled_from([50, 80, 85]))
+def test_rarest_hashes_find_every_link(sets, percent):
+    values = np.array([v for s in sets for v in sorted(s)], np.int64)
+    linked = linking.by_rarest(values, np.array([len(s) for s in sets]), percent)
+    for x, s in enumerate(sets):
+        want = [y for y, t in enumerate(sets) if 100 * len(s & t) >= percent * len(s | t)]
+        got = linked(x, np.ones(len(sets), bool)).tolist()
+        assert set(got) | {x} == set(want)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab \t\nÄß", max_size=30), max_size=8))
 def test_word_hashes(texts):
@@ -118,10 +131,16 @@ def shingles_of(data, width):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.binary(min_size=1, max_size=20), max_size=8))
+@given(st.lists(st.binary(max_size=20).map(lambda b: bytes(97 + x % 3 for x in b)), max_size=8))
 def test_character_shingles(lines):
-    for line, got in zip(lines, char_shingle_sets(lines, 4)):
-        assert len(got) == len({line[i : i + 4] for i in range(max(1, len(line) - 3))})
+    values, sizes = char_shingle_sets(lines, 4)
+    begin = np.concatenate(([0], np.cumsum(sizes)))
+    sets = [{x[i : i + 4] for i in range(max(1, len(x) - 3))} for x in lines]
+    assert sizes.tolist() == [len(s) for s in sets]
+    for i, s in enumerate(sets):
+        for j, t in enumerate(sets):
+            got = set(values[begin[i] : begin[i + 1]].tolist()) & set(values[begin[j] : begin[j + 1]].tolist())
+            assert len(got) == len(s & t)
 
 
 @settings(max_examples=40, deadline=None)
