@@ -103,6 +103,7 @@ def by_rarest(values: np.ndarray, sizes: np.ndarray, percent: int):
     holders = owner[rare[np.argsort(codes, kind="stable")]]
     first = np.searchsorted(np.sort(codes), np.arange(len(lengths) + 1))
     begin = begin.tolist()
+    del slots, often, order, owner  # the search needs none of them
 
     def linked(x: int, unseen: np.ndarray) -> np.ndarray:
         own = codes[first_own[x] : first_own[x + 1]].tolist()

@@ -21,7 +21,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """``batch`` in runs of rows whose ``column`` holds about ``limit`` bytes; at least one row each.
 
     What a task builds per run stays small, however many rows a batch has.
@@ -38,7 +38,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator
 
 
 def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in runs of rows with about two megabytes of ``text`` each."""
+    """The batches in runs of rows with about a megabyte of ``text`` each."""
     for batch in batches:
         yield from slices(batch, "text")
 

@@ -48,7 +48,7 @@ SIGNIFICANT = 4.0
 PREFIXES = (9, 8, 7, 6, 5, 4)
 
 #: Token scores that a task remembers at a time.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 #: Occurrences that the prior counts as.
 PRIOR = 100.0
