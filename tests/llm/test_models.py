@@ -174,3 +174,15 @@ def test_bucket_of_an_id(documents):
     docs = documents({i: "" for i in range(50)})
     got = docs.select("doc_id", toxicity.id_bucket(docs["doc_id"], 7).alias("b")).collect()
     assert all(r.b == zlib.crc32(str(r.doc_id).encode()) % 7 for r in got)
+
+
+@pytest.mark.parametrize("nodes", [1 << 20, 40, 0])
+def test_every_ngram_counts_however_few_are_held(documents, nodes):
+    rng = np.random.default_rng(9)
+    texts = {i: " ".join("".join(rng.choice(list("abcdé"), 3)) for _ in range(25)) for i in range(12)} | {20: "", 21: None, 22: "xyz é"}
+    docs = documents(texts)
+    trie = trie_of([(texts[i] or "").lower().encode() for i in range(8)], 5)
+    assert sum(map(len, (trie.entries.keys,))) > 400
+    for r in language_model.scored(docs, docs.where("doc_id < 8"), nodes=nodes).collect():
+        keys, _ = grams_of([(texts[r.doc_id] or "").encode()], 5)
+        assert math.isclose(r.score, trie.log_shares(keys).sum(), rel_tol=1e-9), r.doc_id
