@@ -11,8 +11,8 @@ maxima and minima of each role say how near the next part before and after is. T
 shuffle of the parts, no pairs, and linear in their number. Texts are not shuffled.
 
 Places count code points, ends are exclusive. Defined results: null and empty texts have no
-parts; parts of one kind do not overlap, of several kinds they may; an opaque run inside a strong
-part is not reported again; rows are scanned one by one even if they repeat a ``doc_id``; an empty
+parts; parts of one kind do not overlap, of several kinds they may; an opaque run that one
+strong part covers wholly is not reported again; rows are scanned one by one even if they repeat a ``doc_id``; an empty
 table gives no rows; other columns are not looked at.
 """
 
@@ -124,19 +124,19 @@ def linked(found: DataFrame, reach: int = REACH) -> DataFrame:
 
     roles = {r: [i for i, k in enumerate(KINDS) if k.role == r] for r in ("identifier", "secret", "endpoint")}
     strong = [i for i, k in enumerate(KINDS) if k.strong]
-    marks = {**{r: of(n) for r, n in roles.items()}, "strong": of(strong)}
+    marks = {r: of(n) for r, n in roles.items()}
     before = {f"{r}_before": F.max(F.when(m, F.col("end"))).over(ahead) for r, m in marks.items()}
     after = {f"{r}_after": F.min(F.when(m, F.col("start"))).over(behind) for r, m in marks.items()}
-    rows = found.withColumns(before).withColumns(after)
+    covering = F.max(F.when(of(strong), F.col("end"))).over(ahead)
+    rows = found.withColumns({**before, "strong_end": covering}).withColumns(after)
 
     def near(role: str) -> Column:
         near_before = F.col("start") - F.col(f"{role}_before") <= reach
         near_after = F.col(f"{role}_after") - F.col("end") <= reach
         return F.coalesce(near_before, F.lit(False)) | F.coalesce(near_after, F.lit(False))
 
-    inside = F.coalesce(F.col("strong_before") > F.col("start"), F.lit(False)) | F.coalesce(
-        F.col("strong_after") < F.col("end"), F.lit(False)
-    )
+    # strong kinds come first of those with one start, so none that covers a run stands behind it
+    inside = F.coalesce(F.col("strong_end") >= F.col("end"), F.lit(False))
     weak = {
         "account": near("secret"),
         "opaque": near("identifier") & ~inside,
