@@ -6,7 +6,9 @@ dealt to partitions of bounded size, each packed by best-fit decreasing. Dual-fe
 functions give a lower bound on the bins a partition's lengths need; a partition that
 meets its bound is certified and stays as it is, except for its emptiest bin. Partitions
 with a gap hand the documents of their unfilled bins to a pool, the emptiest bins of certified
-partitions join them, and the pool is dealt anew and packed again until nothing is gained.
+partitions join them, and the pool is dealt anew and packed again, until it is one partition, the bins
+meet the bound of all lengths, or a round did not lower their number; the better of the last two rounds
+stands then. Partitions, bins and bound of every round are logged; bins above the bound are uncertified.
 
 Defined results: null and empty texts are one end token; rows are packed one by one even if
 they repeat a ``doc_id`` or have none; equal lengths are placed in order of row; an empty table
@@ -16,6 +18,8 @@ gives no rows; other columns are not looked at. A text of any length is tokenise
 from __future__ import annotations
 
 import base64
+import itertools
+import logging
 import re
 import zlib
 from collections.abc import Iterator
@@ -34,12 +38,11 @@ END = 2
 #: Items that are packed together by one task.
 ITEMS = 50_000
 
-#: Rounds of exchange at most; each deals only what unfilled bins hold.
-ROUNDS = 4
-
 #: Encoded words that a Python worker remembers; others are encoded each time.
 REMEMBERED = 400_000
 
+_log = logging.getLogger(__name__)
+
 _PIECE = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
 #: A space at either end or beside other white space: no safe place to cut.
@@ -137,9 +140,11 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     sum); a length over C/2 counts C and one of C/2 counts half; and lengths count by how many
     of a smallest kept size they leave no room for.
     """
-    if not len(lengths):
-        return 0
-    n = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    return bound_of(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def bound_of(n: np.ndarray, capacity: int) -> int:
+    """``lower_bound`` of ``n[length]`` items of each length."""
     sizes = np.arange(capacity + 1)
     total = np.concatenate((np.cumsum((n * sizes)[::-1])[::-1], [0]))
     count = np.concatenate((np.cumsum(n[::-1])[::-1], [0]))
@@ -189,7 +194,6 @@ def packed(
     capacity: int = CAPACITY,
     end: int = END,
     items: int = ITEMS,
-    rounds: int = ROUNDS,
 ) -> DataFrame:
     """Per piece ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
     cut = checkpointed(pieces(documents, files or public_files(), capacity, end))
@@ -198,43 +202,55 @@ def packed(
         "*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
     done, pool = [full.select(*out)], cut.where(F.col("length") < capacity)
-    for turn in range(rounds):
+    counts = np.zeros(capacity + 1, np.int64)
+    for length, n in pool.groupBy("length").count().collect():  # fewer than ``capacity`` rows
+        counts[length] = n
+    bound, settled, best = bound_of(counts, capacity), 0, None
+    for turn in itertools.count():
         partitions = -(-pool.count() // items)
         if not partitions:
             break
-        last = partitions == 1 or turn == rounds - 1
-        placed = checkpointed(_placed(pool, turn, partitions, last, capacity))
-        done.append(placed.where("sequence_id IS NOT NULL").select(*out))
-        if last:
+        placed = checkpointed(_placed(pool, turn, partitions, capacity))
+        opened = placed.where(F.col("offset") == 0)  # a row for each bin
+        bins, stay = opened.agg(F.count("*"), F.count(F.when(~F.col("freed"), 1))).first()
+        _log.info("round %d: %d partitions, %d bins, bound %d", turn, partitions, settled + bins, bound)
+        whole = settled + bins, [*done, placed.select(*out)]
+        gained = best is None or whole[0] < best[0]
+        if best is None or whole[0] <= best[0]:
+            best = whole
+        if not gained or partitions == 1 or whole[0] == bound:
             break
-        pool = placed.where("sequence_id IS NULL").select(*cut.columns)
+        done.append(placed.where("NOT freed").select(*out))
+        settled += stay
+        pool = placed.where("freed").select(*cut.columns)
+    if best:
+        done = best[1]
     result = done[0]
     for part in done[1:]:
         result = result.unionByName(part)
     return result
 
 
-def _placed(pool: DataFrame, turn: int, partitions: int, last: bool, capacity: int) -> DataFrame:
-    """One round; a null ``sequence_id`` marks what goes to the next one."""
+def _placed(pool: DataFrame, turn: int, partitions: int, capacity: int) -> DataFrame:
+    """One round; ``freed`` marks what goes to the next one, if there is one."""
 
     def pack(group: pa.Table) -> pa.Table:
         group = group.sort_by([("row", "ascending"), ("piece", "ascending")])
         lengths, p = group["length"].to_numpy(), group["p"][0].as_py()
         bins, offsets, rooms = best_fit(lengths, capacity)
         freed = np.zeros(len(rooms), bool)
-        if not last:
-            freed[rooms.argmax()] = True
-            if len(rooms) > lower_bound(lengths, capacity):
-                freed |= rooms > 0
-        sequence = (((turn << 40) + p) << 20) + bins
+        freed[rooms.argmax()] = True
+        if len(rooms) > lower_bound(lengths, capacity):
+            freed |= rooms > 0
+        sequence = (((turn << 32) + p) << 20) + bins
         group = group.drop(["p"])
-        for name, values in (("sequence_id", sequence), ("offset", offsets)):
-            group = group.append_column(name, pa.array(values, mask=freed[bins]))
+        for name, values in (("sequence_id", sequence), ("offset", offsets), ("freed", freed[bins])):
+            group = group.append_column(name, pa.array(values))
         return group
 
     dealt = F.pmod(F.xxhash64("row", "piece", F.lit(turn)), F.lit(partitions))
     return (
         pool.withColumn("p", dealt)
         .groupBy("p")
-        .applyInArrow(pack, _PIECE + ", sequence_id long, offset long")
+        .applyInArrow(pack, _PIECE + ", sequence_id long, offset long, freed boolean")
     )

@@ -196,6 +196,25 @@ def test_packing_round_trip(spark):
         assert len(sequences) <= 1.05 * bound + 2
 
 
+def test_packing_goes_on_while_bins_are_gained(documents, caplog):
+    rng = np.random.default_rng(14)
+    docs = documents({i: "a " * int(n) for i, n in enumerate(rng.integers(5, 60, 240))})
+    with caplog.at_level("INFO", "leadsieve.llm.packing"):
+        rows = packed(docs, capacity=100, items=12).collect()
+    assert len({(r.doc_id, r.piece) for r in rows}) == len(rows)
+    room = {r.sequence_id: 0 for r in rows}
+    for r in rows:
+        room[r.sequence_id] += r.length
+    assert max(room.values()) <= 100
+    full = {r.sequence_id for r in rows if r.length == 100}
+    rounds = [r.args for r in caplog.records]
+    bins, bound = [r[2] for r in rounds], rounds[-1][3]
+    assert bound == lower_bound(np.array([r.length for r in rows if r.length < 100]), 100)
+    assert len(room) - len(full) == min(bins) >= bound
+    assert all(b < a for a, b in zip(bins[:-1], bins[1:-1]))
+    assert bins[-1] == bound or rounds[-1][1] == 1 or bins[-1] >= bins[-2]
+
+
 @needs_tables
 def test_pipeline(spark):
     assert [f.__name__ for _, f in corpus_pipeline.STAGES] == [
