@@ -8,6 +8,8 @@ Jaccard on the full shingle sets confirms links inside candidate clusters; a dis
 union joins them. The first line of a component, by ``doc_id`` and place, stays; the others go.
 
 Shingles are runs of ``WIDTH`` bytes of UTF-8; lines are known by 63-bit hashes.
+One changed inner byte touches ``WIDTH`` shingles, so a line of distinct shingles is linked with such a copy
+from 79 bytes on; shorter ones are linked only if they differ less, for most of them only if their words are equal.
 
 Defined results: blank lines stay; a line shorter than a shingle only equals itself; null texts
 stay null; rows that repeat a ``doc_id`` count as one document, whose first line stays in each
