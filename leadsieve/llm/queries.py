@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from leadsieve.llm import language_model, sql
+from leadsieve.llm.centroids import clustered, with_inertia
 from leadsieve.llm.decontaminate import decontaminated
 from leadsieve.llm.exact_dedup import exact_dedup
 from leadsieve.llm.language_id import dictionaries, predicted, training_passages
+from leadsieve.llm.lexical_search import lexical_search
 from leadsieve.llm.line_dedup import line_dedup
 from leadsieve.llm.near_dedup import near_dedup
 from leadsieve.llm.packing import packed
 from leadsieve.llm.secrets import count_of, secrets, spans_of
+from leadsieve.llm.simhash import simhash_dedup
 from leadsieve.llm.tables import read_table
 from leadsieve.llm.toxicity import fitted, id_bucket, scored
 from leadsieve.llm.url_filter import judged
@@ -87,6 +90,18 @@ def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(read_table(spark, sf_dir, "documents"))
+
+
+def clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_inertia(*clustered(read_table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     "op1_lm_scores": lm_scores,
     "op2_secret_scan": secret_scan,
@@ -98,6 +113,9 @@ QUERIES = {
     "op8_exact_dedup": exact,
     "op9_decontamination": decontamination,
     "op10_fuzzy_line_dedup": fuzzy_lines,
+    "op11_lexical_search": search,
+    "op12_simhash_near_dedup": simhash,
+    "op13_centroid_clustering": clustering,
     "pipeline": corpus_pipeline.run,
 }
 

@@ -135,10 +135,81 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM documents d LEFT JOIN per_doc USING (doc_id)
 """
 
+_TERMS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+LEXICAL_SEARCH = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS d, doc_id, t, len(t) AS n FROM (SELECT doc_id, {_TERMS} AS t FROM documents) WHERE len(t) > 0
+), totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM d),
+asked AS (
+  SELECT q, item_id, term, count(*) AS reps
+  FROM (SELECT q, item_id, unnest(t) AS term
+        FROM (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS t FROM benchmark))
+  GROUP BY ALL
+), postings AS (
+  SELECT d, term, count(*)::BIGINT AS tf FROM (SELECT d, unnest(t) AS term FROM d)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM postings, totals GROUP BY term
+), shares AS (
+  SELECT d, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))) AS share
+  FROM postings JOIN weights USING (term) JOIN d USING (d), totals
+), scores AS (
+  SELECT q, item_id, d, sum(reps * share)::BIGINT AS score FROM asked JOIN shares USING (term) GROUP BY ALL
+), ranked AS (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank
+  FROM scores JOIN d USING (d) WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+_ROUNDS, _K = 10, 8
+
+
+def _distances(places: str) -> str:
+    return f"""SELECT v, c, sum((x.x - y.x) * (x.x - y.x))::BIGINT AS distance
+      FROM parts x JOIN {places} y USING (i) GROUP BY v, c"""
+
+
+def _nearest(places: str) -> str:
+    return f"""SELECT v, c, distance FROM (
+      SELECT v, c, distance, row_number() OVER (PARTITION BY v ORDER BY distance, c) AS n FROM ({_distances(places)}))
+      WHERE n = 1"""
+
+
+_MOVES = ", ".join(
+    f"""a{r} AS MATERIALIZED ({_nearest(f"c{r}")}),
+    c{r + 1} AS MATERIALIZED (
+      SELECT c, i, coalesce(((s - ((s % n) + n) % n) // n)::BIGINT, y.x) AS x
+      FROM c{r} y LEFT JOIN (
+        SELECT c, i, sum(p.x)::BIGINT AS s, count(*) AS n FROM parts p JOIN a{r} USING (v) GROUP BY c, i) m USING (c, i))"""
+    for r in range(_ROUNDS)
+)
+
+CENTROIDS = f"""
+WITH vectors AS MATERIALIZED (
+  SELECT row_number() OVER () AS v, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS xs
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), parts AS MATERIALIZED (SELECT v, unnest(generate_series(1, 64)) AS i, unnest(xs) AS x FROM vectors),
+c0 AS MATERIALIZED (
+  SELECT c, unnest(generate_series(1, 64)) AS i, unnest(xs) AS x
+  FROM (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, xs FROM vectors) WHERE c < {_K}
+), {_MOVES},
+final AS ({_nearest(f"c{_ROUNDS}")}),
+names AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{_ROUNDS} GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, distance, sum(distance) OVER (PARTITION BY c)::BIGINT AS cluster_inertia,
+  sum(distance) OVER ()::BIGINT AS inertia, centroid_sha256
+FROM final JOIN vectors USING (v) JOIN names USING (c)
+"""
+
 STATEMENTS = {
     "op2_secret_scan": SECRET_SCAN,
     "op4_minhash_near_dedup": NEAR_DEDUP,
     "op6_url_filter": URL_FILTER,
     "op8_exact_dedup": EXACT_DEDUP,
     "op9_decontamination": DECONTAMINATION,
+    "op11_lexical_search": LEXICAL_SEARCH,
+    "op13_centroid_clustering": CENTROIDS,
 }
