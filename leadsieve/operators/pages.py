@@ -1,14 +1,23 @@
 """Layer 2: everything a site's stored pages say, one row per site.
 
-The snapshot is the one truly large table. It is read once, homepages and
-sub-pages together. Each page is reduced to a few kilobytes where it is read
-(text, match, name), so raw HTML never enters a shuffle; the site is the grouping
-key, and grouping starts before the shuffle, so many captures of one site shrink to
-one row per task.
+The snapshot is the one truly large table. What of it counts is settled before any page is parsed:
+
+1. A narrow scan (address, origin, time) finds the latest capture of every page that can
+   count, one row per site (``captures``).
+2. Homepages: a bitmap of these captures lets the wide scan parse them and little else; every
+   homepage is reduced to a few kilobytes where it is read (text, match, name).
+3. Sub-pages: the same for the sub-pages of sites that matched; no others are parsed.
+
+Raw HTML is in no shuffle. Captures of one time are settled by their content: a rank of fixed width
+(time and hash of the content) is maximised by hash aggregates, and the winners' fields are
+fetched by it. Grouping starts before the shuffle, so a site with many captures
+shrinks to one row per task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +41,8 @@ from leadsieve.functions.text import (
     snippet,
     strip,
 )
+from leadsieve.operators.membership import among, members
+from leadsieve.sources.storage import settled
 
 FACT_COLUMNS = (
     "industry_match",
@@ -45,14 +56,25 @@ FACT_COLUMNS = (
 )
 
 
+# The fields that a decision rests on.
+DECIDING_COLUMNS = ("industry_match", "matched_keywords", "negative_keywords")
+
+# Numbers of the pages that count: homepage by origin, then the candidate sub-pages.
+HOME_DIRECT, HOME_API, FIRST_SUBPAGE = 0, 1, 2
+
+# A capture without time is older than any other.
+_NO_TIME = -(1 << 63)
+
+
 def site_of(url: Column) -> Column:
     """Site part of a snapshot URL: everything before the path."""
     return F.substring_index(url, "/", 3)
 
 
 def path_of(url: Column) -> Column:
-    """What follows the site part; empty for a homepage."""
-    return F.substr(url, F.length(site_of(url)) + 1)
+    """What follows the site part; empty for a homepage, with or without its slash."""
+    rest = F.substr(url, F.length(site_of(url)) + 1)
+    return F.when(rest == "/", "").otherwise(rest)
 
 
 def suffixes(paths) -> dict[str, Column]:
@@ -75,6 +97,28 @@ def wanted_pages(snapshot: DataFrame, paths, use_api: bool) -> DataFrame:
     return snapshot.where(wanted)
 
 
+def page_number(paths) -> Column:
+    """Which page of its site a wanted row is."""
+    path = path_of(F.col("url"))
+    number = F.when(path == "", F.when(F.col("fetch_via") == "api", HOME_API).otherwise(HOME_DIRECT))
+    for i, suffix in enumerate(suffixes(paths), start=FIRST_SUBPAGE):
+        number = number.when(path == suffix, i)
+    return number
+
+
+def subpage_numbers(paths) -> range:
+    return range(FIRST_SUBPAGE, FIRST_SUBPAGE + len(suffixes(paths)))
+
+
+def taken_at() -> Column:
+    return F.coalesce(F.unix_micros(F.col("captured_at").cast("timestamp")), F.lit(_NO_TIME))
+
+
+def latest(page: int) -> str:
+    """Column of ``captures`` with the time of a page's latest capture."""
+    return f"page_{page}"
+
+
 def of_sites(table: DataFrame, site: Column, urls: DataFrame, fits: bool) -> DataFrame:
     """Keep rows of ``table`` whose ``site`` is among ``urls`` (column ``url``), and few others.
 
@@ -100,113 +144,170 @@ def with_page_text(df: DataFrame, html: str = "html", out: str = "text") -> Data
     )
 
 
-def _capture_rank() -> Column:
-    """Latest capture first; equal times are settled by the content."""
-    return F.struct(
-        F.col("captured_at"),
-        F.xxhash64(F.col("status_code"), F.col("html")).alias("content"),
+def captures(snapshot: DataFrame, paths, use_api: bool, sites: DataFrame | None = None) -> DataFrame:
+    """``site`` and per page the time of its latest capture, null if there is none.
+
+    Reads addresses, origins and times only. ``sites`` (column ``url``) keeps those sites alone.
+    """
+    numbers = (HOME_DIRECT, HOME_API, *subpage_numbers(paths))
+    rows = wanted_pages(snapshot.select("url", "fetch_via", "captured_at"), paths, use_api).select(
+        site_of(F.col("url")).alias("site"), page_number(paths).alias("page"), taken_at().alias("taken")
+    )
+    found = rows.groupBy("site").agg(
+        *[F.max(F.when(F.col("page") == n, F.col("taken"))).alias(latest(n)) for n in numbers]
     )
+    if sites is not None:
+        found = found.join(sites.select(F.col("url").alias("site")).distinct(), "site", "left_semi")
+    return found
+
 
+def capture_key(site: Column, page: Column, taken: Column) -> Column:
+    return F.xxhash64(site, page.cast("int"), taken)
 
-def reduce_pages(snapshot: DataFrame, cfg: SieveConfig) -> DataFrame:
-    """Every page as ``site, path, fetch_via, rank, verdict, details, sub_text``; no HTML left.
 
-    Everything heavy is a projection over the scan. What only homepages need is
-    computed only for them: ``_home_page`` is null elsewhere. What decides about a site
-    is apart from what describes it, so a count of decisions computes no names or bundles.
+def chosen_pages(snapshot: DataFrame, latest_of: DataFrame, pages: Iterable[int], paths, use_api: bool) -> DataFrame:
+    """Rows of ``snapshot`` that are the latest captures of these ``pages``, and few others.
+
+    Adds ``site``, ``page`` and ``rank``, a number of fixed width that orders captures by time,
+    and within one time by content. ``latest_of`` has the columns of ``captures``.
     """
-    df = snapshot.select(
+    each = [F.struct(F.lit(n).alias("page"), F.col(latest(n)).alias("taken")) for n in pages]
+    keys = latest_of.select("site", F.inline(F.array(*each))).where("taken IS NOT NULL")
+    wanted = members(keys.select(capture_key(F.col("site"), F.col("page"), F.col("taken"))))
+    rows = wanted_pages(snapshot, paths, use_api).select(
         site_of(F.col("url")).alias("site"),
-        path_of(F.col("url")).alias("path"),
-        "fetch_via",
-        _capture_rank().alias("rank"),
+        page_number(paths).alias("page"),
+        taken_at().alias("taken"),
         "status_code",
         "html",
     )
-    df = with_page_text(df)
-    home = F.col("path") == ""
-    df = df.withColumns(
-        {
-            "_home_page": F.when(home, F.col("_page")),
-            "_home_lower": F.when(home, F.lower(F.col("text"))),
-        }
-    ).drop("html", "_page", "status_code")
-    df = with_site_name(df, "_home_page", "site_name", "name_source")
-    df = with_keyword_match(df, "text", "_home_lower", cfg)
-    return df.select(
-        "site",
-        "path",
-        "fetch_via",
-        "rank",
-        F.when(
-            home,
-            F.struct(
-                F.col("text").isNotNull().alias("has_text"),
-                is_parked_text(F.col("text"), F.col("_home_lower")).alias("parked"),
-                F.col("match_result"),
-                listed(F.col("matched")).alias("matched"),
-                listed(F.col("negatives")).alias("negatives"),
-            ),
-        ).alias("verdict"),
-        F.when(
-            home,
-            F.struct(
-                snippet(F.col("text")).alias("snippet"),
-                F.col("site_name"),
-                F.col("name_source"),
-                homepage_part(F.col("text")).alias("part"),
-            ),
-        ).alias("details"),
-        F.when(
-            ~home & (F.length(strip(F.col("text"))) > MIN_SUBPAGE_TEXT),
-            left(F.col("text"), BUNDLE_SUBPAGE),
-        ).alias("sub_text"),
+    rows = rows.where(F.col("page").isin(*pages))
+    rows = among(rows, capture_key(F.col("site"), F.col("page"), F.col("taken")), wanted)
+    content = F.xxhash64("status_code", "html").bitwiseAND(F.lit((1 << 62) - 1)).cast("decimal(19,0)")
+    rank = F.col("taken").cast("decimal(19,0)") * F.lit(1 << 62).cast("decimal(19,0)") + content
+    return rows.withColumn("rank", rank.cast("decimal(38,0)")).drop("taken")
+
+
+def best_by_rank(rows: DataFrame, pages: Iterable[int], value: Column) -> DataFrame:
+    """Per ``site`` the ``value`` of every page's row with the highest rank, in columns ``page_<n>``.
+
+    ``rows`` is a settled table with ``site``, ``page`` and ``rank``. The highest ranks are a hash
+    aggregate over these three; rows that have them are one per page, or several that are equal,
+    which a set makes one.
+    """
+    highest = rows.groupBy(F.col("site").alias("_site")).agg(
+        *[F.max(F.when(F.col("page") == n, F.col("rank"))).alias(f"_rank_{n}") for n in pages]
+    )
+    own = F.lit(False)
+    for n in pages:
+        own = own | ((F.col("page") == n) & (F.col("rank") == F.col(f"_rank_{n}")))
+    best = rows.join(highest.hint("shuffle_hash"), F.col("site") == F.col("_site")).where(own)
+    found = best.groupBy("site").agg(F.collect_set(F.struct("page", value.alias("value"))).alias("found"))
+
+    def of_page(n: int) -> Column:
+        mine = F.filter("found", lambda p: p["page"] == n)
+        return F.get(mine, F.lit(0))["value"].alias(latest(n))
+
+    return found.select("site", *[of_page(n) for n in pages])
+
+
+def reduce_homepages(pages: DataFrame, cfg: SieveConfig, describe: bool) -> DataFrame:
+    """Homepages as ``site, page, rank, verdict, details``; no HTML left.
+
+    Everything heavy is a projection over the scan. ``details`` is null unless ``describe``.
+    """
+    df = with_page_text(pages).withColumn("_lower", F.lower("text")).drop("html", "status_code")
+    df = with_keyword_match(df, "text", "_lower", cfg)
+    if describe:
+        df = with_site_name(df, "_page", "site_name", "name_source")
+        details = F.struct(
+            snippet(F.col("text")).alias("snippet"),
+            F.col("site_name"),
+            F.col("name_source"),
+            homepage_part(F.col("text")).alias("part"),
+        )
+    else:
+        details = F.lit(None).cast("struct<snippet:string,site_name:string,name_source:string,part:string>")
+    verdict = F.struct(
+        F.col("text").isNotNull().alias("has_text"),
+        is_parked_text(F.col("text"), F.col("_lower")).alias("parked"),
+        F.col("match_result"),
+        listed(F.col("matched")).alias("matched"),
+        listed(F.col("negatives")).alias("negatives"),
     )
+    return df.select("site", "page", "rank", verdict.alias("verdict"), details.alias("details"))
+
+
+def reduce_subpages(pages: DataFrame) -> DataFrame:
+    """Sub-pages as ``site, page, rank, text``: what the bundle takes of them, null if too short."""
+    text = F.when(F.length(strip(F.col("text"))) > MIN_SUBPAGE_TEXT, left(F.col("text"), BUNDLE_SUBPAGE))
+    return with_page_text(pages).select("site", "page", "rank", text.alias("text"))
+
+
+def homepage_facts(snapshot: DataFrame, latest_of: DataFrame, cfg: SieveConfig, use_api: bool, describe: bool) -> DataFrame:
+    """``site, verdict, details`` of every site with a homepage: service before direct fetch if it has text."""
+    pages = (HOME_DIRECT, HOME_API) if use_api else (HOME_DIRECT,)
+    chosen = chosen_pages(snapshot, latest_of, pages, (), use_api)
+    reduced = settled(reduce_homepages(chosen, cfg, describe), "homepages")
+    best = best_by_rank(reduced, pages, F.struct("verdict", "details"))
+    home = F.col(latest(HOME_DIRECT))
+    if use_api:
+        served = F.col(latest(HOME_API))
+        home = F.when(served["verdict"]["has_text"], served).otherwise(home)
+    return best.select("site", home.alias("home")).select("site", "home.verdict", "home.details")
+
+
+def is_followed(verdict: Column) -> Column:
+    """Whether the sub-pages of a site count."""
+    return verdict["match_result"].isin("match", "weak_match") & ~verdict["parked"]
+
+
+def subpage_texts(snapshot: DataFrame, latest_of: DataFrame, homes: DataFrame, paths, use_api: bool) -> DataFrame:
+    """``site`` and the texts of its candidate sub-pages, for the sites that are followed."""
+    pages = subpage_numbers(paths)
+    followed = latest_of.join(homes.where(is_followed(F.col("verdict"))).select("site"), "site", "left_semi")
+    chosen = chosen_pages(snapshot, followed, pages, paths, use_api)
+    return best_by_rank(settled(reduce_subpages(chosen), "subpages"), pages, F.col("text"))
 
 
 def page_facts(
-    snapshot: DataFrame, cfg: SieveConfig, use_api: bool = False, extra_paths=()
+    snapshot: DataFrame,
+    cfg: SieveConfig,
+    use_api: bool = False,
+    extra_paths=(),
+    sites: DataFrame | None = None,
+    describe: bool = True,
 ) -> DataFrame:
     """One row per site: ``url`` and the layer-2 fields its pages give.
 
     The latest capture of a page counts, even if it failed. ``resolved_name`` stays
-    null where only the lead itself can name the company.
+    null where only the lead itself can name the company. ``sites`` (column ``url``) restricts the
+    sites that are looked at. Without ``describe`` only what decides about a site is
+    computed: match and keywords; names, snippets and bundles are null.
+
+    Steps are settled in the shared folder while this function runs; see the module.
     """
     paths = candidate_paths(cfg, tuple(extra_paths))
-    pages = reduce_pages(wanted_pages(snapshot, paths, use_api), cfg)
-    sub_via = "api" if use_api else "direct"
-
-    def latest(value: str, path: str, via: str) -> Column:
-        # A null rank leaves the row out, so each aggregate sees only its own page.
-        own = (F.col("path") == path) & (F.col("fetch_via") == via)
-        return F.max_by(F.col(value), F.when(own, F.col("rank")))
-
-    subs = {s: f"sub_{i}" for i, s in enumerate(suffixes(paths))}
-    grouped = pages.groupBy("site").agg(
-        *[
-            latest(part, "", via).alias(f"{part}_{via}")
-            for part in ("verdict", "details")
-            for via in (("direct", "api") if use_api else ("direct",))
-        ],
-        *[latest("sub_text", suffix, sub_via).alias(name) for suffix, name in subs.items()],
-    )
-    sites = grouped
-    for part in ("verdict", "details"):
-        chosen = F.col(f"{part}_direct")
-        if use_api:
-            from_api = F.col("verdict_api")["has_text"]
-            chosen = F.when(from_api, F.col(f"{part}_api")).otherwise(chosen)
-        sites = sites.withColumn(part, chosen)
-    return _site_fields(sites, [(p, F.col(subs["/" + p.lstrip("/")])) for p in paths])
+    latest_of = settled(captures(snapshot, paths, use_api, sites), "captures")
+    homes = settled(homepage_facts(snapshot, latest_of, cfg, use_api, describe), "sites")
+    found = latest_of.select("site").join(homes, "site", "left")
+    if not describe:
+        described = [c for c in FACT_COLUMNS if c not in DECIDING_COLUMNS]
+        return _site_fields(found, []).withColumns({c: F.lit(None).cast("string") for c in described})
+    if not suffixes(paths):
+        return _site_fields(found, [])
+    texts = subpage_texts(snapshot, latest_of, homes, paths, use_api)
+    found = found.join(texts, "site", "left")
+    number = dict(zip(suffixes(paths), subpage_numbers(paths), strict=True))
+    return _site_fields(found, [(p, F.col(latest(number["/" + p.lstrip("/")]))) for p in paths])
 
 
 def _site_fields(sites: DataFrame, subpages) -> DataFrame:
     """Row-level fields of a site from what its homepage says and its sub-page texts."""
     h, verdict = F.col("details"), F.col("verdict")
     parked = F.coalesce(verdict["parked"], F.lit(True))
-    followed = verdict["match_result"].isin("match", "weak_match")
-    parts = [subpage_part(F.lit(p), F.when(followed, t)) for p, t in subpages]
-    names = [F.when(followed & t.isNotNull(), F.lit(p)) for p, t in subpages]
+    parts = [subpage_part(F.lit(p), t) for p, t in subpages]
+    names = [F.when(t.isNotNull(), F.lit(p)) for p, t in subpages]
 
     def unless_parked(value: Column) -> Column:
         return F.when(parked, F.lit("")).otherwise(value)
@@ -229,18 +330,12 @@ def _site_fields(sites: DataFrame, subpages) -> DataFrame:
 def homepage_source(snapshot: DataFrame, use_api: bool = False) -> DataFrame:
     """Text of every homepage: latest capture, service before direct fetch.
 
-    Pages are reduced to text before they are grouped.
+    Only the latest captures are turned into text, before anything is grouped.
     """
-    pages = wanted_pages(snapshot, (), use_api).select(
-        F.col("url"), "fetch_via", _capture_rank().alias("rank"), "status_code", "html"
-    )
-    pages = with_page_text(pages).select("url", "fetch_via", "rank", "text")
-    via = F.col("fetch_via")
-    grouped = pages.groupBy("url").agg(
-        F.max_by(F.col("text"), F.when(via == "direct", F.col("rank"))).alias("direct"),
-        F.max_by(F.col("text"), F.when(via == "api", F.col("rank"))).alias("api"),
-    )
-    origin = F.when(F.col("api").isNotNull(), "api").when(F.col("direct").isNotNull(), "direct")
-    return grouped.select(
-        "url", F.coalesce("api", "direct").alias("text"), origin.alias("text_via")
-    )
+    pages = (HOME_DIRECT, HOME_API) if use_api else (HOME_DIRECT,)
+    latest_of = settled(captures(snapshot, (), use_api), "captures")
+    chosen = with_page_text(chosen_pages(snapshot, latest_of, pages, (), use_api))
+    best = best_by_rank(settled(chosen.select("site", "page", "rank", "text"), "texts"), pages, F.col("text"))
+    direct, api = F.col(latest(HOME_DIRECT)), F.col(latest(HOME_API)) if use_api else F.lit(None).cast("string")
+    origin = F.when(api.isNotNull(), "api").when(direct.isNotNull(), "direct")
+    return best.select(F.col("site").alias("url"), F.coalesce(api, direct).alias("text"), origin.alias("text_via"))

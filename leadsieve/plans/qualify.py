@@ -19,9 +19,9 @@ from leadsieve.operators.leads import (
     unify_headers,
     with_working_columns,
 )
-from leadsieve.operators.pages import FACT_COLUMNS, of_sites, page_facts, site_of
+from leadsieve.operators.pages import FACT_COLUMNS, of_sites, page_facts
 from leadsieve.operators.probes import pivot_probes, with_verdict
-from leadsieve.sources.storage import checkpointed
+from leadsieve.sources.storage import settled
 
 STAGES = ("both", "layer1", "layer2")
 
@@ -41,26 +41,28 @@ def qualify(
     use_api: bool = False,
     facts: DataFrame | None = None,
     slice_rows: int = SLICE_ROWS,
+    describe: bool = True,
 ) -> DataFrame:
     """Label every lead PASS, FAIL or REVIEW; rows in equal rows out.
 
     ``leads`` holds any string columns; ``_row_id`` numbers its rows and is added if
     absent. ``stages`` is ``both``, ``layer1`` (probes only) or ``layer2`` (leads bring ``domain_status``).
     ``facts`` may replace ``page_snapshot`` by the stored result of ``page_facts``
-    for the same configuration. Work is done per distinct URL and joined back.
+    for the same configuration. Without ``describe`` rows are only judged: names, snippets and bundles
+    of live sites are not computed. Work is done per distinct URL and joined back; the steps before
+    that are settled in the shared folder while this function runs (``scratch_scope`` removes them).
     """
     _check_inputs(leads, probe_log, page_snapshot, facts, config, stages)
     rows = with_working_columns(unify_headers(leads))
-    urls = checkpointed(url_verdicts(rows, probe_log, config, stages))
+    urls = settled(url_verdicts(rows, probe_log, config, stages), "urls")
     size = measure(urls)
     per_url = urls
     if stages != "layer1":
-        fits = size.live_urls * BROADCAST_ROW_BYTES <= broadcast_limit(leads)
         live = urls.where("live")
         if facts is None:
-            pages = of_sites(page_snapshot, site_of(page_snapshot["url"]), live, fits)
-            facts = page_facts(pages, config, use_api)
+            facts = page_facts(page_snapshot, config, use_api, sites=live, describe=describe)
         else:
+            fits = size.live_urls * BROADCAST_ROW_BYTES <= broadcast_limit(leads)
             facts = of_sites(facts, facts["url"], live, fits)
         # columns of their own, so that fields nobody asks for are never computed
         facts = facts.select("url", *[F.col(c).alias(FACT + c) for c in FACT_COLUMNS])

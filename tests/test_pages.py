@@ -1,8 +1,21 @@
 from datetime import datetime
 
-from leadsieve.config import SieveConfig
+from leadsieve.config import SieveConfig, candidate_paths
 from leadsieve.functions.pages import first_paths, page_url, path_key, path_label
-from leadsieve.operators.pages import homepage_source, of_sites, page_facts, site_of
+from leadsieve.operators.membership import among, members
+from leadsieve.operators.pages import (
+    captures,
+    chosen_pages,
+    homepage_facts,
+    homepage_source,
+    is_followed,
+    of_sites,
+    page_facts,
+    reduce_homepages,
+    reduce_subpages,
+    site_of,
+    subpage_numbers,
+)
 from pyspark.sql import functions as F
 
 SNAPSHOT = "url string, status_code int, html string, fetch_via string, captured_at timestamp"
@@ -139,6 +152,56 @@ def test_a_site_with_a_third_of_all_captures(spark):
     assert {got[f"https://c{i}.com"].industry_match for i in range(400)} == {"weak_match"}
 
 
+def test_homepages_with_and_without_slash_are_one(spark):
+    late, early = page("https://a.com/", home("pump"), day=2), page("https://a.com", home("none"), day=1)
+    assert facts(spark, [late, early])["https://a.com"].industry_match == "match"
+    swapped = [page("https://a.com/", home("pump"), day=1), page("https://a.com", home("none"), day=2)]
+    assert facts(spark, swapped)["https://a.com"].industry_match == "no_match"
+    source = homepage_source(spark.createDataFrame([late, early, page("https://a.com//", "no")], SNAPSHOT)).collect()
+    assert [(r.url, r.text_via, "pump" in r.text) for r in source] == [("https://a.com", "direct", True)]
+
+
+def test_superseded_captures_and_unfollowed_sub_pages_are_not_parsed(spark):
+    rows = []
+    for i in range(40):
+        word = "pump" if i % 4 == 0 else "none"
+        for day in range(1, 6):
+            rows += [page(f"https://s{i}.com/{p}", home(word), day=day) for p in ("", "about", "services", "other")]
+    snapshot = spark.createDataFrame(rows, SNAPSHOT)
+    paths = candidate_paths(CFG)
+    latest_of = captures(snapshot, paths, False)
+    homes = reduce_homepages(chosen_pages(snapshot, latest_of, (0,), (), False), CFG, True)
+    assert homes.count() < 1.2 * 40 and homes.select("site").distinct().count() == 40
+    sites = homepage_facts(snapshot, latest_of, CFG, False, True)
+    assert sites.where(is_followed(F.col("verdict"))).count() == 10
+    followed = latest_of.join(sites.where(is_followed(F.col("verdict"))), "site", "left_semi")
+    subs = reduce_subpages(chosen_pages(snapshot, followed, subpage_numbers(paths), paths, False))
+    assert 20 <= subs.count() < 1.2 * 20 + 5
+
+
+def test_captures_of_wanted_sites_alone(spark):
+    rows = [page(f"https://s{i}.com", home("pump")) for i in range(30)]
+    wanted = spark.createDataFrame([(f"https://s{i}.com",) for i in range(3)] * 2, "url string")
+    got = page_facts(spark.createDataFrame(rows, SNAPSHOT), CFG, sites=wanted)
+    assert sorted(r.url for r in got.collect()) == [f"https://s{i}.com" for i in range(3)]
+
+
+def test_without_description(spark):
+    rows = [page("https://a.com", home("pump")), page("https://a.com/about", home("sub")), page("https://b.com", "x")]
+    got = facts(spark, rows, describe=False)
+    assert {u: (r.industry_match, r.matched_keywords) for u, r in got.items()} == {
+        "https://a.com": ("match", "pump"), "https://b.com": ("parked_domain", ""),
+    }
+    assert all(r.scraped_text is None and r.resolved_name is None for r in got.values())
+
+
+def test_captures_without_time_are_settled_by_content(spark):
+    rows = [page("https://a.com", home(w), day=None) for w in ("pump", "none", "tank", "pump")]
+    first = facts(spark, rows)["https://a.com"]
+    for turn in range(1, 4):
+        assert facts(spark, rows[turn:] + rows[:turn])["https://a.com"] == first
+
+
 def test_sites_beyond_a_broadcast_are_left_for_later(spark):
     frame = spark.createDataFrame([page("https://a.com/x", "1"), page("https://b.com", "2")], SNAPSHOT)
     sites = spark.createDataFrame([("https://a.com",), ("https://a.com",)], "url string")
@@ -155,3 +218,25 @@ def test_paths(evaluate, spark):
     frame = spark.createDataFrame([(["/A/", "/a", "b", "B//", "c", "/c"],)], "p array<string>")
     frame = frame.withColumn("k", F.transform("p", path_key))
     assert frame.select(first_paths(F.col("p"), F.col("k"), 3).alias("r")).first().r == ["/A/", "b", "c"]
+
+
+def test_bitmaps(spark):
+    key = F.xxhash64("id")
+    table = spark.range(20_000)
+    for n, limit in ((0, 1 << 20), (1, 1 << 20), (3000, 1 << 20), (3000, 512), (3000, 1)):
+        kept = among(table, key, members(spark.range(n).select(key), limit)).cache()
+        assert kept.where(F.col("id") < n).count() == n
+        assert kept.columns == ["id"]
+        if limit > 512:
+            assert kept.count() <= n + 2000
+    assert members(spark.range(3000).select(key), 4096).bits == 1 << 15
+
+
+def test_a_full_bitmap_still_leaves_pages_out(spark):
+    """More keys than bits: other keys pass more often, but not all of them, and none that is wanted is lost."""
+    key = F.xxhash64("id")
+    wanted = members(spark.range(40_000).select(key), 4096)
+    passed = among(spark.range(80_000), key, wanted)
+    assert wanted.bits == 1 << 15
+    assert passed.where("id < 40000").count() == 40_000
+    assert passed.where("id >= 40000").count() < 0.75 * 40_000

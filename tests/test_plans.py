@@ -2,8 +2,16 @@
 
 import re
 
-from leadsieve.operators.pages import page_facts
-from leadsieve.operators.report import decision_summary, match_histogram
+from leadsieve.config import candidate_paths
+from leadsieve.operators.pages import (
+    captures,
+    chosen_pages,
+    homepage_source,
+    page_facts,
+    reduce_homepages,
+    reduce_subpages,
+    subpage_numbers,
+)
 from leadsieve.plans.qualify import qualify
 from tests.test_qualify import CFG, inputs
 
@@ -28,63 +36,67 @@ def test_no_python_and_no_cross_join(spark, tmp_path):
         assert not re.search("EvalPython|MapInPandas|CartesianProduct|NestedLoop", text)
 
 
+def steps(pages, use_api=False):
+    """The unsettled steps of layer 2 over stored pages: captures, homepages, sub-pages."""
+    paths = candidate_paths(CFG)
+    latest_of = captures(pages, paths, use_api)
+    homes = reduce_homepages(chosen_pages(pages, latest_of, (0, 1), (), use_api), CFG, True)
+    subs = reduce_subpages(chosen_pages(pages, latest_of, subpage_numbers(paths), paths, use_api))
+    return latest_of, homes, subs
+
+
 def test_html_is_never_shuffled(spark, tmp_path):
-    leads, log, pages = stored(spark, tmp_path)
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    try:
-        for limit in ("10MB", "-1"):
-            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
-            frame = qualify(leads, log, pages, CFG)
-            tree = frame._jdf.queryExecution().optimizedPlan()
-            text = tree.toString()
-            # HTML leaves the plan in one projection right above its scan: no aggregate
-            # or regular join has it among its inputs.
-            for line in text.splitlines():
-                if re.search(r"Aggregate|Join LeftOuter|Repartition", line):
-                    assert not re.search(r"\bhtml#|_page#|_home_page#", line), line
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-
-
-def test_page_text_is_computed_once(spark, tmp_path):
     _, _, pages = stored(spark, tmp_path)
-    text = page_facts(pages, CFG)._jdf.queryExecution().optimizedPlan().toString()
-    assert text.count("<script[^>]*>") == 1
-    assert text.count("(?iu)<title") == 1
+    latest_of, homes, subs = steps(pages)
+    assert "html" not in plan(latest_of).split("ReadSchema: ")[1]
+    for reduced in (homes, subs):
+        text = plan(reduced)
+        # only the bitmap, made of addresses and times, is exchanged
+        for line in text.splitlines():
+            if re.search(r"Exchange|Aggregate|Sort", line):
+                assert "html" not in line, line
+        wide = [x for x in text.split("ReadSchema: ")[1:] if "html" in x.split(">")[0]]
+        assert len(wide) == 1
+
+
+def test_pages_are_filtered_before_any_pattern(spark, tmp_path):
+    _, _, pages = stored(spark, tmp_path)
+    _, homes, subs = steps(pages)
+    for reduced in (homes, subs):
+        text = reduced._jdf.queryExecution().optimizedPlan().toString()
+        assert text.rindex("<script[^>]*>") < text.index("LeftSemi")
+        assert text.count("<script[^>]*>") == 1
+    assert homes._jdf.queryExecution().optimizedPlan().toString().count("(?iu)<title") == 1
+    assert "<title" not in plan(subs)
 
 
-def test_hot_urls_do_not_read_the_pages_again(spark, tmp_path):
+def test_the_pages_are_not_in_the_last_plan(spark, tmp_path):
     leads, log, pages = stored(spark, tmp_path, 3)
-    frame = qualify(leads, log, pages, CFG, slice_rows=2)
-    text = frame._jdf.queryExecution().optimizedPlan().toString()
-    assert text.count("<script[^>]*>") == 1
+    for slice_rows in (2, 1000):
+        text = plan(qualify(leads, log, pages, CFG, slice_rows=slice_rows))
+        assert "html" not in text and "<script" not in text
+
+
+def test_no_wide_rows_are_sorted_to_find_the_latest(spark, tmp_path):
+    leads, log, pages = stored(spark, tmp_path)
+    frames = [*steps(pages), page_facts(pages, CFG), homepage_source(pages, True)]
+    for frame in frames:
+        assert "SortAggregate" not in plan(frame)
+    assert "SortAggregate" not in plan(qualify(leads, log, pages, CFG))
 
 
 def test_filters_reach_the_scan_and_columns_are_pruned(spark, tmp_path):
     leads, log, pages = stored(spark, tmp_path)
-    text = plan(page_facts(pages, CFG))
-    assert "EqualTo(fetch_via,direct)" in text
+    for step in steps(pages):
+        assert "EqualTo(fetch_via,direct)" in plan(step)
     text = plan(qualify(leads, log, stages="layer1").select("domain_status"))
     assert "company_name" not in text.split("ReadSchema: ")[1].split("\n")[0]
     assert "website" in text
 
 
-def test_many_live_urls_are_joined_after_reduction(spark, tmp_path):
-    leads, log, pages = stored(spark, tmp_path)
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        text = plan(qualify(leads, log, pages, CFG))
-        assert "LeftSemi" not in text and "BroadcastHashJoin" not in text
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    assert "LeftSemi" in plan(qualify(leads, log, pages, CFG))
-
-
 def test_counts_compute_no_names_and_no_bundles(spark, tmp_path):
-    leads, log, pages = stored(spark, tmp_path)
-    done = qualify(leads, log, pages, CFG)
-    for counts in (decision_summary(done), match_histogram(done)):
-        text = counts._jdf.queryExecution().optimizedPlan().toString()
-        assert "<script[^>]*>" in text
-        assert "<title" not in text and "HOMEPAGE" not in text
+    _, _, pages = stored(spark, tmp_path)
+    chosen = chosen_pages(pages, captures(pages, (), False), (0,), (), False)
+    text = reduce_homepages(chosen, CFG, False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "<script[^>]*>" in text
+    assert "<title" not in text and "HOMEPAGE" not in text

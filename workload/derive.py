@@ -34,6 +34,7 @@ MARKUP = (
 )
 PARKED_MARKUP = "<p>This Domain is FOR SALE</p>"
 NEGATIVE_MARKUP = "<b>zzneg</b>"
+OLD_MARKUP = "<title>Old name</title><p>anth wher zzneg</p>"
 
 # Answers per probe case: case, attempt, status, final address, kind and text of the error.
 PROBE_CASES = (
@@ -241,11 +242,16 @@ def lead_urls(rows: DataFrame) -> DataFrame:
 
 
 def page_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stored page as captured lately, and an older capture of each."""
+    """Every stored page as captured lately, and an older capture of each, as long as the page.
+
+    Of some sites the homepage has its slash in the later capture, of others in both.
+    """
     k = F.col("site_no")
     url = F.concat(
         F.lit("https://"), F.col("host"), choose(F.col("slot"), [F.lit(p) for p in SLOT_PATHS])
     )
+    slash = F.when((F.col("slot") == 0) & (k % 5 > 2), "/").otherwise("")
+    old_slash = F.when((F.col("slot") == 0) & (k % 5 > 3), "/").otherwise("")
     via = (
         F.when(k % 3 == 0, "api")
         .when((k % 3 == 1) & (F.col("slot") > 0), "api")
@@ -254,16 +260,18 @@ def page_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = (k % 13 == 12) & (F.col("slot") == 0)
 
     lately = F.struct(
+        F.concat(url, slash).alias("url"),
         F.when(broken, 404).otherwise(200).alias("status_code"),
         marked_html().alias("html"),
         F.lit("2024-02-01").cast("timestamp").alias("captured_at"),
     )
     before = F.struct(
+        F.concat(url, old_slash).alias("url"),
         F.lit(200).alias("status_code"),
-        F.lit("<title>Old name</title>").alias("html"),
+        F.concat(F.lit(OLD_MARKUP), F.col("html")).alias("html"),
         F.lit("2024-01-01").cast("timestamp").alias("captured_at"),
     )
     captures = crawl(spark, sf_dir).select(
-        url.alias("url"), via.alias("fetch_via"), F.inline(F.array(lately, before))
+        via.alias("fetch_via"), F.inline(F.array(lately, before))
     )
     return captures.select("url", "status_code", "html", "fetch_via", "captured_at")

@@ -303,10 +303,10 @@ def campaign_match(spark, sf_dir):
     )
 
 
-def full(spark, sf_dir, use_api: bool = False):
+def full(spark, sf_dir, **options):
     leads, log = _inputs(spark, sf_dir)
     snapshot = derive.page_snapshot(spark, sf_dir)
-    return qualify(leads, log, snapshot, CONFIG, use_api=use_api).drop(ROW_ID)
+    return qualify(leads, log, snapshot, CONFIG, **options).drop(ROW_ID)
 
 
 def full_api(spark, sf_dir):
@@ -314,11 +314,11 @@ def full_api(spark, sf_dir):
 
 
 def histogram(spark, sf_dir):
-    return match_histogram(full(spark, sf_dir))
+    return match_histogram(full(spark, sf_dir, describe=False))
 
 
 def summary(spark, sf_dir):
-    return decision_summary(full(spark, sf_dir))
+    return decision_summary(full(spark, sf_dir, describe=False))
 
 
 def skip_layer1(spark, sf_dir):

@@ -17,6 +17,7 @@ from workload.derive import (
     KEYWORDS,
     MARKUP,
     NEGATIVE_MARKUP,
+    OLD_MARKUP,
     PARKED_MARKUP,
     PROBE_CASES,
     PROBE_KINDS,
@@ -203,7 +204,7 @@ verdicts AS (
 _PATH = choose("slot", [q(p) for p in SLOT_PATHS])
 SNAPSHOT = f"""
 snapshot AS (
-  SELECT 'https://' || host || {_PATH} AS url,
+  SELECT 'https://' || host || {_PATH} || CASE WHEN slot = 0 AND site_no % 5 > 2 THEN '/' ELSE '' END AS url,
          CASE WHEN site_no % 13 = 12 AND slot = 0 THEN 404 ELSE 200 END AS status_code,
          html,
          CASE WHEN site_no % 3 = 0 OR (site_no % 3 = 1 AND slot > 0) THEN 'api'
@@ -211,7 +212,8 @@ snapshot AS (
          TIMESTAMP '2024-02-01' AS captured_at
   FROM marked
   UNION ALL
-  SELECT 'https://' || host || {_PATH}, 200, '<title>Old name</title>',
+  SELECT 'https://' || host || {_PATH} || CASE WHEN slot = 0 AND site_no % 5 > 3 THEN '/' ELSE '' END,
+         200, {q(OLD_MARKUP)} || html,
          CASE WHEN site_no % 3 = 0 OR (site_no % 3 = 1 AND slot > 0) THEN 'api'
               ELSE 'direct' END,
          TIMESTAMP '2024-01-01'
@@ -356,7 +358,7 @@ def latest(use_api: bool) -> str:
     return f"""
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY url, fetch_via ORDER BY captured_at DESC) AS rn
-  FROM snapshot),
+  FROM (SELECT * REPLACE (regexp_replace(url, '^(https://[^/]*)/$', '\\1') AS url) FROM snapshot)),
 texts AS (
   SELECT url, fetch_via, CASE WHEN status_code = 200 THEN html END AS page,
          CASE WHEN status_code = 200 THEN nullif({text_sql("html")}, '') END AS text
@@ -390,7 +392,7 @@ def site_facts(use_api: bool) -> str:
     return f"""{latest(use_api)},
 seen_sites AS (
   SELECT DISTINCT regexp_extract(url, '^https://[^/]*') AS site FROM snapshot
-  WHERE fetch_via = '{sub_via}'{" OR regexp_full_match(url, 'https://[^/]*')" if use_api else ""}),
+  WHERE fetch_via = '{sub_via}'{" OR regexp_full_match(url, 'https://[^/]*/?')" if use_api else ""}),
 homes AS (
   SELECT s.site, {pick.format(c="text")} AS text, {pick.format(c="page")} AS page, {sub_cols}
   FROM seen_sites s
@@ -532,7 +534,7 @@ def homepage_text() -> str:
     return f"""WITH {CRAWL},{MARKED},{SNAPSHOT},{latest(True)}
 SELECT u.url, coalesce(a.text, d.text) AS text,
        CASE WHEN a.text IS NOT NULL THEN 'api' WHEN d.text IS NOT NULL THEN 'direct' END AS text_via
-FROM (SELECT DISTINCT url FROM snapshot WHERE regexp_full_match(url, 'https://[^/]*')) u
+FROM (SELECT DISTINCT rtrim(url, '/') AS url FROM snapshot WHERE regexp_full_match(url, 'https://[^/]*/?')) u
 LEFT JOIN texts a ON a.url = u.url AND a.fetch_via = 'api'
 LEFT JOIN texts d ON d.url = u.url AND d.fetch_via = 'direct'"""
 
