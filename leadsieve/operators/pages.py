@@ -191,17 +191,12 @@ def chosen_pages(snapshot: DataFrame, latest_of: DataFrame, pages: Iterable[int]
 def best_by_rank(rows: DataFrame, pages: Iterable[int], value: Column) -> DataFrame:
     """Per ``site`` the ``value`` of every page's row with the highest rank, in columns ``page_<n>``.
 
-    ``rows`` is a settled table with ``site``, ``page`` and ``rank``. The highest ranks are a hash
-    aggregate over these three; rows that have them are one per page, or several that are equal,
-    which a set makes one.
+    ``rows`` is a settled table with ``site``, ``page`` and ``rank``. The highest ranks are a hash aggregate
+    over these three. Rows that have them are one per page, or several that are equal, which a set makes one
+    before they are sent to their site: captures of one page spread by rank, however many there are.
     """
-    highest = rows.groupBy(F.col("site").alias("_site")).agg(
-        *[F.max(F.when(F.col("page") == n, F.col("rank"))).alias(f"_rank_{n}") for n in pages]
-    )
-    own = F.lit(False)
-    for n in pages:
-        own = own | ((F.col("page") == n) & (F.col("rank") == F.col(f"_rank_{n}")))
-    best = rows.join(highest.hint("shuffle_hash"), F.col("site") == F.col("_site")).where(own)
+    highest = rows.groupBy("site", "page").agg(F.max("rank").alias("rank"))
+    best = rows.join(highest.hint("shuffle_hash"), ["site", "page", "rank"])
     found = best.groupBy("site").agg(F.collect_set(F.struct("page", value.alias("value"))).alias("found"))
 
     def of_page(n: int) -> Column:

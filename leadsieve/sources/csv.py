@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from leadsieve.functions.decide import DECISIONS
 from leadsieve.operators.leads import ROW_ID, output_projection, quoted
 from leadsieve.operators.report import decision_summary
+from leadsieve.sources.records import BOM, field_count, opens, records
 from leadsieve.sources.storage import scratch_path
 
 # Quotes are doubled inside quoted fields, blanks are data, and missing values are empty.
@@ -24,6 +25,12 @@ CSV_FORMAT = {
     "emptyValue": "",
 }
 
+# How the fields of one record are read.
+FIELDS = {k: str(v) for k, v in CSV_FORMAT.items() if k not in ("header", "encoding")}
+
+# Text of a record that does not fit the header; like all names with ``_`` it is never written.
+BAD_RECORD = "_bad_record"
+
 # Lines that a header record takes at most.
 HEADER_LINES = 100
 
@@ -38,12 +45,14 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
     """
     lines: list[str] = []
     for row in spark.read.text(path).limit(HEADER_LINES).toLocalIterator():
+        if not lines and row[0] in ("", BOM):
+            continue
         lines.append(row[0])
         if sum(line.count('"') for line in lines) % 2 == 0:
             break
     if not lines:
         raise ValueError(f"no header line in {path}")
-    return next(csv.reader(["\n".join(lines).lstrip("\ufeff")], strict=False))
+    return next(csv.reader(["\n".join(lines).lstrip(BOM)], strict=False))
 
 
 def leads_schema(spark: SparkSession, header: list[str]) -> StructType:
@@ -57,16 +66,42 @@ def leads_schema(spark: SparkSession, header: list[str]) -> StructType:
     return StructType([StructField(name, StringType()) for name in header])
 
 
-def read_leads(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """Leads of the CSV files at ``path`` with a row number that grows within each file.
+def parsed(spark: SparkSession, path: str) -> DataFrame:
+    """Records of the CSV files at ``path``: a column of strings per header field, ``ROW_ID`` and ``BAD_RECORD``.
 
-    A file with another header than the first one's makes the read fail. Short rows are filled with null, surplus fields
-    are dropped, blank lines are skipped. With ``multiline`` a field may hold line
-    breaks and a file is one task; without it large files are split.
+    Short rows are filled with null. A record with more fields than the header, or with a quote that is never
+    closed, can't be told apart into columns: all of them are null, and its text is in ``BAD_RECORD``. A file with
+    another header than the first one's makes the read fail.
+    """
+    header = header_of(spark, path)
+    schema = leads_schema(spark, header)
+    fields = [f"c{i}" for i in range(len(header))]
+    row = F.from_csv("text", ", ".join(f"{f} string" for f in fields), FIELDS)
+    rows = records(spark, path).withColumn("row", row)
+    found = F.array(*[F.col("row")[f] for f in fields])
+    named = F.array(*[F.lit(h or None).cast("string") for h in header])
+    other = F.raise_error(F.concat(F.lit("another header than "), F.lit(str(header)), F.lit(" in "), F.col("file")))
+    kept = rows.where(F.when(F.col("place").isNotNull(), True).when(found.eqNullSafe(named), False).otherwise(other.cast("boolean")))
+    bad = (field_count(F.col("text")) > len(header)) | opens(F.col("text"))
+    return kept.select(
+        *[F.when(~bad, F.col("row")[f]).alias(n) for f, n in zip(fields, schema.names, strict=True)],
+        F.col("place").alias(ROW_ID),
+        F.when(bad, F.col("text")).alias(BAD_RECORD),
+    )
+
+
+def read_leads(spark: SparkSession, path: str) -> DataFrame:
+    """Leads of the CSV files at ``path``, numbered without gaps in order of file names and rows.
+
+    Fields may hold line breaks; large files are read by many tasks all the same. Rows with more
+    fields than the header are kept with nothing but their number; ``bad_records`` lists them.
     """
-    schema = leads_schema(spark, header_of(spark, path))
-    rows = spark.read.options(**CSV_INPUT).option("multiLine", multiline).schema(schema).csv(path)
-    return rows.withColumn(ROW_ID, F.monotonically_increasing_id())
+    return parsed(spark, path)
+
+
+def bad_records(leads: DataFrame) -> DataFrame:
+    """``_row_id`` and text of the records that do not fit their header."""
+    return leads.where(F.col(BAD_RECORD).isNotNull()).select(ROW_ID, BAD_RECORD)
 
 
 def write_csv(df: DataFrame, path: str, ordered: bool = False) -> None:
@@ -114,9 +149,7 @@ def write_outputs(
 
 def read_output(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a written output, every value a string, missing values empty."""
-    schema = leads_schema(spark, header_of(spark, path))
-    rows = spark.read.options(**CSV_INPUT).option("multiLine", True).schema(schema).csv(path)
-    return rows.na.fill("")
+    return parsed(spark, path).drop(ROW_ID, BAD_RECORD).na.fill("")
 
 
 def recount(spark: SparkSession, path: str) -> DataFrame:

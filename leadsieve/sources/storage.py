@@ -54,9 +54,19 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
         delete(spark, folder.rsplit("/", 1)[0])
 
 
-def delete(spark: SparkSession, folder: str) -> None:
+def _opened(spark: SparkSession, folder: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    files, path = _opened(spark, folder)
+    return files.exists(path)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    files, path = _opened(spark, folder)
+    files.delete(path, True)
 
 
 def settled(df: DataFrame, name: str = "table") -> DataFrame:

@@ -1,9 +1,9 @@
 """Incremental intake: lead files that arrive in a folder are classified batch by batch.
 
-The work is stateless, so there is neither watermark nor state: every micro-batch is the
-batch job over the new files. Pages are reduced to facts once, before the stream starts,
-so a small batch does not read the whole snapshot again; of probe log and facts it takes
-only what its URLs need into a shuffle.
+Every micro-batch is the batch job over the new files. Pages are reduced to facts once, before the stream
+starts, so a small batch does not read the whole snapshot again. Probe answers come from a maintained table
+(``leadsieve.streaming.answers``), of which a batch reads only the buckets its URLs are in, or from a plain
+log. What a batch settles on its way is removed when it is done.
 """
 
 from __future__ import annotations
@@ -20,10 +20,11 @@ from leadsieve.operators.leads import (
     with_working_columns,
 )
 from leadsieve.operators.pages import of_sites, page_facts
-from leadsieve.operators.report import decision_summary
+from leadsieve.operators.report import decision_counts, histogram_of_counts, summary_of_counts
 from leadsieve.plans.qualify import BROADCAST_ROW_BYTES, broadcast_limit, qualify
 from leadsieve.sources.csv import CSV_INPUT, header_of, leads_schema
-from leadsieve.sources.storage import checkpointed
+from leadsieve.sources.storage import exists, scratch_scope, settled
+from leadsieve.streaming.answers import BUCKETS, last_batch, read_answers
 
 
 # Number of the micro-batch that a row came with.
@@ -50,42 +51,59 @@ def read_lead_stream(
     )
 
 
+def batch_urls(leads: DataFrame) -> DataFrame:
+    return distinct_urls(with_working_columns(unify_headers(leads)))
+
+
 def answers_for(leads: DataFrame, probe_log: DataFrame) -> DataFrame:
-    """The part of the probe log that a batch needs, if its URLs fit a broadcast."""
-    urls = distinct_urls(with_working_columns(unify_headers(leads)))
+    """The part of a plain probe log that a batch needs, if its URLs fit a broadcast."""
+    urls = batch_urls(leads)
     fits = urls.count() * BROADCAST_ROW_BYTES <= broadcast_limit(leads)
     return of_sites(probe_log, probe_log["url"], urls, fits)
 
 
+def _pinned(spark: SparkSession, path: str, current: int | None) -> int | None:
+    """The number that was stored at ``path`` first: ``current`` now, the same one when a batch is run again."""
+    if not exists(spark, f"{path}/_SUCCESS"):
+        spark.createDataFrame([(current,)], "batch long").write.mode("overwrite").parquet(path)
+    return spark.read.schema("batch long").parquet(path).first()[0]
+
+
 def start_intake(
     stream: DataFrame,
-    probe_log: DataFrame,
+    probe_log: DataFrame | str,
     facts: DataFrame,
     config: SieveConfig,
     output: str,
     checkpoint: str,
+    buckets: int = BUCKETS,
     **options,
 ) -> StreamingQuery:
     """Classify what is new and stop.
 
-    Batch n writes ``output/rows/batch=n/filter_decision=...`` and
-    ``output/summary/batch=n``. A batch that is run again after a failure replaces its own
-    folders, so every row is written exactly once.
+    ``probe_log`` is a table or the path of a maintained table of answers. Batch n writes
+    ``output/rows/batch=n/filter_decision=...`` and ``output/counts/batch=n``. A batch that is run again after a
+    failure replaces its own folders, so every row is written and counted exactly once; it sees the answers
+    that it saw first.
     """
 
     def classify(batch: DataFrame, number: int) -> None:
-        # settled once: sizes, URLs and the join back all read this copy, not the files
-        leads = checkpointed(batch.withColumn(ROW_ID, F.monotonically_increasing_id()))
-        log = answers_for(leads, probe_log)
-        done = qualify(leads, log, config=config, facts=facts, **options)
-        rows = f"{output}/rows/batch={number}"
-        done.withColumn("split", F.col("filter_decision")).write.mode("overwrite").partitionBy(
-            "split"
-        ).parquet(rows)
-        written = batch.sparkSession.read.schema("filter_decision string").parquet(rows)
-        decision_summary(written).write.mode("overwrite").parquet(
-            f"{output}/summary/batch={number}"
-        )
+        spark = batch.sparkSession
+        with scratch_scope(spark):
+            # settled once: sizes, URLs and the join back all read this copy, not the files
+            leads = settled(batch.withColumn(ROW_ID, F.monotonically_increasing_id()), "leads")
+            if isinstance(probe_log, str):
+                seen = _pinned(spark, f"{output}/answers/batch={number}", last_batch(spark, probe_log))
+                log = read_answers(spark, probe_log, batch_urls(leads), (-1 if seen is None else seen) + 1, buckets)
+            else:
+                log = answers_for(leads, probe_log)
+            done = qualify(leads, log, config=config, facts=facts, **options)
+            rows = f"{output}/rows/batch={number}"
+            done.withColumn("split", F.col("filter_decision")).write.mode("overwrite").partitionBy(
+                "split"
+            ).parquet(rows)
+            written = spark.read.schema("filter_decision string, industry_match string").parquet(rows)
+            decision_counts(written).write.mode("overwrite").parquet(f"{output}/counts/batch={number}")
 
     return (
         stream.writeStream.foreachBatch(classify)
@@ -101,6 +119,21 @@ def classified_rows(spark: SparkSession, output: str) -> DataFrame:
     return rows.withColumn(BATCH, F.col("batch").cast("long")).drop("batch")
 
 
+def _counts(spark: SparkSession, output: str) -> DataFrame:
+    schema = "industry_match string, filter_decision string, row_count long, batch long"
+    return spark.read.schema(schema).parquet(f"{output}/counts")
+
+
 def batch_summaries(spark: SparkSession, output: str) -> DataFrame:
     """One summary per batch."""
-    return spark.read.parquet(f"{output}/summary")
+    return summary_of_counts(_counts(spark, output), "batch")
+
+
+def running_summary(spark: SparkSession, output: str) -> DataFrame:
+    """The summary of all rows so far, added up from the batches' counts; no row is read again."""
+    return summary_of_counts(_counts(spark, output))
+
+
+def running_histogram(spark: SparkSession, output: str) -> DataFrame:
+    """Rows and percent per match result so far, as ``match_histogram`` of all rows."""
+    return histogram_of_counts(_counts(spark, output))

@@ -1,7 +1,15 @@
+import csv
+import io
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from leadsieve.operators.leads import ROW_ID, unify_headers
 from leadsieve.sources.csv import (
+    BAD_RECORD,
+    bad_records,
+    parsed,
     read_leads,
     read_output,
     recount,
@@ -26,21 +34,96 @@ def test_read_leads(spark, tmp_path):
         "short\r\nlong,b.com,n,surplus\r\n007,,\r\n",
     )
     frame = read_leads(spark, path)
-    assert frame.columns == ["company_name", "domain", "Note", ROW_ID]
+    assert frame.columns == ["company_name", "domain", "Note", ROW_ID, BAD_RECORD]
     assert {f.dataType.simpleString() for f in frame.schema.fields[:3]} == {"string"}
-    assert rows(frame) == [
+    assert rows(frame.drop(BAD_RECORD)) == [
         ('A "quoted", Inc.', " a.com ", "two\nlines"),
         ("short", None, None),
-        ("long", "b.com", "n"),
+        (None, None, None),
         ("007", None, None),
     ]
+    assert [r[ROW_ID] for r in frame.orderBy(ROW_ID).collect()] == [0, 1, 2, 3]
+    assert [tuple(r) for r in bad_records(frame).collect()] == [(2, "long,b.com,n,surplus")]
+
+
+def python_rows(paths):
+    """What Python's own reader makes of the files, in order, and which rows have too many fields."""
+    out = []
+    for path in sorted(paths):
+        with open(path, encoding="utf-8-sig") as f:
+            header, *rows = [r for r in csv.reader(f) if r]
+        for r in rows:
+            bad = len(r) > len(header)
+            out.append((bad, [None] * len(header) if bad else [x or None for x in r] + [None] * (len(header) - len(r))))
+    return out
+
+
+@pytest.mark.parametrize(("size", "ending"), [(40, "\n"), (97, "\r\n"), (1000, "\r")])
+def test_files_cut_anywhere_give_the_same_rows(spark, tmp_path, size, ending):
+    """Splits of a few bytes begin inside quotes, between quotes and between fields."""
+    rng = random.Random(size)
+    parts = ["a", "b c", '"', '""', ",", "\n", "\n\n", "ü", " ", ",\n", '",\n"', "x" * 30]
+    paths = []
+    for k in range(3):
+        rows = [["n", "text", "z"]]
+        for i in range(60):
+            row = [f"{k}.{i}", "".join(rng.choices(parts, k=rng.randint(0, 7))), rng.choice(["", "z"])]
+            rows.append(row[: rng.choice([1, 2, 3, 3, 3])] if rng.random() < 0.9 else [*row, "surplus"])
+        text = io.StringIO()
+        csv.writer(text, lineterminator="\n").writerows(rows)
+        text = text.getvalue().replace("\n2.7", "\n\n2.7") + ('5" pipe,3" x' if k else "")
+        paths.append(tmp_path / f"{k}.csv")
+        paths[-1].write_bytes(text.replace("\n", ending).encode("utf-8-sig" if k % 2 else "utf-8"))
+    want = python_rows(paths)
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        frame = read_leads(spark, str(tmp_path))
+        got = sorted((r[ROW_ID], r[BAD_RECORD] is not None, list(r)[:3]) for r in frame.collect())
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert [g[0] for g in got] == list(range(len(want)))
+    assert [(bad, row) for _, bad, row in got] == want
+
+
+def test_a_large_file_is_many_tasks(spark, tmp_path):
+    with open(tmp_path / "big.csv", "w") as f:
+        f.write("n,text\n")
+        for i in range(60_000):
+            f.write(f'{i},"line one of {i}\nline, two ""of"" it"\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+        frame = read_leads(spark, str(tmp_path))
+        blocks = spark.read.text(str(tmp_path)).select("_metadata.file_block_start").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert blocks > 8
+    wrong = frame.where((F.col("n").cast("long") != F.col(ROW_ID)) | ~F.col("text").endswith('two "of" it'))
+    assert frame.count() == 60_000 and wrong.count() == 0
+
+
+def test_an_open_quote_takes_the_rest_of_its_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x,y\n1,"open\n2,b\n3,c')
+    (tmp_path / "b.csv").write_text("x,y\n4,d\n")
+    got = read_leads(spark, str(tmp_path)).orderBy(ROW_ID).collect()
+    assert [(r.x, r[BAD_RECORD]) for r in got] == [(None, '1,"open\n2,b\n3,c'), ("4", None)]
+
+
+def test_empty_files_and_headers_alone(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n")
+    (tmp_path / "b.csv").write_text("")
+    (tmp_path / "c.csv").write_text("\n\nx,y\n\n1,2")
+    assert [tuple(r)[:3] for r in read_leads(spark, str(tmp_path)).collect()] == [("1", "2", 0)]
 
 
 def test_byte_order_mark_and_folder(spark, tmp_path):
     lead_file(tmp_path, "﻿domain,x\na.com,1\n", "1.csv")
     lead_file(tmp_path, "﻿domain,x\nb.com,2\nc.com,3\n", "2.csv")
     frame = read_leads(spark, str(tmp_path))
-    assert frame.columns == ["domain", "x", ROW_ID]
+    assert frame.columns == ["domain", "x", ROW_ID, BAD_RECORD]
     assert sorted(r.domain for r in frame.collect()) == ["a.com", "b.com", "c.com"]
     assert frame.select(ROW_ID).distinct().count() == 3
 
@@ -51,7 +134,7 @@ def test_headers_that_differ_in_case(spark, tmp_path):
         read_leads(spark, path)
     spark.conf.set("spark.sql.caseSensitive", "true")
     try:
-        assert rows(read_leads(spark, path)) == [("A.com", "b.com")]
+        assert rows(read_leads(spark, path).drop(BAD_RECORD)) == [("A.com", "b.com")]
     finally:
         spark.conf.unset("spark.sql.caseSensitive")
 
@@ -75,14 +158,12 @@ def test_outputs_partition_the_input(spark, tmp_path):
     assert [len(p) for p in parts] == [6, 15, 9]
     assert sorted(map(tuple, whole.collect())) == sorted(tuple(r) for p in parts for r in p)
     want = [tuple("" if v is None else str(v) for v in r) for r in rows(done)]
-    assert [tuple(r) for r in whole.collect()] == want
+    assert [tuple(r) for r in parsed(spark, out).orderBy(ROW_ID).select(whole.columns).na.fill("").collect()] == want
 
 
 def test_recount_is_not_misled_by_text(spark, tmp_path):
     leads, log, pages = inputs(spark)
     done = qualify(leads, log, pages, CFG)
-    from pyspark.sql import functions as F
-
     tricky = done.withColumn("scraped_text", F.lit('a,FAIL,\n"b",PASS,\n x \\ " '))
     out = str(tmp_path / "tricky")
     write_csv(tricky, out)

@@ -36,10 +36,9 @@ from leadsieve.operators.probes import live_summary, pivot_probes, with_verdict
 from leadsieve.operators.report import decision_summary, match_histogram
 from leadsieve.plans.qualify import qualify
 from leadsieve.sources.csv import (
+    BAD_RECORD,
     CSV_FORMAT,
-    CSV_INPUT,
-    header_of,
-    leads_schema,
+    parsed,
     read_leads,
     read_output,
     recount,
@@ -48,10 +47,12 @@ from leadsieve.sources.csv import (
     write_outputs,
 )
 from leadsieve.sources.storage import scratch_path
+from leadsieve.streaming.answers import merge_answers, read_answers
 from leadsieve.streaming.intake import (
     BATCH,
     classified_rows,
     read_lead_stream,
+    running_summary,
     start_intake,
     store_facts,
 )
@@ -68,6 +69,10 @@ CAMPAIGNS = 12
 CAMPAIGN_PRIMARY = ("Anth, wher", "", "thouf\nder \n", "éè,ung", None)
 CAMPAIGN_SECONDARY = ("tion, THE ,und", "el,los", "", "")
 CAMPAIGN_NEGATIVE = ("que", "", " zzneg , erst")
+# Buckets of the maintained probe answers; the given tables are small.
+BUCKETS_HERE = 8
+# Files that documents are written to as CSV.
+CSV_FILES = 8
 MATCHES = (
     "match", "weak_match", "no_match", "negative_match", "parked_domain", "no_text", "error",
     "skipped", "domain_dead", "not_run",
@@ -357,29 +362,60 @@ def csv_roundtrip(spark, sf_dir):
 
 
 def csv_ordered(spark, sf_dir):
-    """An ordered output read back: how many rows, and how many stand before an earlier one."""
-    leads = read_leads(spark, _lead_files(spark, sf_dir))
+    """An ordered output read back: whether row numbers are those of the input and follow its order.
+
+    The input's files are in order of ``row_id``, so numbers without gaps must be so as well, and the rows of
+    the output must stand at the places that their numbers name.
+    """
+    folder = scratch_path(spark, "leads.csv")
+    derive.leads(spark, sf_dir).orderBy("row_id").write.options(**CSV_FORMAT).csv(folder)
+    leads = read_leads(spark, folder)
     leads = leads.withColumn("place_in", F.col(ROW_ID).cast("string"))
     _, log = _inputs(spark, sf_dir)
     out = scratch_path(spark, "ordered.csv")
     write_csv(qualify(leads, log, config=CONFIG, stages="layer1"), out, ordered=True)
-    schema = leads_schema(spark, header_of(spark, out))
-    rows = spark.read.options(**CSV_INPUT).option("multiLine", True).schema(schema).csv(out).select(
+    rows = parsed(spark, out).select(
+        F.col(ROW_ID).alias("place_out"),
         F.col("place_in").cast("long").alias("place_in"),
-        F.col("_metadata.file_name").alias("part"),
-        F.monotonically_increasing_id().alias("place_out"),
-    )
-    before = F.lag("place_in").over(Window.partitionBy("part").orderBy("place_out"))
-    parts = rows.withColumn("before", before).groupBy("part").agg(
+        F.col("row_id").cast("long").alias("row_id"),
+    )
+    rows = rows.withColumn("run", F.expr("place_out div 4096"))
+    before = F.lag("row_id").over(Window.partitionBy("run").orderBy("place_out"))
+    runs = rows.withColumn("before", before).groupBy("run").agg(
         F.count("*").alias("n"),
-        F.count_if(F.col("before") > F.col("place_in")).alias("late"),
-        F.min("place_in").alias("low"),
-        F.max("place_in").alias("high"),
+        F.count_if(F.col("before") >= F.col("row_id")).alias("late"),
+        F.count_if(F.col("place_in") != F.col("place_out")).alias("misplaced"),
+        F.max("place_out").alias("last"),
+        F.min("row_id").alias("low"),
+        F.max("row_id").alias("high"),
+    )
+    # one row per run of places from here on
+    between = runs.withColumn("before", F.lag("high").over(Window.orderBy("run")))
+    late = F.sum("late") + F.count_if(F.col("before") >= F.col("low"))
+    return between.agg(
+        F.sum("n").alias("n_rows"), late.alias("out_of_order"), F.sum("misplaced").alias("misplaced"), F.max("last").alias("last_place")
+    )
+
+
+def csv_records(spark, sf_dir):
+    """Documents in CSV files, line breaks and all; every seventh record has a field too many and is listed."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.concat(F.lit('"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    surplus = F.when(F.col("doc_id") % 7 == 3, ",x").otherwise("")
+    record = F.concat(F.col("doc_id").cast("string"), F.lit(","), text, F.lit(","), "source", surplus)
+    lines = docs.select((F.col("doc_id") % CSV_FILES).alias("p"), F.col("doc_id").alias("place"), record.alias("value"))
+    header = F.lit("company_name,domain,website")
+    headers = spark.range(CSV_FILES).select(F.col("id").alias("p"), F.lit(-1).cast("long").alias("place"), header.alias("value"))
+    folder = scratch_path(spark, "documents.csv")
+    files = headers.unionAll(lines).repartition(CSV_FILES, "p").sortWithinPartitions("p", "place")
+    files.select("p", "value").write.partitionBy("p").text(folder)
+    return read_leads(spark, folder).select(
+        F.col(ROW_ID).alias("place"),
+        F.col("company_name").alias("doc"),
+        F.md5("domain").alias("text_md5"),
+        "website",
+        F.md5(BAD_RECORD).alias("bad_md5"),
     )
-    # one row per part file from here on
-    between = parts.withColumn("before", F.lag("high").over(Window.orderBy("part")))
-    late = F.sum("late") + F.count_if(F.col("before") > F.col("low"))
-    return between.agg(F.sum("n").alias("n_rows"), late.alias("out_of_order"))
 
 
 def csv_recount(spark, sf_dir):
@@ -391,22 +427,50 @@ def csv_recount(spark, sf_dir):
     return recount(spark, out)
 
 
-def stream_intake(spark, sf_dir):
-    """The same leads through the stream; facts and probe answers are stored first."""
-    folder = _lead_files(spark, sf_dir)
+def _stored_answers(spark, sf_dir, work: str) -> str:
+    """The probe log as a maintained table, merged in batches: some answers come late, one batch comes twice."""
     _, log = _inputs(spark, sf_dir)
+    now = log.withColumn("probed_at", F.lit("2024-02-01").cast("timestamp"))
+    before = now.where("attempt = 'head_https'").withColumns(
+        {"probed_at": F.lit("2024-01-01").cast("timestamp"), "status_code": F.lit(500)}
+    )
+    even = F.pmod(F.xxhash64("url"), F.lit(2)) == 0
+    first, second, third = before.where(even).unionByName(now.where(~even)), now.where(even), before.where(~even)
+    for number, batch in ((0, first), (1, second), (1, second), (2, third)):
+        merge_answers(f"{work}/answers", batch, number, BUCKETS_HERE)
+    return f"{work}/answers"
+
+
+def probe_state(spark, sf_dir):
+    answers = _stored_answers(spark, sf_dir, scratch_path(spark, "state"))
+    log = read_answers(spark, answers, buckets=BUCKETS_HERE)
+    return with_verdict(pivot_probes(log), CONFIG.request_timeout).select("url", "_probe.*")
+
+
+def _intake(spark, sf_dir) -> str:
+    """The derived leads through the stream; facts and probe answers are stored first."""
+    folder = _lead_files(spark, sf_dir)
     work = scratch_path(spark, "intake")
     facts = store_facts(derive.page_snapshot(spark, sf_dir), CONFIG, f"{work}/facts")
-    log.write.parquet(f"{work}/probes")
+    answers = _stored_answers(spark, sf_dir, work)
     query = start_intake(
-        read_lead_stream(spark, folder), spark.read.parquet(f"{work}/probes"), facts, CONFIG,
-        f"{work}/out", f"{work}/progress",
+        read_lead_stream(spark, folder, files_per_batch=4), answers, facts, CONFIG,
+        f"{work}/out", f"{work}/progress", BUCKETS_HERE,
     )
     query.awaitTermination()
-    rows = classified_rows(spark, f"{work}/out").drop(ROW_ID, BATCH)
+    return f"{work}/out"
+
+
+def stream_intake(spark, sf_dir):
+    rows = classified_rows(spark, _intake(spark, sf_dir)).drop(ROW_ID, BATCH)
     return rows.withColumn("http_code", F.col("http_code").cast("string")).na.fill("")
 
 
+def stream_totals(spark, sf_dir):
+    """The summary of all rows, added up from what the batches of the stream counted."""
+    return running_summary(spark, _intake(spark, sf_dir))
+
+
 QUERIES = {
     "q_normalize_domain": normalize_domain,
     "q_unify_headers": unify,
@@ -435,5 +499,8 @@ QUERIES = {
     "q_csv_roundtrip": csv_roundtrip,
     "q_csv_recount": csv_recount,
     "q_csv_ordered": csv_ordered,
+    "q_csv_records": csv_records,
+    "q_probe_state": probe_state,
     "q_stream_intake": stream_intake,
+    "q_stream_totals": stream_totals,
 }

@@ -28,6 +28,7 @@ from workload.spark_queries import (
     CAMPAIGN_PRIMARY,
     CAMPAIGN_SECONDARY,
     CAMPAIGNS,
+    CSV_FILES,
     MATCHES,
     NAME_ENDINGS,
     STATUSES,
@@ -603,6 +604,16 @@ SELECT page_id, CAST(pos AS INTEGER) AS pos, path,
 FROM placed WHERE pos < 8"""
 
 
+def csv_records() -> str:
+    text = "regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g')"
+    record = f"""doc_id || ',"' || replace({text}, '"', '""') || '",' || source || ',x'"""
+    fits = "doc_id % 7 <> 3"
+    return f"""SELECT row_number() OVER (ORDER BY doc_id % {CSV_FILES}, doc_id) - 1 AS place,
+  CASE WHEN {fits} THEN doc_id::VARCHAR END AS doc, CASE WHEN {fits} THEN md5(nullif({text}, '')) END AS text_md5,
+  CASE WHEN {fits} THEN source END AS website, CASE WHEN NOT {fits} THEN md5({record}) END AS bad_md5
+FROM documents"""
+
+
 def facts(use_api: bool) -> str:
     return f"WITH {CRAWL},{MARKED},{SNAPSHOT},{site_facts(use_api)} SELECT * FROM facts"
 
@@ -758,7 +769,9 @@ def statements() -> dict[str, str]:
         "q_classify_row": classify(),
         "q_decision_summary": f"WITH {full_ctes()}\n{SUMMARY}",
         "q_prompt": prompt(),
-        "q_csv_ordered": f"WITH {CRAWL} SELECT count(*) AS n_rows, 0 AS out_of_order FROM crawl",
+        "q_csv_ordered": f"""WITH {CRAWL}
+SELECT count(*) AS n_rows, 0 AS out_of_order, 0 AS misplaced, count(*) - 1 AS last_place FROM crawl""",
+        "q_csv_records": csv_records(),
         "q_keyword_lists": keyword_lists(),
         "q_campaign_match": campaign_match(),
         "q_layer1_only": layer1_only(),
@@ -768,4 +781,6 @@ def statements() -> dict[str, str]:
         "q_csv_roundtrip": as_text(", filter_decision AS split"),
         "q_csv_recount": f"WITH {full_ctes()}\nSELECT total, pass, fail, review FROM ({SUMMARY})",
         "q_stream_intake": as_text(),
+        "q_stream_totals": f"WITH {full_ctes()}\n{SUMMARY}",
+        "q_probe_state": classify_probe(),
     }
