@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadsieve.config import SieveConfig
@@ -134,10 +134,17 @@ def with_campaign_match(
 
     ``campaigns`` holds ``campaign_id`` and the typed lists ``primary, secondary, negative``,
     one row per campaign; rows find theirs by ``campaign_id``. A row whose campaign is
-    unknown is matched against the configured lists.
+    unknown is matched against the configured lists. Campaigns that repeat an id make the job fail, as
+    nothing says which of them is meant.
     """
     lists = ("_p", "_s", "_n")
-    typed = campaigns.select(
+    twice = F.raise_error(F.concat(F.lit("several campaigns with campaign_id "), F.col("campaign_id").cast("string")))
+    same_id = Window.partitionBy("campaign_id").orderBy(F.lit(0))
+    # a second row is enough to fail, however many there are
+    single = campaigns.withColumn("_turn", F.row_number().over(same_id)).where(
+        F.when(F.col("campaign_id").isNull(), False).when(F.col("_turn") == 1, True).otherwise(twice.cast("boolean"))
+    )
+    typed = single.select(
         "campaign_id",
         *[parse_keywords(F.col(c)).alias(a) for c, a in zip(("primary", "secondary", "negative"), lists)],
     )

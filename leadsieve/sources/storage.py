@@ -64,6 +64,12 @@ def exists(spark: SparkSession, folder: str) -> bool:
     return files.exists(path)
 
 
+def children(spark: SparkSession, folder: str) -> list[str]:
+    """Names in ``folder``; none if it does not exist."""
+    files, path = _opened(spark, folder)
+    return [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+
+
 def delete(spark: SparkSession, folder: str) -> None:
     files, path = _opened(spark, folder)
     files.delete(path, True)

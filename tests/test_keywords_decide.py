@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from leadsieve.config import SieveConfig
@@ -113,3 +115,35 @@ def test_prompt(spark):
     full, bare = [r.p for r in frame.select(build_prompt(F.col("t"), F.col("c")).alias("p")).collect()]
     assert "BUY-BOX CRITERIA:\nmine \\ {y}\n" in full and "key pages):\ntext {x} $1\n" in full
     assert "(no text scraped)" in bare and "exclude negative keywords." in bare
+
+
+def test_lists_of_hundreds_of_terms(spark):
+    rng = random.Random(4)
+    alphabet = "abcd é"
+    texts = [None, "", "abc", *("".join(rng.choices(alphabet, k=rng.randint(1, 400))) for _ in range(60))]
+    terms = ["".join(rng.choices(alphabet, k=rng.randint(1, 9))).strip() or "a" for _ in range(500)]
+    docs = spark.createDataFrame([(i, t, i % 2) for i, t in enumerate(texts)], "id long, text string, campaign_id long")
+    lists = [(0, ",".join(terms), "a,b", ""), (1, "abc", ",".join(terms), ",".join(terms))]
+    campaigns = spark.createDataFrame(lists, "campaign_id long, primary string, secondary string, negative string")
+    cfg = SieveConfig.from_mapping({"industry_keywords": LISTS, "keyword_match_rules": {"negative_override": False}})
+    got = {r.id: r for r in kw.with_campaign_match(docs, campaigns, "text", cfg).collect()}
+    typed = [t.strip() for t in terms if t.strip()]
+    for i, text in enumerate(texts):
+        hits = [t for t in typed if t in (text or "").lower()]
+        if not text:
+            assert got[i].match_result == "no_text"
+        elif i % 2:
+            assert got[i].negatives == hits
+        elif hits:
+            assert got[i].matched == hits
+
+
+def test_campaigns_that_share_an_id_are_refused(spark):
+    docs = spark.createDataFrame([(1, "pump", 7), (2, "pump", None)], "id long, text string, campaign_id long")
+    rows = [(7, "pump", "", ""), (8, "x", "", ""), (None, "pump", "", ""), (None, "y", "", "")]
+    schema = "campaign_id long, primary string, secondary string, negative string"
+    found = kw.with_campaign_match(docs, spark.createDataFrame(rows, schema), "text", config()).collect()
+    assert sorted((r.id, r.match_result) for r in found) == [(1, "match"), (2, "match")]
+    twice = spark.createDataFrame([*rows, (7, "tank", "", "")], schema)
+    with pytest.raises(Exception, match="several campaigns with campaign_id 7"):
+        kw.with_campaign_match(docs, twice, "text", config()).collect()

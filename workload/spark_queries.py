@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,7 @@ from leadsieve.sources.csv import (
     write_csv,
     write_outputs,
 )
+from leadsieve.sources.publish import publish_outputs, published, read_published
 from leadsieve.sources.storage import scratch_path
 from leadsieve.streaming.answers import merge_answers, read_answers
 from leadsieve.streaming.intake import (
@@ -466,6 +469,20 @@ def stream_intake(spark, sf_dir):
     return rows.withColumn("http_code", F.col("http_code").cast("string")).na.fill("")
 
 
+def csv_published(spark, sf_dir):
+    """Two versions of the outputs, published one after the other: what the current one says and holds."""
+    leads, log = _inputs(spark, sf_dir)
+    path = scratch_path(spark, "published")
+    publish_outputs(qualify(leads, log, config=CONFIG, stages="layer1"), path)
+    publish_outputs(full(spark, sf_dir, describe=False), path)
+    current = published(spark, path)
+    held = [read_published(spark, path, r.output).select(F.lit(r.output).alias("output")) for r in current.collect()]
+    counted = reduce(DataFrame.unionAll, held).groupBy("output").agg(F.count("*").alias("held"))
+    return current.join(counted, "output", "left").select(
+        "output", "row_count", F.coalesce("held", F.lit(0)).alias("held")
+    )
+
+
 def stream_totals(spark, sf_dir):
     """The summary of all rows, added up from what the batches of the stream counted."""
     return running_summary(spark, _intake(spark, sf_dir))
@@ -500,6 +517,7 @@ QUERIES = {
     "q_csv_recount": csv_recount,
     "q_csv_ordered": csv_ordered,
     "q_csv_records": csv_records,
+    "q_csv_published": csv_published,
     "q_probe_state": probe_state,
     "q_stream_intake": stream_intake,
     "q_stream_totals": stream_totals,

@@ -772,6 +772,10 @@ def statements() -> dict[str, str]:
         "q_csv_ordered": f"""WITH {CRAWL}
 SELECT count(*) AS n_rows, 0 AS out_of_order, 0 AS misplaced, count(*) - 1 AS last_place FROM crawl""",
         "q_csv_records": csv_records(),
+        "q_csv_published": f"""WITH {full_ctes()},
+counts AS (SELECT filter_decision AS output, count(*) AS n FROM done GROUP BY ALL UNION ALL SELECT 'ALL', count(*) FROM done)
+SELECT output, coalesce(n, 0) AS row_count, coalesce(n, 0) AS held
+FROM (VALUES ('ALL'), ('PASS'), ('FAIL'), ('REVIEW')) v(output) LEFT JOIN counts USING (output)""",
         "q_keyword_lists": keyword_lists(),
         "q_campaign_match": campaign_match(),
         "q_layer1_only": layer1_only(),
