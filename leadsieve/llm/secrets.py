@@ -3,12 +3,13 @@
 Strong patterns (secrets by name, access ids, long hexadecimal runs) are reported wherever they
 occur. Weak candidates mean nothing alone: an account name, an opaque mixed run, an address of a
 service. They are reported only when what completes them lies in their scope, the text
-within ``REACH`` code points of them: a name needs a secret, an opaque run needs an identifier, an
-address needs both.
+within ``REACH`` code points of them but not in them: a name needs a secret, an opaque run needs an
+identifier, an address needs both. No part completes itself by what it contains or overlaps.
 
-The interval join runs as a sweep: all parts of a document are sorted by place, and running
-maxima and minima of each role say how near the next part before and after is. That is one
-shuffle of the parts, no pairs, and linear in their number. Texts are not shuffled.
+The interval join runs as a sweep: beginnings and ends of a document's parts are sorted by place, and
+running maxima and minima of each role say how near the next part before and after is. That is one
+shuffle of the parts, no pairs, and linear in their number. Texts are not shuffled. A cheap look for what a
+kind can't do without spares most texts its patterns.
 
 Places count code points, ends are exclusive. Defined results: null and empty texts have no
 parts; parts of one kind do not overlap, of several kinds they may; an opaque run that one
@@ -18,6 +19,7 @@ table gives no rows; other columns are not looked at.
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,7 +30,10 @@ REACH = 256
 
 
 class Kind(NamedTuple):
-    """``least``: shortest value of ``group``; ``needs``: classes a match must hold; ``strong``: reported alone."""
+    """``least``: shortest value of ``group``; ``needs``: classes a match must hold; ``strong``: reported alone.
+
+    ``guard``: a pattern that every text with a match has.
+    """
 
     name: str
     pattern: str
@@ -36,6 +41,7 @@ class Kind(NamedTuple):
     least: int
     role: str
     strong: bool
+    guard: str
     needs: tuple[str, ...] = ()
 
 
@@ -47,9 +53,10 @@ KINDS = (
         8,
         "secret",
         True,
+        "[:=]",
     ),
-    Kind("access", r"AKIA[A-Z0-9]+", 0, 16, "identifier", True),
-    Kind("hex", r"[0-9a-f]+", 0, 32, "secret", True),
+    Kind("access", r"AKIA[A-Z0-9]+", 0, 16, "identifier", True, "AKIA"),
+    Kind("hex", r"[0-9a-f]+", 0, 32, "secret", True, "[0-9a-f]{32}"),
     Kind(
         "account",
         r"""(?i)(user(?:name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]+)""",
@@ -57,9 +64,10 @@ KINDS = (
         3,
         "identifier",
         False,
+        "[:=]",
     ),
-    Kind("opaque", r"[A-Za-z0-9+/]+", 0, 20, "secret", False, ("[0-9]", "[A-Z]", "[a-z]")),
-    Kind("endpoint", r"""[a-z][a-z0-9+.-]*://[^\x00-\x20"'<>]+""", 0, 8, "endpoint", False),
+    Kind("opaque", r"[A-Za-z0-9+/]+", 0, 20, "secret", False, "[A-Za-z0-9+/]{20}", ("[0-9]", "[A-Z]", "[a-z]")),
+    Kind("endpoint", r"""[a-z][a-z0-9+.-]*://[^\x00-\x20"'<>]+""", 0, 8, "endpoint", False, "://"),
 )
 
 
@@ -85,7 +93,12 @@ def parts(text: Column, kind: Kind, number: int) -> Column:
             good.alias("good"),
         )
 
-    return F.filter(F.transform(zipped, part), lambda p: p["size"].isNotNull())
+    found = F.filter(F.transform(zipped, part), lambda p: p["size"].isNotNull())
+    if not re.search(r"[\[{]", kind.guard):
+        guard = F.contains(text, F.lit(kind.guard))
+    else:
+        guard = F.regexp_like(text, F.lit(kind.guard))
+    return F.when(guard, found).otherwise(F.array().cast("array<struct<kind:int,turn:int,gap:int,size:int,good:boolean>>"))
 
 
 def found_parts(documents: DataFrame) -> DataFrame:
@@ -110,25 +123,37 @@ def found_parts(documents: DataFrame) -> DataFrame:
 
 
 def linked(found: DataFrame, reach: int = REACH) -> DataFrame:
-    """The parts with ``reported``: strong ones, and weak ones whose scope completes them."""
-    ahead = Window.partitionBy("doc_id", "row").orderBy("start", "kind", "end").rowsBetween(Window.unboundedPreceding, -1)
-    behind = (
-        Window.partitionBy("doc_id", "row")
-        .orderBy(F.desc("start"), F.desc("kind"), F.desc("end"))
-        .rowsBetween(Window.unboundedPreceding, -1)
+    """The parts with ``reported``: strong ones, and weak ones whose scope completes them.
+
+    What completes a part lies beside it, not in it: every part is an event at its beginning and one at its end,
+    and a sweep over the events knows the last end up to a beginning and the first beginning from an end on.
+    """
+    at_start = F.col("event") == 1
+    events = found.select(
+        "*", F.explode(F.expr("CASE WHEN kind IS NULL THEN array(1) ELSE array(0, 1) END")).alias("event")
+    ).withColumn("at", F.when(at_start, F.col("start")).otherwise(F.col("end")))
+    one = Window.partitionBy("doc_id", "row")
+    ahead = one.orderBy("at", "event", "kind", "end").rowsBetween(Window.unboundedPreceding, -1)
+    behind = one.orderBy(F.desc("at"), F.desc("event"), F.desc("kind"), F.desc("end")).rowsBetween(
+        Window.unboundedPreceding, -1
     )
     kind = F.col("kind")
 
     def of(numbers: list[int]) -> Column:
         return kind.isin(numbers)
 
-    roles = {r: [i for i, k in enumerate(KINDS) if k.role == r] for r in ("identifier", "secret", "endpoint")}
+    roles = {r: [i for i, k in enumerate(KINDS) if k.role == r] for r in ("identifier", "secret")}
     strong = [i for i, k in enumerate(KINDS) if k.strong]
     marks = {r: of(n) for r, n in roles.items()}
-    before = {f"{r}_before": F.max(F.when(m, F.col("end"))).over(ahead) for r, m in marks.items()}
-    after = {f"{r}_after": F.min(F.when(m, F.col("start"))).over(behind) for r, m in marks.items()}
-    covering = F.max(F.when(of(strong), F.col("end"))).over(ahead)
-    rows = found.withColumns({**before, "strong_end": covering}).withColumns(after)
+    before = {f"{r}_before": F.max(F.when(m & ~at_start, F.col("end"))).over(ahead) for r, m in marks.items()}
+    after = {f"{r}_after": F.min(F.when(m & at_start, F.col("start"))).over(behind) for r, m in marks.items()}
+    covering = F.max(F.when(of(strong) & at_start, F.col("end"))).over(ahead)
+    swept = events.withColumns({**before, "strong_end": covering}).withColumns(after)
+    # what lies before a part is known at its beginning, what lies behind it at its end
+    rows = swept.groupBy("doc_id", "row", "kind", "start", "end").agg(
+        *[F.max(F.when(at_start, F.col(c))).alias(c) for c in (*before, "strong_end")],
+        *[F.max(F.when(~at_start, F.col(c))).alias(c) for c in after],
+    )
 
     def near(role: str) -> Column:
         near_before = F.col("start") - F.col(f"{role}_before") <= reach

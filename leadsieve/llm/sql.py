@@ -113,8 +113,9 @@ SECRET_SCAN = f"""
 WITH parts AS MATERIALIZED ({_PARTS}),
 weak AS (
   SELECT p.doc_id, p.kind, p.s, p.finish,
-    bool_or(q.kind IN (1, 3)) AS identifier, bool_or(q.kind IN (0, 2, 4)) AS secret,
-    bool_or(q.kind <= 2 AND q.s < p.finish AND q.finish > p.s) AS inside
+    bool_or(q.kind IN (1, 3) AND (q.finish <= p.s OR q.s >= p.finish)) AS identifier,
+    bool_or(q.kind IN (0, 2, 4) AND (q.finish <= p.s OR q.s >= p.finish)) AS secret,
+    bool_or(q.kind <= 2 AND q.s <= p.s AND q.finish >= p.finish) AS inside
   FROM parts p JOIN parts q
     ON p.doc_id = q.doc_id AND (p.kind, p.s) <> (q.kind, q.s) AND q.s - p.finish <= 256 AND p.s - q.finish <= 256
   WHERE p.kind > 2 GROUP BY ALL
