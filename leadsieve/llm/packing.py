@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadsieve.llm.tables import checkpointed, slices
+from leadsieve.llm.tables import checkpointed, lean, slices
 
 CAPACITY = 1024
 END = 2
@@ -46,6 +46,10 @@ _log = logging.getLogger(__name__)
 _PIECE = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
 #: A space at either end or beside other white space: no safe place to cut.
+#: White space in a row that only ``tokenizers`` is given.
+LONG_GAP = 10_000
+
+_LONG_GAP = re.compile(rf"\s{{{LONG_GAP}}}")
 _BESIDE_SPACE = re.compile(r"^ | $|\s |\s\s")
 _remembered: dict[tuple[str, str], dict[str, bytes]] = {}
 
@@ -77,10 +81,11 @@ def token_ids(text: str, files: tuple[str, str]) -> bytes:
     The pre-tokeniser never joins what stands on both sides of a single space, so a text
     without runs of white space is cut there and each word is encoded once per
     worker. Both libraries give the same ids for letters up to U+024F; words with others, and
-    texts that may name a special token, go to ``tokenizers``.
+    texts that may name a special token, go to ``tokenizers``. So do texts with a run of ``LONG_GAP`` blanks or
+    line breaks, as the other library's pattern runs out of stack on some hundred thousand of them.
     """
     known = _remembered.setdefault(files, {})
-    if "<|" in text:
+    if "<|" in text or _LONG_GAP.search(text):
         return _encoded(text, files, whole=True)
     if "\0" in text or _BESIDE_SPACE.search(text):
         return _encoded(text, files)
@@ -130,7 +135,7 @@ def pieces(documents: DataFrame, files: tuple[str, str], capacity: int, end: int
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text"
     )
-    return rows.mapInArrow(cut, _PIECE)
+    return rows.mapInArrow(lean(cut), _PIECE)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
