@@ -6,10 +6,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from leadsieve.llm import language_model, toxicity
+from leadsieve.llm import language_id, language_model, toxicity
 from leadsieve.llm.hashing import HashTable
 from leadsieve.llm.language_id import dictionaries, predicted, training_passages
 from leadsieve.llm.ppm import Trie, grams_of
@@ -109,15 +110,23 @@ def brute_segments(values):
     return best(0, len(values))
 
 
-@settings(max_examples=100, deadline=None)
+@settings(max_examples=100, deadline=None, derandomize=True)
 @given(st.lists(st.integers(-50, 50), max_size=25))
 def test_segments_are_the_maximal_ones(raw):
-    values = [x + i / 1024 for i, x in enumerate(raw)]  # no ties
+    values = [x + (i + 1) / 1024 for i, x in enumerate(raw)]  # no ties and no zero
     got = toxicity.segments(np.array(values, float))
     want = brute_segments(values)
     assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
 
 
+@pytest.mark.parametrize(
+    ("values", "want"),
+    [([0, 0], []), ([0, 3], [(1, 2)]), ([3, 0], [(0, 1)]), ([2, -2, 2], [(0, 1), (2, 3)]), ([2, -1, 0, 1, 2], [(0, 5)]), ([-1, 0, 4, 0, 0, -4, 4], [(2, 3), (6, 7)])],
+)
+def test_stretches_that_add_nothing_are_left_out(values, want):
+    assert [(a, b) for a, b, _ in toxicity.segments(np.array(values, float))] == want
+
+
 def test_decay_solves_the_moment_equation():
     scores, shares = np.array([2.0, -1.0]), np.array([0.1, 0.9])
     assert math.isclose((shares * np.exp(toxicity.decay_of(scores, shares) * scores)).sum(), 1, rel_tol=1e-6)
@@ -170,6 +179,41 @@ def test_languages_that_were_held_out(spark):
     assert {(r.lang_pred, r.score) for r in nothing} == {("und", 0.0)}
 
 
+@pytest.mark.parametrize("loaded", [64, 2])
+def test_sizes_are_those_of_plain_compression(monkeypatch, loaded):
+    monkeypatch.setattr(language_id, "LOADED", loaded)
+    learned = dictionaries([("a", "lorem ipsum dolor"), ("b", "und der die"), ("a", "sit amet"), ("c", ""), ("d", "12 34")])
+    assert learned[0] == ("a", b" lorem ipsum dolor  sit amet ")
+    texts = [language_id.letters_of(t) for t in ("Lorem IPSUM 5 dolor!", "und die der " * 900, "é", "")]
+    got = language_id.sizes(texts, learned)
+    for row, text in zip(got.tolist(), texts, strict=True):
+        for size, (_, content) in zip(row, learned, strict=True):
+            total = 0
+            for at in range(0, len(text), language_id.BLOCK):
+                block = text[at : at + language_id.BLOCK]
+                known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                how = zstandard.ZstdCompressionParameters.from_level(
+                    language_id.LEVEL, source_size=language_id.BLOCK, dict_size=len(content), write_content_size=False
+                )
+                total += len(zstandard.ZstdCompressor(compression_params=how, dict_data=known).compress(block))
+            assert size == total
+
+
+def test_three_hundred_languages_are_all_learned(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for n in range(300):
+        stems = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)]
+        for k in range(3):
+            rows.append((3 * n + k, " ".join(rng.choice(stems, 40)), f"l{n}"))
+    rows += [(5000, "1234 5678", "digits"), (5001, None, "none"), (5002, "x" * 5000 + "1" * 9000, "l0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = dictionaries(training_passages(docs.where("doc_id % 3 <> 1")))
+    assert {name for name, _ in learned} == {f"l{n}" for n in range(300)}
+    got = predicted(docs.where("doc_id < 1000"), learned).join(docs, "doc_id").where("doc_id % 3 = 1").collect()
+    assert len(got) == 300 and sum(r.lang == r.lang_pred for r in got) >= 297
+
+
 def test_bucket_of_an_id(documents):
     docs = documents({i: "" for i in range(50)})
     got = docs.select("doc_id", toxicity.id_bucket(docs["doc_id"], 7).alias("b")).collect()
