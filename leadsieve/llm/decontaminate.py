@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadsieve.llm.hashing import NOT_ALNUM, Words, mixed
-from leadsieve.llm.tables import Bits, checkpointed, lowered, slices
+from leadsieve.llm.tables import Bits, checkpointed, lean, lowered, slices
 
 WINDOW = 10
 SHINGLE = 5
@@ -57,7 +57,7 @@ def benchmark_windows(benchmark: DataFrame, window: int, shingle: int) -> DataFr
                 yield pa.RecordBatch.from_arrays(arrays, names=["words", "item", "width", "shingles"])
 
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
-    cuts = items.mapInArrow(cut, "words array<binary>, item string, width int, shingles array<long>")
+    cuts = items.mapInArrow(lean(cut), "words array<binary>, item string, width int, shingles array<long>")
     return cuts.groupBy("words", "width", "shingles").agg(F.collect_set("item").alias("items"))
 
 
@@ -71,7 +71,7 @@ def shingle_counts(documents: DataFrame, wanted: Bits, widths: list[int]) -> Dat
                 values, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), pa.array(n)], names=["shingle", "n"])
 
-    return documents.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    return documents.select("text").mapInArrow(lean(count), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
 
 
 def _occurrences(words: Words, wanted: Bits, widths: list[int]):
@@ -130,7 +130,7 @@ def candidates(documents: DataFrame, wanted: Bits, widths: list[int], window: in
     kind = dict(documents.dtypes)["doc_id"]
     rows = documents.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
     schema = f"doc_id {kind}, row long, n_words long, shingle long, low long, before long, near array<binary>"
-    return rows.mapInArrow(scan, schema)
+    return rows.mapInArrow(lean(scan), schema)
 
 
 def decontaminated(

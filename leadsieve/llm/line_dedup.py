@@ -2,10 +2,12 @@
 
 A line is compared as its words in lower case (A-Z) with single spaces between. Lines with
 equal words are one item. ``BANDS`` bands of ``ROWS`` minimum hashes over character shingles
-make candidates: a pair at the threshold of 0.8 shares a band with a chance of 0.9997. Bands shared inside
-a task become links there, so a band that many lines share leaves a task as one row. Exact
-Jaccard on the full shingle sets confirms links inside candidate clusters; a distributed
-union joins them. The first line of a component, by ``doc_id`` and place, stays; the others go.
+make candidates: a pair at the threshold of 0.8 shares a band with a chance of 0.9997. The distinct lines of
+a band are a group; of groups with the same members in several bands one is looked at. Exact
+Jaccard on the full shingle sets confirms links inside each group, before anything is joined, so unlike
+lines are never chained into one candidate cluster. A group is streamed, and only one too large for a
+task is cut by size and dealt to chunks. A distributed union joins the confirmed links. The first line of a
+component, by ``doc_id`` and place, stays; the others go.
 
 Shingles are runs of ``WIDTH`` bytes of UTF-8; lines are known by 63-bit hashes.
 One changed inner byte touches ``WIDTH`` shingles, so a line of distinct shingles is linked with such a copy
@@ -28,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadsieve.llm.hashing import char_shingle_sets, char_shingles, mixed
-from leadsieve.llm.linking import exact_links, meetings
-from leadsieve.llm.tables import Bits, checkpointed, components, raw_texts, slices
+from leadsieve.llm.linking import exact_links, whole_or_met
+from leadsieve.llm.tables import Bits, components, forget, lean, raw_texts, slices, written
 
 WIDTH, PERCENT = 8, 80
 BANDS, ROWS = 12, 3
@@ -45,13 +47,21 @@ SEEN = 100_000
 
 _A = np.random.default_rng(31).integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _B = np.random.default_rng(32).integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
-_MASK = (1 << 63) - 1
 
+_BLANKS = bytes.maketrans(b"\t\r\x0b\x0c", b"    ")
 
-def line_key(line: bytes) -> tuple[int, bytes]:
-    """Hash and words of a line; no words for a blank one."""
-    words = b" ".join(line.lower().split())
-    return xxhash.xxh3_64_intdigest(words) >> 1, words
+
+def normal_lines(text: bytes) -> list[bytes]:
+    """The words of every line with single spaces between, A-Z in lower case; empty for a blank line."""
+    out = []
+    for line in text.lower().translate(_BLANKS).split(b"\n"):
+        line = line.strip(b" ")
+        out.append(b" ".join(line.split()) if b"  " in line else line)
+    return out
+
+
+def line_key(words: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(words) >> 1
 
 
 def band_keys(lines: list[bytes], width: int) -> np.ndarray:
@@ -62,35 +72,41 @@ def band_keys(lines: list[bytes], width: int) -> np.ndarray:
         while end < len(lines) and (end == at or total + len(lines[end]) <= STEP):
             total += len(lines[end])
             end += 1
-        out.append(_bands(lines[at:end], width))
+        out.append(_minima(lines[at:end], width))
         at = end
-    return np.concatenate(out) if out else np.zeros((0, BANDS), np.uint64)
+    if not out:
+        return np.zeros((0, BANDS), np.uint64)
+    least = np.concatenate(out, axis=1)
+    keys = np.empty((len(lines), BANDS), np.uint64)
+    for b in range(BANDS):
+        key = np.full(len(lines), b + 1, np.uint64)
+        for row in least[b * ROWS : (b + 1) * ROWS]:
+            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + row)
+        keys[:, b] = key >> np.uint64(1)
+    return keys
 
 
-def _bands(lines: list[bytes], width: int) -> np.ndarray:
+def _minima(lines: list[bytes], width: int) -> np.ndarray:
+    """The smallest hash of each line (columns) under each of the hash functions (rows)."""
     codes = (char_shingles(lines, width) >> np.uint64(32)).astype(np.uint32)
     codes = np.append(codes, np.uint32(0))
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     begin = np.cumsum(sizes) - sizes
     edges = np.column_stack((begin, begin + sizes - width + 1)).ravel()
-    least = np.empty((BANDS * ROWS, len(lines)), np.uint64)
+    least = np.empty((BANDS * ROWS, len(lines)), np.uint32)
+    hashed = np.empty_like(codes)
     for i in range(BANDS * ROWS):
-        least[i] = np.minimum.reduceat(codes * _A[i] + _B[i], edges)[::2]
-    keys = np.empty((len(lines), BANDS), np.uint64)
-    for b in range(BANDS):
-        key = np.full(len(lines), b + 1, np.uint64)
-        for row in least[b * ROWS : (b + 1) * ROWS]:
-            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + row)
-        keys[:, b] = key >> np.uint64(1)
-    return keys
+        np.multiply(codes, _A[i], out=hashed)
+        np.add(hashed, _B[i], out=hashed)
+        least[i] = np.minimum.reduceat(hashed, edges)[::2]
+    return least
 
 
 def _new_lines(part: pa.RecordBatch, seen: set[int]) -> tuple[list[int], list[bytes]]:
     ids, lines = [], []
     for text in raw_texts(part.column("text")):
-        for line in text.split(b"\n"):
-            key, words = line_key(line)
-            if words and key not in seen:
+        for words in normal_lines(text):
+            if words and (key := line_key(words)) not in seen:
                 seen.add(key)
                 ids.append(key)
                 lines.append(words)
@@ -99,8 +115,11 @@ def _new_lines(part: pa.RecordBatch, seen: set[int]) -> tuple[list[int], list[by
     return ids, lines
 
 
-def candidate_links(documents: DataFrame, width: int) -> DataFrame:
-    """``a, b``: links that connect the lines of each band."""
+def band_members(documents: DataFrame, width: int) -> DataFrame:
+    """``key, id, n, name``: the distinct lines of every band that several share.
+
+    The last row of a group has no ``id`` but the number of its members and a name that equal groups share.
+    """
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -112,104 +131,142 @@ def candidate_links(documents: DataFrame, width: int) -> DataFrame:
                     continue
                 ids = np.array([i for i, _ in found], np.int64)
                 keys = band_keys([x for _, x in found], width).astype(np.int64).ravel()
-                yield _met(keys, np.repeat(ids, BANDS), True)
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if held:
-            key, a, b = (np.concatenate([x.column(i).to_numpy() for x in held]) for i in range(3))
-            done = key < 0
-            yield pa.RecordBatch.from_arrays([pa.array(key[done]), pa.array(a[done]), pa.array(b[done])], names=["key", "a", "b"])
-            yield _met(key[~done], a[~done], False)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(ids, BANDS))], names=["key", "id"])
 
     texts = documents.where("doc_id IS NOT NULL").select("text")
-    schema = "key long, a long, b long"
-    rows = texts.mapInArrow(banded, schema)
-    return rows.repartition("key").mapInArrow(joined, schema).select("a", "b")
-
-
-def _met(keys: np.ndarray, ids: np.ndarray, pass_on: bool) -> pa.RecordBatch:
-    """Links of the ids that meet in a key with the first of them, under keys below zero.
-
-    With ``pass_on`` the first id of each key is returned too, for other tasks to meet.
-    """
-    _, first, which = np.unique(keys, return_index=True, return_inverse=True)
-    lead = ids[first][which]
-    link = lead != ids
-    pairs = np.unique(np.column_stack((ids[link], lead[link])), axis=0)
-    spread = -1 - (pairs[:, 0] & _MASK)
-    if pass_on:
-        rows = (np.append(spread, keys[first]), np.append(pairs[:, 0], ids[first]), np.append(pairs[:, 1], ids[first]))
-    else:
-        rows = (spread, pairs[:, 0], pairs[:, 1])
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["key", "a", "b"])
-
-
-def member_lines(documents: DataFrame, clusters: DataFrame, width: int) -> DataFrame:
-    """``id, cluster, n, line`` of the lines in clusters, each once; ``n`` is the size of its set."""
-    wanted = Bits(clusters.select("id"))
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for part in slices(batch, "text"):
-                ids, lines = _new_lines(part, seen)
-                hit = np.flatnonzero(wanted.has(np.array(ids, np.uint64))).tolist()
-                ids, lines = [ids[i] for i in hit], [lines[i] for i in hit]
-                sizes = char_shingle_sets(lines, width)[1].astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(sizes), pa.array(lines, pa.binary())],
-                    names=["id", "n", "line"],
-                )
+    rows = texts.mapInArrow(lean(banded), "key long, id long")
+    dealt = rows.repartition("key").sortWithinPartitions("key", "id")
+    return dealt.mapInArrow(lean(shared_bands), "key long, id long, n long, name long")
+
+
+def shared_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups of two ids or more among ``key, id`` in order; no group is held, however large."""
+    open_key, open_id, open_n, open_name = None, 0, 0, np.uint64(0)
+    for batch in batches:
+        key, id_ = batch.column("key").to_numpy(), batch.column("id").to_numpy()
+        if open_key is not None:  # the group that may go on comes first again, as its last id
+            key, id_ = np.concatenate(([open_key], key)), np.concatenate(([open_id], id_))
+        if not len(key):
+            continue
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (id_[1:] != id_[:-1])))
+        key, id_ = key[new], id_[new]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        n = np.diff(np.append(first, len(key)))
+        names = np.add.reduceat(mixed(id_.astype(np.uint64)), first)
+        carried = open_n if open_key is not None else 0
+        if carried:  # all but its last id have been counted and named before
+            n[0] += carried - 1
+            names[:1] += open_name
+            names[:1] -= mixed(id_[:1].astype(np.uint64))
+        # of the last group the last id waits for what follows, and goes out with it
+        shared = np.repeat(n > 1, np.diff(np.append(first, len(key))))
+        if carried > 1:
+            shared[0] = False  # is out already
+        done = np.flatnonzero(n[:-1] > 1)
+        yield _band_rows(key[shared], id_[shared], key[first[done]], n[done], names[done])
+        open_key, open_id, open_n, open_name = key[-1], id_[-1], int(n[-1]), names[-1]
+    if open_key is not None and open_n > 1:
+        yield _band_rows(np.zeros(0, np.int64), np.zeros(0, np.int64), *(np.array([x]) for x in (open_key, open_n, open_name)))
+
+
+def _band_rows(keys, ids, done_keys, n, names) -> pa.RecordBatch:
+    nothing, none = [None] * len(keys), [None] * len(done_keys)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate((keys, done_keys)), pa.int64()),
+            pa.chunked_array([pa.array(ids, pa.int64()), pa.array(none, pa.int64())]).combine_chunks(),
+            pa.chunked_array([pa.array(nothing, pa.int64()), pa.array(n, pa.int64())]).combine_chunks(),
+            pa.chunked_array([pa.array(nothing, pa.int64()), pa.array(names.astype(np.uint64).view(np.int64))]).combine_chunks(),
+        ],
+        names=["key", "id", "n", "name"],
+    )
 
-    texts = documents.where("doc_id IS NOT NULL").select("text")
-    lines = texts.mapInArrow(pick, "id long, n int, line binary")
-    return lines.join(clusters.withColumnRenamed("component", "cluster"), "id").dropDuplicates(["id"])
 
+def groups_once(bands: DataFrame) -> DataFrame:
+    """``cluster, id``: the members of the bands, each set of members once."""
+    ends = bands.where("id IS NULL").groupBy("n", "name").agg(F.min("key").alias("cluster"))
+    members = bands.where("id IS NOT NULL").select(F.col("key").alias("cluster"), "id")
+    return members.join(ends.select("cluster"), "cluster")
 
-def line_components(documents: DataFrame, width: int, percent: int) -> DataFrame:
-    """``id, component`` of the lines that are linked with others."""
-    clusters = components(candidate_links(documents, width))
-    lines = checkpointed(member_lines(documents, clusters, width))
-    met = meetings(lines.select("cluster", "id", "n", F.col("n").alias("weight")), percent, CHUNK)
 
-    def sets_of(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return char_shingle_sets(lines.to_pylist(), width)
+def line_places(documents: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """``doc_id, line, id, n, words`` of every line that is not blank.
 
-    return components(exact_links(met.join(lines.select("id", F.col("line").alias("set")), "id"), percent, sets_of))
-
-
-def line_places(documents: DataFrame) -> DataFrame:
-    """``doc_id, line, id`` of every line that is not blank."""
+    ``words`` and the size ``n`` of their set are given where a task first meets a line that ``ids`` may hold.
+    """
+    wanted = Bits(ids)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for part in slices(batch, "text"):
-                docs, at, ids = [], [], []
+                docs, at, ids, fresh, lines = [], [], [], [], []
                 for k, text in enumerate(raw_texts(part.column("text"))):
-                    for i, line in enumerate(text.split(b"\n")):
-                        key, words = line_key(line)
+                    for i, words in enumerate(normal_lines(text)):
                         if words:
+                            key = line_key(words)
+                            if key not in seen:
+                                seen.add(key)
+                                fresh.append(len(ids))
+                                lines.append(words)
                             docs.append(k)
                             at.append(i)
                             ids.append(key)
+                if len(seen) > SEEN:
+                    seen.clear()
+                keys = np.array(ids, np.int64)
+                hit = np.flatnonzero(wanted.has(keys[fresh].astype(np.uint64))).tolist()
+                sizes = char_shingle_sets([lines[i] for i in hit], width)[1].tolist()
+                n, words = [None] * len(ids), [None] * len(ids)
+                for i, size in zip(hit, sizes, strict=True):
+                    n[fresh[i]], words[fresh[i]] = size, lines[i]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(docs, pa.int64())), pa.array(at, pa.int32()), pa.array(ids, pa.int64())],
-                    names=["doc_id", "line", "id"],
+                    [
+                        part.column("doc_id").take(pa.array(docs, pa.int64())),
+                        pa.array(at, pa.int32()),
+                        pa.array(keys),
+                        pa.array(n, pa.int32()),
+                        pa.array(words, pa.binary()),
+                    ],
+                    names=["doc_id", "line", "id", "n", "words"],
                 )
 
     rows = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(places, "doc_id long, line int, id long")
+    return rows.mapInArrow(lean(places), "doc_id long, line int, id long, n int, words binary")
+
+
+def line_components(bands: DataFrame, places: DataFrame, width: int, percent: int) -> DataFrame:
+    """``id, component`` of the lines that are linked with others; from ``groups_once`` and ``line_places``."""
+    # equal ids have equal words, so this is one row for each
+    lines = places.where("words IS NOT NULL").select("id", "n", "words").distinct()
+    lines = written(lines.join(bands.select("id").distinct(), "id", "left_semi"))
+    weighed = written(bands.join(lines.select("id", F.col("n").alias("weight"), "n"), "id"))
+    met = whole_or_met(weighed, percent, CHUNK)
+
+    def sets_of(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return char_shingle_sets(lines.to_pylist(), width)
+
+    links = exact_links(met.join(lines.select("id", F.col("words").alias("set")), "id"), percent, sets_of)
+    linked = components(links)
+    forget(bands.sparkSession, [lines, weighed])
+    return linked
 
 
 def removed_lines(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``doc_id, removed``: per document the numbers of its lines that go."""
-    linked = line_components(documents, width, percent)
-    places = line_places(documents).join(linked, "id", "left").select(
+    shared = written(band_members(documents, width))
+    bands = written(groups_once(shared))
+    places = written(line_places(documents, bands.select("id"), width))
+    linked = line_components(bands, places, width, percent)
+    named = places.select("doc_id", "line", "id").join(linked, "id", "left").select(
         "doc_id", "line", F.coalesce("component", "id").alias("component")
     )
-    first = places.groupBy("component").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
-    gone = places.join(first.where("n > 1"), "component").where(F.struct("doc_id", "line") != F.col("first"))
+    # document and line in one number of fixed width, so that a hash aggregate finds the first before the shuffle
+    place = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("line")
+    named = named.withColumn("place", place.cast("decimal(38,0)"))
+    first = named.groupBy("component").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone = named.join(first, "component").where("place != first")
+    forget(documents.sparkSession, [shared, bands])
     return gone.groupBy("doc_id").agg(F.collect_set("line").alias("removed"))
 
 

@@ -19,14 +19,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadsieve.llm.hashing import mixed
+from leadsieve.llm.tables import lean
 
 #: Bytes of small groups that are linked in one go, about.
 TOGETHER = 1 << 19
 
+#: Members of a group that are compared one by one; larger groups are searched by their rarest hashes.
+SMALL = 32
+
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -129,6 +133,57 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(a[at] == b))
 
 
+def apart(values: np.ndarray, sizes: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """The sets' values made different in different groups (``groups``: one number a set); each set stays in order."""
+    owner = np.repeat(groups.astype(np.uint64), sizes)
+    if len(groups) and groups[-1] < 1 << 20 and int(values.max(initial=0)) < 1 << 43:
+        return values | (owner << np.uint64(43))
+    values = mixed(values + owner * np.uint64(0x9E3779B97F4A7C15))
+    return values[np.lexsort((values, np.repeat(np.arange(len(sizes)), sizes)))]
+
+
+def side_by_side(values: np.ndarray, sizes: np.ndarray, members: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (two columns of places) that connect the groups of up to ``SMALL`` sets, and the members of larger ones.
+
+    ``members`` are the groups' numbers of sets, one group after another; groups share no value. All
+    groups are searched at once, a step of each at a time: the next set of what is linked so far, or else the
+    next that is left, is compared with all that are left and near it in size.
+    """
+    n, group = len(sizes), np.repeat(np.arange(len(members)), members)
+    begin = np.cumsum(sizes) - sizes
+    unseen, waiting = (members <= SMALL)[group], np.zeros(n, bool)
+    rest, links = np.flatnonzero(~unseen), [np.zeros((0, 2), np.int64)]
+    hub_of = np.full(len(members), -1)
+    while unseen.any():
+        hub_of[:] = -1
+        for some in (unseen, waiting & np.isin(group, group[unseen])):
+            at = np.flatnonzero(some)[::-1]
+            hub_of[group[at]] = at  # of several the first one is left
+        hubs = hub_of[hub_of >= 0]
+        unseen[hubs] = waiting[hubs] = False
+        left = np.flatnonzero(unseen)
+        hub = hub_of[group[left]]
+        near = 100 * np.minimum(sizes[left], sizes[hub]) >= percent * np.maximum(sizes[left], sizes[hub])
+        left, hub = left[near], hub[near]
+        if not len(left):
+            continue
+        known = np.sort(values[_spans(begin, sizes, np.unique(hub))])
+        asked = values[_spans(begin, sizes, left)]
+        at = np.searchsorted(known, asked)
+        at[at == len(known)] = 0
+        common = np.bincount(np.repeat(np.arange(len(left)), sizes[left]), known[at] == asked, len(left)).astype(np.int64)
+        linked = 100 * common >= percent * (sizes[left] + sizes[hub] - common)
+        links.append(np.column_stack((hub[linked], left[linked])))
+        unseen[left[linked]], waiting[left[linked]] = False, True
+    return np.concatenate(links), rest
+
+
+def _spans(begin: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Places of all values of the sets ``which``, one set after another."""
+    n = sizes[which]
+    return np.arange(n.sum()) + np.repeat(begin[which] - np.cumsum(n) + n, n)
+
+
 def meetings(members: DataFrame, percent: int, chunk: int) -> DataFrame:
     """``cluster, g, i, j, id``: in which groups the ``members(cluster, id, n, weight)`` meet; ``n`` is a set's size."""
     step = math.log(100 / percent) * (1 + 1e-9)
@@ -145,6 +200,22 @@ def meetings(members: DataFrame, percent: int, chunk: int) -> DataFrame:
     return dealt(met, "id", "chunks").select("cluster", "g", "i", "j", "id")
 
 
+def whole_or_met(members: DataFrame, percent: int, chunk: int) -> DataFrame:
+    """``cluster, g, i, j, id``: groups that one task can hold meet as they are, larger ones as in ``meetings``.
+
+    A member whose set is too small or too large for all others of its group meets nobody.
+    """
+    sums = members.groupBy("cluster").agg(F.sum("weight").alias("sum"))
+    large = sums.where(F.col("sum") > chunk).select("cluster")
+    by_size = Window.partitionBy("cluster").orderBy("n", "id")
+    n = F.col("n")
+    near = (100 * F.lag("n").over(by_size) >= percent * n) | (percent * F.lead("n").over(by_size) <= 100 * n)
+    small = members.join(large, "cluster", "left_anti").withColumn("near", near).where("near")
+    zero = F.lit(0).cast("long")
+    whole = small.select("cluster", F.lit(0).alias("g"), zero.alias("i"), zero.alias("j"), "id")
+    return whole.unionByName(meetings(members.join(large, "cluster", "left_semi"), percent, chunk))
+
+
 def listed_sets(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(), column.value_lengths().to_numpy()
 
@@ -171,19 +242,19 @@ def exact_links(met: DataFrame, percent: int, sets_of=listed_sets) -> DataFrame:
 
     def of_groups(held: list[pa.Table]) -> pa.RecordBatch:
         table = pa.concat_tables(held)
-        number = np.repeat(np.arange(len(held), dtype=np.uint64), [g.num_rows for g in held])
+        members = np.array([g.num_rows for g in held])
         values, sizes = sets_of(table["set"].combine_chunks())
-        if len(held) > 1:  # no two groups share a value
-            owner, values = np.repeat(number, sizes), values.astype(np.uint64)
-            if len(held) < 1 << 20 and int(values.max(initial=0)) < 1 << 43:
-                values |= owner << np.uint64(43)
-            else:
-                values = mixed(values + owner * np.uint64(0x9E3779B97F4A7C15))
-                values = values[np.lexsort((values, np.repeat(np.arange(len(sizes)), sizes)))]
-        ids = table["id"].to_pylist()
-        linked = by_rarest(values, sizes, percent)
-        return edge_batch([(ids[x], ids[y]) for x, y in spanning(len(ids), linked)])
+        values = apart(values.astype(np.uint64), sizes, np.repeat(np.arange(len(held)), members))
+        ids = table["id"].to_numpy()
+        links, rest = side_by_side(values, sizes, members, percent)
+        edges = list(zip(ids[links[:, 0]].tolist(), ids[links[:, 1]].tolist(), strict=True))
+        if len(rest):
+            ids, chosen = ids[rest].tolist(), np.zeros(len(sizes), bool)
+            chosen[rest] = True
+            linked = by_rarest(values[np.repeat(chosen, sizes)], sizes[rest], percent)
+            edges += [(ids[x], ids[y]) for x, y in spanning(len(ids), linked)]
+        return edge_batch(edges)
 
     keys = ["cluster", "g", "i", "j"]
     rows = met.select(*keys, "id", "set")
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(link, "a long, b long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(link), "a long, b long")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from leadsieve.llm.hashing import SPACES, Words
 from leadsieve.llm.linking import dealt, edge_batch, exact_links, groups, meetings, spanning
-from leadsieve.llm.tables import Bits, checkpointed, components, lowered, slices
+from leadsieve.llm.tables import Bits, checkpointed, components, lean, lowered, slices
 
 WIDTH, PERCENT = 5, 80
 
@@ -70,7 +70,7 @@ def shingle_sets(documents: DataFrame, width: int, wanted: Bits) -> DataFrame:
                 )
 
     rows = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text")
-    return rows.mapInArrow(cut, "id long, set_id binary, set array<long>")
+    return rows.mapInArrow(lean(cut), "id long, set_id binary, set array<long>")
 
 
 def sketches(documents: DataFrame, width: int) -> DataFrame:
@@ -91,7 +91,7 @@ def sketches(documents: DataFrame, width: int) -> DataFrame:
                 )
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(sketch, "doc_id long, n_shingles long, set_id binary, sketch array<long>")
+    return rows.mapInArrow(lean(sketch), "doc_id long, n_shingles long, set_id binary, sketch array<long>")
 
 
 def slack(percent: int) -> float:
@@ -183,7 +183,7 @@ def candidate_links(lists: DataFrame, classes: DataFrame, percent: int) -> DataF
     with_sketch = dealt(lists, "id", "chunks").join(classes.select("id", "whole", "sketch"), "id")
     keys = ["value", "i", "j"]
     rows = with_sketch.select(*keys, "id", "whole", "sketch")
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(link, "a long, b long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(link), "a long, b long")
 
 
 def near_dedup(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

@@ -13,7 +13,8 @@ hash of the id, and at most ``TERMS`` tokens, the most significant ones. Scoring
 of every text.
 
 Defined results: null and empty texts have no tokens and score what a document without toxic passages
-does; without labels of both classes every score is 0; rows with several labels count as
+does; a stretch that adds nothing to a passage is left out of it, so passages begin and end with tokens that
+count for them; ``held_out`` is null without ``doc_id``; without labels of both classes every score is 0; rows with several labels count as
 toxic if one of them is; rows are scored one by one even if they repeat a ``doc_id``; an empty
 table gives no rows; other columns are not looked at.
 """
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadsieve.llm.tables import checkpointed, lowered, parts, slices
+from leadsieve.llm.tables import checkpointed, lean, lowered, parts, slices
 
 #: Labelled documents of each class that a model is fitted on, about.
 SAMPLE = 4_000
@@ -180,7 +181,7 @@ def token_counts(sample: DataFrame) -> DataFrame:
                     [pa.array(found, pa.binary()), *(pa.array(c, pa.int64()) for c in counts)], names=names
                 )
 
-    rows = sample.mapInArrow(count, "token binary, toxic long, clean long, in_toxic long, in_clean long")
+    rows = sample.mapInArrow(lean(count), "token binary, toxic long, clean long, in_toxic long, in_clean long")
     return rows.groupBy("token").agg(*[F.sum(c).alias(c) for c in names[1:]])
 
 
@@ -238,7 +239,7 @@ def _clean_scores(sample: DataFrame, model: Model) -> list[tuple[float, int]]:
             values, n = np.unique(found.round(2), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], names=["value", "n"])
 
-    rows = sample.where("NOT toxic").mapInArrow(tally, "value double, n long")
+    rows = sample.where("NOT toxic").mapInArrow(lean(tally), "value double, n long")
     return [(r[0], r[1]) for r in rows.groupBy("value").agg(F.sum("n")).collect()] or [(-DRIFT, 1)]
 
 
@@ -287,7 +288,7 @@ def _summaries(sample: DataFrame, model: Model) -> list:
                 names=["toxic", "best", "evidence", "tokens"],
             )
 
-    return sample.mapInArrow(summary, "toxic boolean, best double, evidence double, tokens long").collect()
+    return sample.mapInArrow(lean(summary), "toxic boolean, best double, evidence double, tokens long").collect()
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:
@@ -322,4 +323,4 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
         f"doc_id {kind}, score double, predicted int, evidence double, n_tokens long, "
         "passages array<struct<start: long, end: long, score: double>>"
     )
-    return documents.select("doc_id", "text").mapInArrow(score, schema)
+    return documents.select("doc_id", "text").mapInArrow(lean(score), schema)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,7 +11,8 @@ from hypothesis import strategies as st
 from leadsieve.llm import linking, near_dedup
 from leadsieve.llm.exact_dedup import CuckooIndex, exact_dedup, live_digests, updated
 from leadsieve.llm.hashing import SPACES, Words, char_shingle_sets
-from leadsieve.llm.line_dedup import line_dedup
+from leadsieve.llm import line_dedup as lines_module
+from leadsieve.llm.line_dedup import band_members, groups_once, line_dedup, line_places, shared_bands
 from leadsieve.llm.tables import components
 
 
@@ -111,6 +113,32 @@ def test_rarest_hashes_find_every_link(sets, percent):
         assert set(got) | {x} == set(want)
 
 
+@settings(max_examples=100, deadline=None, derandomize=True)
+@given(st.lists(st.lists(st.sets(st.integers(0, 9), min_size=1), min_size=1, max_size=7), min_size=1, max_size=4), st.sampled_from([50, 80]))
+def test_groups_side_by_side_give_every_link(groups, percent):
+    sets = [s for g in groups for s in g]
+    sizes, members = np.array([len(s) for s in sets]), np.array([len(g) for g in groups])
+    flat = np.array([v for s in sets for v in sorted(s)], np.uint64)
+    number = np.repeat(np.arange(len(groups)), members)
+    want = [
+        (x, y)
+        for x in range(len(sets))
+        for y in range(x)
+        if number[x] == number[y] and 100 * len(sets[x] & sets[y]) >= percent * len(sets[x] | sets[y])
+    ]
+    for shift in (0, 50):
+        values = linking.apart(flat << np.uint64(shift), sizes, number)
+        links, rest = linking.side_by_side(values, sizes, members, percent)
+        assert not len(rest) and {(max(e), min(e)) for e in links.tolist()} <= set(want)
+        assert union(len(sets), links.tolist()) == union(len(sets), want)
+
+
+def test_large_groups_are_left_to_the_search_by_rarest():
+    sizes, members = np.ones(linking.SMALL + 3, np.int64), np.array([2, linking.SMALL + 1])
+    links, rest = linking.side_by_side(np.array([5, 5, *range(10, 11 + linking.SMALL)], np.uint64), sizes, members, 80)
+    assert links.tolist() == [[0, 1]] and rest.tolist() == list(range(2, linking.SMALL + 3))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab \t\nÄß", max_size=30), max_size=8))
 def test_word_hashes(texts):
@@ -211,3 +239,49 @@ def test_lines(documents):
         kept = [x for i, x in enumerate(texts[d].split("\n")) if (d, i) not in gone]
         assert row.document.text == "\n".join(kept)
         assert row.lines.n_removed == sum(g[0] == d for g in gone)
+
+
+def line_components(docs):
+    bands = groups_once(band_members(docs, 8))
+    return lines_module.line_components(bands, line_places(docs, bands.select("id"), 8), 8, 80)
+
+
+def test_a_chain_of_lines_whose_neighbours_alone_agree(documents):
+    """A hundred thousand lines in one component: bands stay small, and no candidate cluster is formed."""
+    rng = random.Random(17)
+    words = [f"{rng.randrange(16**6):06x}" for _ in range(100_020)]
+    lines = [" ".join(words[i : i + 20]) for i in range(100_000)]
+    docs = documents((i, "\n".join(lines[at : at + 500])) for i, at in enumerate(range(0, len(lines), 500)))
+    found = line_components(docs)
+    assert found.count() == 100_000 and found.select("component").distinct().count() == 1
+
+
+def test_lines_in_many_chunks(documents, monkeypatch):
+    """Bands larger than a task may hold are dealt to chunks and lose no link."""
+    monkeypatch.setattr(lines_module, "CHUNK", 400)
+    rng = random.Random(6)
+    base = " ".join(rng.choices(["lorem", "ipsum", "dolor", "sit", "amet"], k=30))
+    lines = [base[:at] + str(rng.randrange(10)) + base[at + 1 :] for at in range(0, len(base) - 1, 2)]
+    docs = documents(enumerate(lines))
+    found = line_components(docs)
+    assert found.count() == len(set(lines)) and found.select("component").distinct().count() == 1
+
+
+@settings(max_examples=200, deadline=None, derandomize=True)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 4)), max_size=20), st.lists(st.integers(0, 20), max_size=4))
+def test_bands_are_streamed_whatever_the_batches(rows, cuts):
+    rows = sorted(rows)
+    edges = [0, *sorted(min(c, len(rows)) for c in cuts), len(rows)]
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[a:b]], pa.int64()) for i in (0, 1)], names=["key", "id"])
+        for a, b in zip(edges, edges[1:])
+    ]
+    out = [tuple(r.values()) for b in shared_bands(iter(batches)) for r in b.to_pylist()]
+    groups = {k: sorted({i for x, i in rows if x == k}) for k, _ in rows}
+    members = [(k, i) for k, ids in groups.items() for i in ids if len(ids) > 1]
+    assert sorted((k, i) for k, i, _, _ in out if i is not None) == sorted(members)
+    ends = {k: (n, name) for k, i, n, name in out if i is None}
+    assert {k: n for k, (n, _) in ends.items()} == {k: len(ids) for k, ids in groups.items() if len(ids) > 1}
+    for k in ends:
+        for j in ends:
+            assert (ends[k] == ends[j]) == (groups[k] == groups[j])

@@ -13,20 +13,12 @@ from hypothesis import strategies as st
 
 from leadsieve.llm import centroids, lexical_search, simhash
 from leadsieve.llm.tables import components
-from tests.compare import compare, open_tables
 from tests.llm.conftest import EDGES
 from tests.llm.test_dedup import union
 
-SF = "/root/testdata/sf0.001"
-
 TERM = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
-@pytest.mark.parametrize("name", ["op11_lexical_search", "op13_centroid_clustering"])
-def test_against_sql(spark, name):
-    assert compare(spark, open_tables(SF), name, SF) is None
-
-
 # --- search
 
 
