@@ -286,7 +286,7 @@ def test_pipeline(spark):
 
 def test_queries_are_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in queries.QUERIES
+    assert numbers == list(range(1, 14)) and "pipeline" in queries.QUERIES
     assert queries.QUERIES.keys() <= registry.queries().keys()
 
 
