@@ -19,6 +19,7 @@ from leadsieve.sources.csv import (
 )
 from tests.test_qualify import CFG, inputs, rows
 from leadsieve import qualify
+from workload import spark_queries
 
 
 def lead_file(tmp_path, content, name="leads.csv"):
@@ -196,3 +197,24 @@ def test_columns_that_differ_in_case_alone_are_not_overwritten(spark, tmp_path,
         assert [row[c] for c in header.split(",")] == ["x", "y", "z"]
     finally:
         spark.conf.unset("spark.sql.caseSensitive")
+
+
+def test_no_written_file_grows_with_the_documents(spark, tmp_path, monkeypatch):
+    """All in one folder: its rows are ranges of several tasks, in order, and every file begins with the header."""
+    n = 4000
+    docs = spark.range(n).selectExpr("id * 8 AS doc_id", "repeat(concat('a\"b', id, '\n'), 3) AS text", "'s' AS source")
+    docs.repartition(6).write.parquet(str(tmp_path / "documents.parquet"))
+    folder = str(tmp_path / "out")
+    monkeypatch.setattr(spark_queries, "scratch_path", lambda session, name: folder)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark_queries.csv_records(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = [p.read_text() for p in sorted((tmp_path / "out" / "p=0").glob("*.txt"))]
+    assert len(files) > 1 and max(map(len, files)) < 0.6 * sum(map(len, files))
+    assert all(f.startswith("company_name,domain,website\n") and f.count("company_name") == 1 for f in files)
+    rows.sort(key=lambda r: r.place)
+    assert [r.place for r in rows] == list(range(n))
+    assert [r.doc for r in rows] == [None if i * 8 % 7 == 3 else str(i * 8) for i in range(n)]
+    assert all((r.bad_md5 is None) == (r.doc is not None) for r in rows)
