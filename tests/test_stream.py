@@ -25,7 +25,9 @@ from leadsieve.streaming.intake import (
     start_intake,
     store_facts,
 )
+from leadsieve.streaming import intake
 from tests.test_qualify import CFG, inputs
+from workload import spark_queries
 
 HEADER = "company_name,domain,website\n"
 
@@ -156,3 +158,43 @@ def test_answers_from_a_stream(spark, tmp_path):
         start_answer_intake(stream, path, str(tmp_path / "progress"), 4).awaitTermination()
     kept = {r.url: r.status_code for r in read_answers(spark, path, buckets=4).collect()}
     assert kept == {"https://a.com": 202} | {f"https://s{i}.com": 200 for i in range(3)}
+
+
+def test_splits_of_wide_tables_are_no_lead_files_of_their_own(spark, tmp_path):
+    """Each batch takes a number of files and reads the stored facts, so their number must follow the leads' bytes."""
+    docs = spark.range(64).selectExpr("id AS doc_id", "repeat('x', 100) AS text", "'en' AS lang", "'s' AS source")
+    docs.repartition(16).write.parquet(str(tmp_path / "documents.parquet"))
+    pages = spark.range(8).selectExpr("id AS page_id", "'u' AS url", "'<p>y</p>' AS html")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "2000")
+    try:
+        folder = spark_queries._lead_files(spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    files = [f for f in os.listdir(folder.removeprefix("file:")) if f.endswith(".csv")]
+    assert len(files) == 1
+    assert spark.read.option("header", True).csv(folder).count() == 72
+
+
+def test_rows_of_one_file_are_dealt_to_all_cores(spark, tmp_path, monkeypatch):
+    """A CSV file with line breaks in fields is read by one task; what follows is not."""
+    leads, log, pages = inputs(spark)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "1.csv").write_text(HEADER + "".join(f"n{i},h{i}.example.org,\n" for i in range(400)))
+    facts = store_facts(pages, CFG, str(tmp_path / "facts"))
+    settle, splits = intake.settled, []
+
+    def counted(df, name="table"):
+        table = settle(df, name)
+        if name == "leads":
+            splits.append(table.select(F.input_file_name()).distinct().count())
+        return table
+
+    monkeypatch.setattr(intake, "settled", counted)
+    stream = read_lead_stream(spark, str(folder))
+    start_intake(stream, log, facts, CFG, str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination()
+    assert splits == [spark.sparkContext.defaultParallelism]
+    assert classified_rows(spark, str(tmp_path / "out")).count() == 400
