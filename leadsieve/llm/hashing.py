@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
+#: Bytes that are hashed at a time, so that the work stays in the processor's cache.
+STEP = 1 << 15
+
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so powers can be divided away again
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -107,12 +112,29 @@ def _char_hashes(sums: np.ndarray, back: np.ndarray, at: int, width: int) -> np.
     return mixed((sums[at + width : at + width + n] - sums[at : at + n]) * back[at : at + n])
 
 
+def runs(lines: list[bytes], limit: int = STEP) -> Iterator[list[bytes]]:
+    """The lines in runs of at most ``limit`` bytes, or one line."""
+    at = 0
+    while at < len(lines):
+        end, total = at, 0
+        while end < len(lines) and (end == at or total + len(lines[end]) <= limit):
+            total += len(lines[end])
+            end += 1
+        yield lines[at:end]
+        at = end
+
+
 def char_shingle_sets(lines: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """The sets of the lines' ``width``-byte shingles, one after another and each in order, and their sizes.
 
     A shorter line is one shingle. Shingles are known by 43 bits, so that a line's number and a
-    shingle fit one number and a single sort makes all sets; at most 2 ** 20 lines at a time.
+    shingle fit one number and a single sort makes the sets of a run of lines.
     """
+    found = [_shingle_sets(run, width) for run in runs(lines)] or [_shingle_sets([], width)]
+    return np.concatenate([v for v, _ in found]), np.concatenate([n for _, n in found])
+
+
+def _shingle_sets(lines: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     ends = np.cumsum(sizes)
     owner = np.repeat(np.arange(len(lines), dtype=np.uint64), sizes)
@@ -128,6 +150,29 @@ def char_shingle_sets(lines: list[bytes], width: int) -> tuple[np.ndarray, np.nd
     return keys & _U((1 << 43) - 1), counts
 
 
+def held(known: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Which of ``asked`` are among ``known``, both 64-bit numbers in any order."""
+    if not len(known):
+        return np.zeros(len(asked), bool)
+    bits = max(4, int(4 * len(known)).bit_length())
+    odd, shift = _U(_BASE), _U(64 - bits)
+    table, crowded = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, bool)
+    table[0] = 1  # 0 belongs to this slot and 1 does not, so an empty slot equals nothing that is looked up in it
+    at = (known * odd) >> shift
+    table[at] = known
+    lost = table[at] != known  # others stand in their slots
+    slots = (asked * odd) >> shift
+    out = table[slots] == asked
+    if lost.any():
+        crowded[at[lost]] = True
+        more = np.flatnonzero(crowded[slots] & ~out)
+        rest = np.sort(known[lost])
+        place = np.searchsorted(rest, asked[more])
+        place[place == len(rest)] = 0
+        out[more] = rest[place] == asked[more]
+    return out
+
+
 class HashTable:
     """Places of known keys in an array, looked up for whole arrays at a time."""
 

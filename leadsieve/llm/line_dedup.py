@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadsieve.llm.hashing import char_shingle_sets, char_shingles, mixed
+from leadsieve.llm.hashing import char_shingle_sets, char_shingles, mixed, runs
 from leadsieve.llm.linking import exact_links, whole_or_met
 from leadsieve.llm.tables import Bits, components, forget, lean, raw_texts, slices, written
 
@@ -39,9 +39,6 @@ BANDS, ROWS = 12, 3
 #: Shingles that one chunk of a group holds on average.
 CHUNK = 1_000_000
 
-#: Shingles that are hashed at a time, so that the work stays in the processor's cache.
-STEP = 1 << 15
-
 #: Lines that a task remembers in order not to send them again.
 SEEN = 100_000
 
@@ -66,14 +63,7 @@ def line_key(words: bytes) -> int:
 
 def band_keys(lines: list[bytes], width: int) -> np.ndarray:
     """A row per line of at least ``width`` bytes, a column per band."""
-    out, at = [], 0
-    while at < len(lines):
-        end, total = at, 0
-        while end < len(lines) and (end == at or total + len(lines[end]) <= STEP):
-            total += len(lines[end])
-            end += 1
-        out.append(_minima(lines[at:end], width))
-        at = end
+    out = [_minima(run, width) for run in runs(lines)]
     if not out:
         return np.zeros((0, BANDS), np.uint64)
     least = np.concatenate(out, axis=1)
@@ -135,8 +125,33 @@ def band_members(documents: DataFrame, width: int) -> DataFrame:
 
     texts = documents.where("doc_id IS NOT NULL").select("text")
     rows = texts.mapInArrow(lean(banded), "key long, id long")
-    dealt = rows.repartition("key").sortWithinPartitions("key", "id")
-    return dealt.mapInArrow(lean(shared_bands), "key long, id long, n long, name long")
+    # most keys are alone: a sort by one number, which Spark does by its digits, finds these, and few are sorted by both
+    dealt = rows.repartition("key").sortWithinPartitions("key")
+    few = dealt.mapInArrow(lean(not_alone), "key long, id long").sortWithinPartitions("key", "id")
+    return few.mapInArrow(lean(shared_bands), "key long, id long, n long, name long")
+
+
+def not_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``key, id``, in order of ``key``, that stand next to a row with the same key."""
+    last, found = None, False
+    for batch in batches:
+        key, id_ = batch.column("key").to_numpy(), batch.column("id").to_numpy()
+        if last is not None:  # whether the last row is alone shows only now
+            key, id_ = np.concatenate(([last[0]], key)), np.concatenate(([last[1]], id_))
+        if not len(key):
+            continue
+        same = key[1:] == key[:-1]
+        shared = np.concatenate(([found], same))
+        shared[:-1] |= same
+        last, found = (key[-1], id_[-1]), bool(shared[-1])
+        shared[-1] = False
+        yield _key_rows(key[shared], id_[shared])
+    if found:
+        yield _key_rows(*(np.array([x]) for x in last))
+
+
+def _key_rows(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64())], names=["key", "id"])
 
 
 def shared_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,14 +273,14 @@ def removed_lines(documents: DataFrame, width: int = WIDTH, percent: int = PERCE
     bands = written(groups_once(shared))
     places = written(line_places(documents, bands.select("id"), width))
     linked = line_components(bands, places, width, percent)
-    named = places.select("doc_id", "line", "id").join(linked, "id", "left").select(
-        "doc_id", "line", F.coalesce("component", "id").alias("component")
-    )
     # document and line in one number of fixed width, so that a hash aggregate finds the first before the shuffle
     place = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("line")
-    named = named.withColumn("place", place.cast("decimal(38,0)"))
-    first = named.groupBy("component").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
-    gone = named.join(first, "component").where("place != first")
+    named = places.select("doc_id", "line", "id", place.cast("decimal(38,0)").alias("place"))
+    equal = named.groupBy("id").agg(F.min("place").alias("first"), F.count("*").alias("n")).join(linked, "id", "left")
+    # most lines are like no other; what is left is small
+    like = written(equal.where("component IS NOT NULL OR n > 1").withColumn("component", F.coalesce("component", "id")))
+    first = like.groupBy("component").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1")
+    gone = named.join(like.select("id", "component").join(first, "component"), "id").where("place != first")
     forget(documents.sparkSession, [shared, bands])
     return gone.groupBy("doc_id").agg(F.collect_set("line").alias("removed"))
 

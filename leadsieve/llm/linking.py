@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadsieve.llm.hashing import mixed
+from leadsieve.llm.hashing import held, mixed
 from leadsieve.llm.tables import lean
 
 #: Bytes of small groups that are linked in one go, about.
@@ -31,6 +31,9 @@ TOGETHER = 1 << 19
 #: Members of a group that are compared one by one; larger groups are searched by their rarest hashes.
 SMALL = 32
 
+#: Values that one set is compared with at a time, about.
+AT_ONCE = 1 << 16
+
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -106,7 +109,6 @@ def by_rarest(values: np.ndarray, sizes: np.ndarray, percent: int):
     first_own = np.searchsorted(owner[rare], np.arange(len(sizes) + 1)).tolist()
     holders = owner[rare[np.argsort(codes, kind="stable")]]
     first = np.searchsorted(np.sort(codes), np.arange(len(lengths) + 1))
-    begin = begin.tolist()
     del slots, often, order, owner  # the search needs none of them
 
     def linked(x: int, unseen: np.ndarray) -> np.ndarray:
@@ -120,17 +122,30 @@ def by_rarest(values: np.ndarray, sizes: np.ndarray, percent: int):
         if not len(met):
             return met
         mine = values[begin[x] : begin[x + 1]]
-        common = np.array([_shared(mine, values[begin[y] : begin[y + 1]]) for y in met.tolist()])
-        return met[100 * common >= percent * (sizes[x] + sizes[met] - common)]
+        near_x, at, ends = [], 0, np.cumsum(sizes[met])
+        while at < len(met):  # as many sets at a time as stay in the processor's cache, or one
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+            some = met[at:end]
+            common = _sums(_among(mine, values[_spans(begin, sizes, some)]), sizes[some])
+            near_x.append(some[100 * common >= percent * (sizes[x] + sizes[some] - common)])
+            at = end
+        return np.concatenate(near_x)
 
     return linked
 
 
-def _shared(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two ordered sets."""
-    at = np.searchsorted(a, b)
-    at[at == len(a)] = 0
-    return int(np.count_nonzero(a[at] == b))
+def _among(known: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Which of ``asked`` are in ``known``, which is in order and not empty."""
+    at = np.searchsorted(known, asked)
+    at[at == len(known)] = 0
+    return known[at] == asked
+
+
+def _sums(marks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many are marked in each run of ``sizes``."""
+    so_far = np.concatenate(([0], np.cumsum(marks)))
+    ends = np.cumsum(sizes)
+    return so_far[ends] - so_far[ends - sizes]
 
 
 def apart(values: np.ndarray, sizes: np.ndarray, groups: np.ndarray) -> np.ndarray:
@@ -167,11 +182,8 @@ def side_by_side(values: np.ndarray, sizes: np.ndarray, members: np.ndarray, per
         left, hub = left[near], hub[near]
         if not len(left):
             continue
-        known = np.sort(values[_spans(begin, sizes, np.unique(hub))])
-        asked = values[_spans(begin, sizes, left)]
-        at = np.searchsorted(known, asked)
-        at[at == len(known)] = 0
-        common = np.bincount(np.repeat(np.arange(len(left)), sizes[left]), known[at] == asked, len(left)).astype(np.int64)
+        found = held(values[_spans(begin, sizes, np.unique(hub))], values[_spans(begin, sizes, left)])
+        common = _sums(found, sizes[left])
         linked = 100 * common >= percent * (sizes[left] + sizes[hub] - common)
         links.append(np.column_stack((hub[linked], left[linked])))
         unseen[left[linked]], waiting[left[linked]] = False, True

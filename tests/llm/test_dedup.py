@@ -1,6 +1,7 @@
 """Exact, near and line deduplication against brute force."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 
 from leadsieve.llm import linking, near_dedup
 from leadsieve.llm.exact_dedup import CuckooIndex, exact_dedup, live_digests, updated
-from leadsieve.llm.hashing import SPACES, Words, char_shingle_sets
+from leadsieve.llm.hashing import SPACES, Words, char_shingle_sets, held
 from leadsieve.llm import line_dedup as lines_module
 from leadsieve.llm.line_dedup import band_members, groups_once, line_dedup, line_places, shared_bands
 from leadsieve.llm.tables import components
@@ -285,3 +286,37 @@ def test_bands_are_streamed_whatever_the_batches(rows, cuts):
     for k in ends:
         for j in ends:
             assert (ends[k] == ends[j]) == (groups[k] == groups[j])
+
+
+@given(
+    st.lists(st.tuples(st.integers(0, 4), st.integers(0, 3)), max_size=30).map(lambda rows: sorted(rows, key=lambda r: r[0])),
+    st.lists(st.integers(0, 30), max_size=4),
+)
+def test_keys_that_are_alone_are_left_out_whatever_the_batches(rows, cuts):
+    edges = [0, *sorted(min(c, len(rows)) for c in cuts), len(rows)]
+    batches = [lines_module._key_rows(*(np.array([r[i] for r in rows[a:b]], np.int64) for i in (0, 1))) for a, b in zip(edges, edges[1:])]
+    got = [tuple(r.values()) for batch in lines_module.not_alone(iter(batches)) for r in batch.to_pylist()]
+    often = Counter(k for k, _ in rows)
+    assert got == [r for r in rows if often[r[0]] > 1]
+
+
+@given(st.lists(st.integers(0, (1 << 64) - 1)), st.lists(st.integers(0, (1 << 64) - 1)), st.integers(0, 2))
+def test_held(known, asked, base):
+    asked = asked + known[:3] + [0, 1]
+    known = known + [base]
+    got = held(np.array(known, np.uint64), np.array(asked, np.uint64))
+    assert got.tolist() == [x in set(known) for x in asked]
+
+
+def test_held_with_crowded_slots():
+    rng = np.random.default_rng(5)
+    known, asked = rng.integers(0, 5000, 3000, dtype=np.uint64), rng.integers(0, 5000, 9000, dtype=np.uint64)
+    assert (held(known, asked) == np.isin(asked, known)).all()
+
+
+def test_bands_are_sorted_by_one_number_first(documents):
+    """Rows whose band nobody shares, nearly all, are not sorted by two columns."""
+    docs = documents([(i, f"line number {i} of {i * 7919 % 1000} and more") for i in range(50)])
+    plan = band_members(docs, lines_module.WIDTH)._jdf.queryExecution().optimizedPlan().toString()
+    sorts = [line.split("Sort ")[1].count("ASC") for line in plan.splitlines() if "Sort [" in line]
+    assert sorts == [2, 1]  # the last one works on the rows that ``not_alone`` has left
